@@ -22,14 +22,25 @@ OTHER_FIELDS = ["timestamp", "tags", "metadata", "created_at"]
 FIRST_SECOND = 0
 LAST_SECOND = 4294967295
 
-GetField = Callable[[str], Column]
-
-
 def parse(text: Column) -> Column:
     """The text as VARIANT, NULL when it is not JSON."""
     return F.try_parse_json(text)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """A value Spark must not work out again in a filter on it.
+
+    A filter is pushed below the projection that makes the value by copying the whole expression, so every row
+    would be parsed twice. Nothing is pushed past an expression that depends on where it runs.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def leads_with(text: Column, mark: str) -> Column:
     """Whether the first character after JSON white space is ``mark``; enough to tell the kind of a valid text."""
     return F.ltrim(text, F.lit(" \t\n\r")).startswith(mark)
@@ -41,75 +52,75 @@ def odd_case(text: Column, names: list[str]) -> Column:
     return text.rlike(f'"(?!(?:{exact})")(?i:{exact})"')
 
 
-def field_reader(document: Column, odd: Column) -> GetField:
-    """Field access by exact name, or by name in any case for the rare text that ``odd`` marks."""
+def field(document: Column, odd: Column, name: str) -> Column:
+    """A field by its exact name, or by its name in any case for the rare text that ``odd`` marks."""
 
-    def get(name: str) -> Column:
-        exact = F.try_variant_get(document, f"$.{name}", "variant")
-        entries = F.map_entries(F.try_variant_get(document, "$", "map<string,variant>"))
+    def any_case(entries: Column) -> Column:
         alike = F.filter(entries, lambda entry: F.lower(entry["key"]) == name)
-        any_case = F.get(alike, F.size(alike) - 1)["value"]
-        return F.when(exact.isNotNull(), exact).when(odd, any_case)
-
-    return get
-
+        return F.get(alike, F.size(alike) - 1)["value"]
 
-def absent(field: Column) -> Column:
-    return field.isNull() | F.is_variant_null(field)
+    exact = F.try_variant_get(document, f"$.{name}", "variant")
+    entries = F.map_entries(F.try_variant_get(document, "$", "map<string,variant>"))
+    return F.when(odd, F.coalesce(exact, bind(entries, any_case))).otherwise(exact)
 
 
-def text_of(field: Column) -> Column:
-    """A text field's value; missing and null read as ''."""
-    return F.coalesce(F.try_variant_get(field, "$", "string"), F.lit(""))
-
-
-def whole_number_of(field: Column) -> Column:
-    return F.coalesce(F.try_variant_get(field, "$", "bigint"), F.lit(0).cast("bigint"))
-
-
-def texts_of(field: Column) -> Column:
-    """A list of texts; missing and null read as an empty list, null items as ''."""
-    items = F.try_variant_get(field, "$", "array<string>")
-    return F.coalesce(F.transform(items, lambda item: F.coalesce(item, F.lit(""))), no_texts())
+def absent(value: Column) -> Column:
+    return value.isNull() | F.is_variant_null(value)
 
 
 def no_texts() -> Column:
     return F.array().cast("array<string>")
 
 
-def object_text_of(field: Column) -> Column:
-    """Canonical JSON of an object field: keys sorted, no white space; missing and null read as '{}'."""
-    return F.when(absent(field), F.lit("{}")).otherwise(F.to_json(field))
+def read_object(document: Column, odd: Column, names: list[str]) -> Column:
+    """The named fields of a JSON object as a struct of values, with ``wrong``: the first field of a wrong type.
 
+    Missing and null fields read as blanks. Metadata is given as canonical JSON: keys sorted, no white space.
+    """
 
-def canonical_object(text: Column) -> Column:
-    """The same for a JSON text column; what cannot be read becomes '{}'."""
-    return F.when(leads_with(text, "{"), F.coalesce(F.to_json(parse(text)), F.lit("{}"))).otherwise(F.lit("{}"))
+    def raw(name: str) -> Column:
+        value = field(document, odd, name)
+        return (F.to_json(value) if name == "metadata" else value).alias(name)
+
+    def values(f: Column) -> Column:
+        wrong = F.coalesce(*[_wrong(name, f[name]) for name in names])
+        return F.struct(*[_value(name, f[name]).alias(name) for name in names], wrong.alias("wrong"))
+
+    return bind(F.struct(*[raw(name) for name in names]), values)
+
+
+def _value(name: str, value: Column) -> Column:
+    if name == "timestamp":
+        return F.coalesce(F.try_variant_get(value, "$", "bigint"), F.lit(0).cast("bigint"))
+    if name == "tags":
+        items = F.try_variant_get(value, "$", "array<string>")
+        return F.coalesce(F.transform(items, lambda item: F.coalesce(item, F.lit(""))), no_texts())
+    if name == "metadata":
+        return F.when(leads_with(value, "{"), value).otherwise(F.lit("{}"))
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
+
+
+def _wrong(name: str, value: Column) -> Column:
+    if name == "metadata":
+        fits, wanted = value.isNull() | (value == "null") | leads_with(value, "{"), "an object"
+        return F.when(~fits, F.lit(f"field {name} must be {wanted}"))
+    kind = F.schema_of_variant(value)
+    if name == "timestamp":
+        fits, wanted = kind == "BIGINT", "a whole number"
+    elif name == "tags":
+        fits, wanted = kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), "a list of strings"
+    elif name == "created_at":
+        text = F.try_variant_get(value, "$", "string")
+        fits = (kind == "STRING") & text.rlike(RFC3339) & F.try_to_timestamp(text).isNotNull()
+        wanted = "an RFC 3339 time"
+    else:
+        fits, wanted = kind == "STRING", "a string"
+    return F.when(~absent(value) & ~fits, F.lit(f"field {name} must be {wanted}"))
 
 
-def wrong_type(get: GetField, names: list[str]) -> Column:
-    """What is wrong with the first field that has the wrong type, or NULL."""
-    checks = []
-    for name in names:
-        field = get(name)
-        kind = F.schema_of_variant(field)
-        if name in TEXT_FIELDS:
-            fits, wanted = kind == "STRING", "a string"
-        elif name == "timestamp":
-            fits, wanted = kind == "BIGINT", "a whole number"
-        elif name == "tags":
-            fits, wanted = kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), "a list of strings"
-        elif name == "metadata":
-            fits, wanted = kind.startswith("OBJECT"), "an object"
-        else:
-            fits, wanted = _is_rfc3339(field, kind), "an RFC 3339 time"
-        checks.append(F.when(absent(field) | fits, None).otherwise(F.lit(f"field {name} must be {wanted}")))
-    return F.coalesce(*checks)
-
-
-def _is_rfc3339(field: Column, kind: Column) -> Column:
-    text = F.try_variant_get(field, "$", "string")
-    return (kind == "STRING") & text.rlike(RFC3339) & F.try_to_timestamp(text).isNotNull()
+def canonical_object(text: Column) -> Column:
+    """Canonical JSON of a text that holds an object; what cannot be read becomes '{}'."""
+    return F.when(leads_with(text, "{"), F.coalesce(F.to_json(parse(text)), F.lit("{}"))).otherwise(F.lit("{}"))
 
 
 def number_at(text: Column, name: str) -> Column:

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from footfall.functions.fixed import SKETCH_LOG_ENTRIES
 
 
-def distinct_state(value: Column | str) -> Column:
+# The sketch passes over empty texts, which count as a value here; they go in under this name.
+EMPTY = "\0(empty)"
+
+
+def distinct_state(name: str) -> Column:
+    value = F.when(F.col(name) == "", F.lit(EMPTY)).otherwise(F.col(name))
     return F.theta_sketch_agg(value, SKETCH_LOG_ENTRIES)
 
 

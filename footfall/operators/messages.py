@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import json_fields as jf
@@ -37,30 +37,28 @@ def decode(messages: DataFrame) -> DataFrame:
     is checked again; but a time that the events table cannot hold makes the message malformed.
     """
     text = F.col("value").cast("string")
-    opened = messages.withColumns({"document": jf.parse(text), "odd": jf.odd_case(text, FIELDS)})
-    readable = jf.leads_with(text, "{") | F.is_variant_null("document")
-    opened = opened.withColumns(
-        {
-            "unreadable": F.when(F.col("document").isNull(), F.lit("not JSON")).when(
-                ~readable, F.lit("not a JSON object")
-            ),
-            "f": F.struct(*[jf.field_reader(F.col("document"), F.col("odd"))(name).alias(name) for name in FIELDS]),
-        }
-    )
 
-    def field(name: str):
-        return F.col(f"f.{name}")
+    def read(opened: Column) -> Column:
+        return F.struct(
+            F.when(opened["document"].isNull(), F.lit("not JSON"))
+            .when(
+                ~jf.leads_with(opened["text"], "{") & ~F.is_variant_null(opened["document"]),
+                F.lit("not a JSON object"),
+            )
+            .alias("unreadable"),
+            jf.read_object(opened["document"], opened["odd"], FIELDS).alias("event"),
+        )
 
-    event = F.struct(
-        *[jf.text_of(field(name)).alias(name) for name in jf.TEXT_FIELDS],
-        jf.whole_number_of(field("timestamp")).alias("timestamp"),
-        jf.texts_of(field("tags")).alias("tags"),
-        jf.object_text_of(field("metadata")).alias("metadata"),
+    opened = F.struct(text.alias("text"), jf.parse(text).alias("document"), jf.odd_case(text, FIELDS).alias("odd"))
+    decoded = messages.withColumn("decoded", jf.once(jf.bind(opened, read)))
+    storable = F.col("decoded.event.timestamp").between(jf.FIRST_SECOND, jf.LAST_SECOND)
+    problem = F.coalesce(
+        "decoded.unreadable",
+        "decoded.event.wrong",
+        F.when(~storable, F.lit("field timestamp is out of range")),
     )
-    typed = opened.withColumns({"event": event, "wrong": jf.wrong_type(field, FIELDS)})
-    storable = F.col("event.timestamp").between(jf.FIRST_SECOND, jf.LAST_SECOND)
-    problem = F.coalesce("unreadable", "wrong", F.when(~storable, F.lit("field timestamp is out of range")))
-    return typed.select(*messages.columns, "event", problem.alias("problem"))
+    event = F.struct(*[F.col(f"decoded.event.{c}").alias(c) for c in FIELDS if c != "created_at"])
+    return decoded.select(*messages.columns, event.alias("event"), problem.alias("problem"))
 
 
 def well_formed(decoded: DataFrame, created_at: Moment) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import fixed as fx
-from footfall.functions.clock import Moment
+from footfall.functions.clock import Moment, as_seconds
 from footfall.functions.ids import event_id
+from footfall.functions.json_fields import bind
 from footfall.operators.commands import to_events
 from footfall.operators.validate import errors_of, errors_text, valid, with_errors
 
@@ -33,8 +34,9 @@ def accepted(events: DataFrame, now: Moment) -> DataFrame:
 def single_outcome(decoded: DataFrame, now: Moment, published: Column | None = None) -> DataFrame:
     """One answer per single-event request: 202 queued with the id, 400 with the errors, or 500."""
     published = F.lit(True) if published is None else published
-    errors = F.when(F.col("request_error").isNull(), errors_of(F.col, now))
-    checked = decoded.withColumns({"errors": errors, "published": published})
+    errors = F.when(F.col("request_error").isNull(), errors_of(F.col, F.col("now")))
+    timed = decoded.withColumns({"now": as_seconds(now), "published": published})
+    checked = timed.withColumn("errors", errors)
     refused = F.col("request_error").isNotNull() | (F.size("errors") > 0)
     status = F.when(refused, 400).when(F.col("published"), 202).otherwise(500)
     said = (
@@ -61,15 +63,12 @@ def bulk_outcome(decoded: DataFrame, now: Moment, published: Column | None = Non
     published = F.lit(True) if published is None else published
 
     def judge(event: Column, index: Column) -> Column:
-        errors = errors_of(lambda name: event[name], now)
-        return F.struct(index.alias("index"), F.when(F.size(errors) > 0, errors_text(errors)).alias("error"))
-
-    judged = decoded.withColumns(
-        {
-            "judged": F.when(F.col("request_error").isNull(), F.transform("events", judge)),
-            "published": published,
-        }
-    )
+        errors = errors_of(lambda name: event[name], F.col("now"))
+        error = bind(errors, lambda found: F.when(F.size(found) > 0, errors_text(found)))
+        return F.struct(index.alias("index"), error.alias("error"))
+
+    timed = decoded.withColumns({"now": as_seconds(now), "published": published})
+    judged = timed.withColumn("judged", F.when(F.col("request_error").isNull(), F.transform("events", judge)))
     failed = F.filter("judged", lambda e: e["error"].isNotNull())
     sound = F.filter("judged", lambda e: e["error"].isNull())
     split = judged.withColumns({"failed": failed, "sound": sound})

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import fixed as fx
 from footfall.functions.clock import Moment, as_seconds
+from footfall.functions.json_fields import once
 
 GetField = Callable[[str], Column]
 Rule = Callable[[GetField, Column], Column]
@@ -79,7 +80,8 @@ def errors_text(errors: Column) -> Column:
 
 
 def with_errors(events: DataFrame, now: Moment, rules: Sequence[Rule] = EVENT_RULES) -> DataFrame:
-    return events.withColumn("errors", errors_of(F.col, now, rules))
+    timed = events.withColumn("now", as_seconds(now))
+    return timed.withColumn("errors", once(errors_of(F.col, F.col("now"), rules))).drop("now")
 
 
 def valid(checked: DataFrame) -> DataFrame:

@@ -27,40 +27,37 @@ def _numbered(lines: DataFrame) -> DataFrame:
     )
 
 
-def _command(get: jf.GetField) -> Column:
-    """The seven command fields as a struct, with what is wrong with their types in ``problem``."""
-    values = {
-        "event_name": jf.text_of(get("event_name")),
-        "channel": jf.text_of(get("channel")),
-        "campaign_id": jf.text_of(get("campaign_id")),
-        "user_id": jf.text_of(get("user_id")),
-        "timestamp": jf.whole_number_of(get("timestamp")),
-        "tags": jf.texts_of(get("tags")),
-        "metadata": jf.object_text_of(get("metadata")),
-        "problem": jf.wrong_type(get, COMMAND_COLUMNS),
-    }
-    return F.struct(*[value.alias(name) for name, value in values.items()])
-
-
-def _parsed(bodies: DataFrame) -> DataFrame:
-    """A body that is not JSON, or is neither an object nor null, is told apart here."""
+def _opened(names: list[str]) -> Column:
     body = F.col("body")
-    document = bodies.withColumns(
-        {"document": jf.parse(body), "odd": jf.odd_case(body, ["events", *COMMAND_COLUMNS])}
+    document = jf.parse(body)
+    return F.struct(
+        document.alias("document"),
+        jf.odd_case(body, names).alias("odd"),
+        (jf.leads_with(body, "{") | (F.trim(body) == "null")).alias("is_object"),
     )
-    readable = F.col("document").isNotNull() & (jf.leads_with(body, "{") | F.is_variant_null("document"))
-    return document.withColumn("readable", readable)
+
+
+def _unreadable(opened: Column) -> Column:
+    """Not JSON, or neither an object nor null."""
+    return opened["document"].isNull() | ~opened["is_object"]
 
 
 def decode_single(bodies: DataFrame) -> DataFrame:
     """(request_id, request_error, the seven command columns); the error is NULL for a readable body."""
-    command = _command(jf.field_reader(F.col("document"), F.col("odd")))
-    decoded = _parsed(bodies).withColumn("command", command)
-    bad = ~F.col("readable") | F.col("command.problem").isNotNull()
+
+    def read(opened: Column) -> Column:
+        return F.struct(
+            _unreadable(opened).alias("unreadable"),
+            jf.read_object(opened["document"], opened["odd"], COMMAND_COLUMNS).alias("command"),
+        )
+
+    read_once = jf.once(jf.bind(_opened(COMMAND_COLUMNS), read))
+    decoded = bodies.withColumn("decoded", read_once)
+    bad = F.col("decoded.unreadable") | F.col("decoded.command.wrong").isNotNull()
     return decoded.select(
         "request_id",
         F.when(bad, F.lit(fx.SAY_BAD_BODY)).alias("request_error"),
-        *[F.col(f"command.{name}").alias(name) for name in COMMAND_COLUMNS],
+        *[F.col(f"decoded.command.{name}").alias(name) for name in COMMAND_COLUMNS],
     )
 
 
@@ -69,23 +66,42 @@ def decode_bulk(bodies: DataFrame) -> DataFrame:
 
     ``events`` holds the commands in request order. A missing list counts as empty.
     """
-    listed = jf.field_reader(F.col("document"), F.col("odd"))("events")
-    opened = _parsed(bodies).withColumn("listed", listed)
-    is_list = jf.absent(F.col("listed")) | F.schema_of_variant("listed").startswith("ARRAY")
-    items = F.try_variant_get("listed", F.lit("$"), "array<variant>")
 
-    def item_command(item: Column) -> Column:
-        command = _command(jf.field_reader(item, F.col("odd")))
+    def item_command(item: Column, odd: Column) -> Column:
         is_object = F.is_variant_null(item) | F.schema_of_variant(item).startswith("OBJECT")
-        return command.withField("problem", F.when(~is_object, F.lit("not an object")).otherwise(command["problem"]))
-
-    opened = opened.withColumn("items", F.transform(items, item_command))
-    bad = ~F.col("readable") | ~is_list | F.exists("items", lambda item: item["problem"].isNotNull())
-    n = F.coalesce(F.size("items"), F.lit(0))
+        wrong_kind = F.when(~is_object, F.lit("not an object"))
+        return F.struct(
+            wrong_kind.alias("wrong_kind"), jf.read_object(item, odd, COMMAND_COLUMNS).alias("command")
+        )
+
+    def read(opened: Column) -> Column:
+        return jf.bind(
+            F.struct(
+                _unreadable(opened).alias("unreadable"),
+                opened["odd"].alias("odd"),
+                jf.field(opened["document"], opened["odd"], "events").alias("listed"),
+            ),
+            read_list,
+        )
+
+    def read_list(found: Column) -> Column:
+        listed = found["listed"]
+        items = F.try_variant_get(listed, "$", "array<variant>")
+        is_list = jf.absent(listed) | items.isNotNull()
+        return F.struct(
+            (found["unreadable"] | ~is_list).alias("unreadable"),
+            F.transform(items, lambda item: item_command(item, found["odd"])).alias("items"),
+        )
+
+    names = ["events", *COMMAND_COLUMNS]
+    decoded = bodies.withColumn("decoded", jf.once(jf.bind(_opened(names), read)))
+    items = F.col("decoded.items")
+    wrong = F.exists(items, lambda i: i["wrong_kind"].isNotNull() | i["command"]["wrong"].isNotNull())
+    n = F.coalesce(F.size(items), F.lit(0))
     request_error = (
-        F.when(bad, F.lit(fx.SAY_BAD_BODY))
+        F.when(F.col("decoded.unreadable") | F.coalesce(wrong, F.lit(False)), F.lit(fx.SAY_BAD_BODY))
         .when(n == 0, F.lit(fx.SAY_BULK_EMPTY))
         .when(n > fx.MAX_BULK_EVENTS, F.lit(fx.SAY_BULK_TOO_LONG))
     )
-    events = F.transform("items", lambda item: F.struct(*[item[name].alias(name) for name in COMMAND_COLUMNS]))
-    return opened.select("request_id", request_error.alias("request_error"), events.alias("events"))
+    events = F.transform(items, lambda i: i["command"].dropFields("wrong"))
+    return decoded.select("request_id", request_error.alias("request_error"), events.alias("events"))
