@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: a date-time in RFC 3339 form.
@@ -33,17 +33,36 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def once(value: Column) -> Column:
-    """A value Spark must not work out again in a filter on it.
+    """A value Spark must not work out again further up.
 
-    A filter is pushed below the projection that makes the value by copying the whole expression, so every row
+    A filter is pushed below the projection that makes a value by copying the whole expression, so every row
     would be parsed twice. Nothing is pushed past an expression that depends on where it runs.
     """
     return F.when(F.spark_partition_id() >= 0, value)
 
 
-def leads_with(text: Column, mark: str) -> Column:
-    """Whether the first character after JSON white space is ``mark``; enough to tell the kind of a valid text."""
-    return F.ltrim(text, F.lit(" \t\n\r")).startswith(mark)
+# The parser stops at the end of the first value and does not look at what follows. With this mark after the
+# text, anything else that follows shows.
+END = "end of text"
+
+
+def document(text: Column) -> Column:
+    """The text as the first item of a VARIANT list, so that text behind the value is noticed too."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')))
+
+
+def is_json(opened: Column) -> Column:
+    """Whether the text behind a ``document`` is one JSON value."""
+    return F.coalesce(F.try_variant_get(opened, "$[1]", "string") == END, F.lit(False))
+
+
+def is_null(opened: Column) -> Column:
+    return F.coalesce(F.is_variant_null(F.try_variant_get(opened, "$[0]", "variant")), F.lit(False))
+
+
+def fields(value: Column, names: list[str], path: str = "$") -> Column:
+    """The named fields of a VARIANT object as a struct of VARIANTs; NULL when it is not an object."""
+    return F.try_variant_get(value, path, "struct<" + ",".join(f"`{name}`:variant" for name in names) + ">")
 
 
 def odd_case(text: Column, names: list[str]) -> Column:
@@ -52,16 +71,39 @@ def odd_case(text: Column, names: list[str]) -> Column:
     return text.rlike(f'"(?!(?:{exact})")(?i:{exact})"')
 
 
-def field(document: Column, odd: Column, name: str) -> Column:
-    """A field by its exact name, or by its name in any case for the rare text that ``odd`` marks."""
+def any_case_fields(value: Column, found: Column, names: list[str], path: str = "$") -> Column:
+    """``found`` with each field that is missing looked up by its name in any case."""
 
-    def any_case(entries: Column) -> Column:
-        alike = F.filter(entries, lambda entry: F.lower(entry["key"]) == name)
-        return F.get(alike, F.size(alike) - 1)["value"]
+    def fill(entries: Column) -> Column:
+        def alike(name: str) -> Column:
+            same = F.filter(entries, lambda entry: F.lower(entry["key"]) == name)
+            return F.get(same, F.size(same) - 1)["value"]
 
-    exact = F.try_variant_get(document, f"$.{name}", "variant")
-    entries = F.map_entries(F.try_variant_get(document, "$", "map<string,variant>"))
-    return F.when(odd, F.coalesce(exact, bind(entries, any_case))).otherwise(exact)
+        return F.struct(*[F.coalesce(found[name], alike(name)).alias(name) for name in names])
+
+    entries = F.map_entries(F.try_variant_get(value, path, "map<string,variant>"))
+    return F.when(found.isNotNull(), bind(entries, fill))
+
+
+def open_objects(rows: DataFrame, text: Column, names: list[str]) -> DataFrame:
+    """Add ``unreadable`` (why a text is no JSON object, or NULL) and ``fields`` (its fields, as VARIANTs).
+
+    A null text reads as an object without fields.
+    """
+    opened = F.col("document")
+    found = F.col("fields")
+    some_missing = F.array_contains(F.array(*[found[name].isNull() for name in names]), F.lit(True))
+    looked_up = F.when(some_missing & odd_case(text, names), any_case_fields(opened, found, names, "$[0]"))
+    unreadable = F.when(~is_json(opened), F.lit("not JSON")).when(
+        found.isNull() & ~is_null(opened), F.lit("not a JSON object")
+    )
+    return (
+        rows.withColumn("document", once(document(text)))
+        .withColumn("fields", once(fields(opened, names, "$[0]")))
+        .withColumns({"unreadable": once(unreadable), "fields": once(F.coalesce(looked_up, found))})
+        .withColumn("metadata_text", once(F.to_json("fields.metadata")))
+        .drop("document")
+    )
 
 
 def absent(value: Column) -> Column:
@@ -72,21 +114,17 @@ def no_texts() -> Column:
     return F.array().cast("array<string>")
 
 
-def read_object(document: Column, odd: Column, names: list[str]) -> Column:
-    """The named fields of a JSON object as a struct of values, with ``wrong``: the first field of a wrong type.
+def values(f: Column, metadata_text: Column, names: list[str]) -> list[Column]:
+    """The fields as plain values; missing and null ones read as blanks.
 
-    Missing and null fields read as blanks. Metadata is given as canonical JSON: keys sorted, no white space.
+    Metadata is given as canonical JSON: keys sorted, no white space.
     """
+    return [_value(name, metadata_text if name == "metadata" else f[name]).alias(name) for name in names]
 
-    def raw(name: str) -> Column:
-        value = field(document, odd, name)
-        return (F.to_json(value) if name == "metadata" else value).alias(name)
-
-    def values(f: Column) -> Column:
-        wrong = F.coalesce(*[_wrong(name, f[name]) for name in names])
-        return F.struct(*[_value(name, f[name]).alias(name) for name in names], wrong.alias("wrong"))
 
-    return bind(F.struct(*[raw(name) for name in names]), values)
+def wrong(f: Column, metadata_text: Column, names: list[str]) -> Column:
+    """What is wrong with the first field that has the wrong type, or NULL."""
+    return F.coalesce(*[_wrong(name, metadata_text if name == "metadata" else f[name]) for name in names])
 
 
 def _value(name: str, value: Column) -> Column:
@@ -94,16 +132,16 @@ def _value(name: str, value: Column) -> Column:
         return F.coalesce(F.try_variant_get(value, "$", "bigint"), F.lit(0).cast("bigint"))
     if name == "tags":
         items = F.try_variant_get(value, "$", "array<string>")
-        return F.coalesce(F.transform(items, lambda item: F.coalesce(item, F.lit(""))), no_texts())
+        filled = F.when(F.exists(items, lambda i: i.isNull()), F.transform(items, lambda i: F.coalesce(i, F.lit(""))))
+        return F.coalesce(filled, items, no_texts())
     if name == "metadata":
-        return F.when(leads_with(value, "{"), value).otherwise(F.lit("{}"))
+        return F.when(value.startswith("{"), value).otherwise(F.lit("{}"))
     return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
 
 
 def _wrong(name: str, value: Column) -> Column:
     if name == "metadata":
-        fits, wanted = value.isNull() | (value == "null") | leads_with(value, "{"), "an object"
-        return F.when(~fits, F.lit(f"field {name} must be {wanted}"))
+        return F.when((value != "null") & ~value.startswith("{"), F.lit("field metadata must be an object"))
     kind = F.schema_of_variant(value)
     if name == "timestamp":
         fits, wanted = kind == "BIGINT", "a whole number"
@@ -118,6 +156,11 @@ def _wrong(name: str, value: Column) -> Column:
     return F.when(~absent(value) & ~fits, F.lit(f"field {name} must be {wanted}"))
 
 
+def leads_with(text: Column, mark: str) -> Column:
+    """Whether the first character after JSON white space is ``mark``; enough to tell the kind of a valid text."""
+    return F.ltrim(text, F.lit(" \t\n\r")).startswith(mark)
+
+
 def canonical_object(text: Column) -> Column:
     """Canonical JSON of a text that holds an object; what cannot be read becomes '{}'."""
     return F.when(leads_with(text, "{"), F.coalesce(F.to_json(parse(text)), F.lit("{}"))).otherwise(F.lit("{}"))

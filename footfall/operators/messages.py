@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import json_fields as jf
@@ -36,29 +36,18 @@ def decode(messages: DataFrame) -> DataFrame:
     Missing and null fields read as blanks, unknown fields are passed over. Ids are taken as they are and nothing
     is checked again; but a time that the events table cannot hold makes the message malformed.
     """
-    text = F.col("value").cast("string")
-
-    def read(opened: Column) -> Column:
-        return F.struct(
-            F.when(opened["document"].isNull(), F.lit("not JSON"))
-            .when(
-                ~jf.leads_with(opened["text"], "{") & ~F.is_variant_null(opened["document"]),
-                F.lit("not a JSON object"),
-            )
-            .alias("unreadable"),
-            jf.read_object(opened["document"], opened["odd"], FIELDS).alias("event"),
-        )
-
-    opened = F.struct(text.alias("text"), jf.parse(text).alias("document"), jf.odd_case(text, FIELDS).alias("odd"))
-    decoded = messages.withColumn("decoded", jf.once(jf.bind(opened, read)))
-    storable = F.col("decoded.event.timestamp").between(jf.FIRST_SECOND, jf.LAST_SECOND)
-    problem = F.coalesce(
-        "decoded.unreadable",
-        "decoded.event.wrong",
-        F.when(~storable, F.lit("field timestamp is out of range")),
+    opened = jf.open_objects(messages, F.col("value").cast("string"), FIELDS)
+    found, metadata = F.col("fields"), F.col("metadata_text")
+    stored = [name for name in FIELDS if name != "created_at"]
+    read = opened.withColumns(
+        {
+            "event": jf.once(F.struct(*jf.values(found, metadata, stored))),
+            "wrong": jf.once(jf.wrong(found, metadata, FIELDS)),
+        }
     )
-    event = F.struct(*[F.col(f"decoded.event.{c}").alias(c) for c in FIELDS if c != "created_at"])
-    return decoded.select(*messages.columns, event.alias("event"), problem.alias("problem"))
+    storable = F.col("event.timestamp").between(jf.FIRST_SECOND, jf.LAST_SECOND)
+    problem = F.coalesce("unreadable", "wrong", F.when(~storable, F.lit("field timestamp is out of range")))
+    return read.select(*messages.columns, "event", problem.alias("problem"))
 
 
 def well_formed(decoded: DataFrame, created_at: Moment) -> DataFrame:

@@ -27,37 +27,16 @@ def _numbered(lines: DataFrame) -> DataFrame:
     )
 
 
-def _opened(names: list[str]) -> Column:
-    body = F.col("body")
-    document = jf.parse(body)
-    return F.struct(
-        document.alias("document"),
-        jf.odd_case(body, names).alias("odd"),
-        (jf.leads_with(body, "{") | (F.trim(body) == "null")).alias("is_object"),
-    )
-
-
-def _unreadable(opened: Column) -> Column:
-    """Not JSON, or neither an object nor null."""
-    return opened["document"].isNull() | ~opened["is_object"]
-
-
 def decode_single(bodies: DataFrame) -> DataFrame:
     """(request_id, request_error, the seven command columns); the error is NULL for a readable body."""
-
-    def read(opened: Column) -> Column:
-        return F.struct(
-            _unreadable(opened).alias("unreadable"),
-            jf.read_object(opened["document"], opened["odd"], COMMAND_COLUMNS).alias("command"),
-        )
-
-    read_once = jf.once(jf.bind(_opened(COMMAND_COLUMNS), read))
-    decoded = bodies.withColumn("decoded", read_once)
-    bad = F.col("decoded.unreadable") | F.col("decoded.command.wrong").isNotNull()
-    return decoded.select(
+    opened = jf.open_objects(bodies, F.col("body"), COMMAND_COLUMNS)
+    found, metadata = F.col("fields"), F.col("metadata_text")
+    wrong = jf.once(jf.wrong(found, metadata, COMMAND_COLUMNS))
+    bad = F.col("unreadable").isNotNull() | F.col("wrong").isNotNull()
+    return opened.withColumn("wrong", wrong).select(
         "request_id",
         F.when(bad, F.lit(fx.SAY_BAD_BODY)).alias("request_error"),
-        *[F.col(f"decoded.command.{name}").alias(name) for name in COMMAND_COLUMNS],
+        *jf.values(found, metadata, COMMAND_COLUMNS),
     )
 
 
@@ -66,42 +45,52 @@ def decode_bulk(bodies: DataFrame) -> DataFrame:
 
     ``events`` holds the commands in request order. A missing list counts as empty.
     """
+    opened, body = F.col("document"), F.col("body")
+    listed = F.col("top.events")
+    parsed = bodies.withColumns(
+        {
+            "document": jf.once(jf.document(body)),
+            "odd": jf.once(jf.odd_case(body, ["events", *COMMAND_COLUMNS])),
+        }
+    ).withColumn("top", jf.once(_top(opened, F.col("odd"))))
+    items = F.try_variant_get(listed, "$", "array<variant>")
+    is_list = jf.absent(listed) | items.isNotNull()
+    is_object = F.col("top").isNotNull() | jf.is_null(opened)
+    read = parsed.withColumns(
+        {
+            "readable": jf.once(jf.is_json(opened) & is_object & is_list),
+            "items": jf.once(F.transform(items, lambda item: _item(item, F.col("odd")))),
+        }
+    )
+    wrong = F.exists("items", lambda i: i["wrong"].isNotNull())
+    n = F.coalesce(F.size("items"), F.lit(0))
+    request_error = (
+        F.when(~F.col("readable") | F.coalesce(wrong, F.lit(False)), F.lit(fx.SAY_BAD_BODY))
+        .when(n == 0, F.lit(fx.SAY_BULK_EMPTY))
+        .when(n > fx.MAX_BULK_EVENTS, F.lit(fx.SAY_BULK_TOO_LONG))
+    )
+    events = F.transform("items", lambda i: i["command"])
+    return read.select("request_id", jf.once(request_error).alias("request_error"), jf.once(events).alias("events"))
 
-    def item_command(item: Column, odd: Column) -> Column:
-        is_object = F.is_variant_null(item) | F.schema_of_variant(item).startswith("OBJECT")
-        wrong_kind = F.when(~is_object, F.lit("not an object"))
-        return F.struct(
-            wrong_kind.alias("wrong_kind"), jf.read_object(item, odd, COMMAND_COLUMNS).alias("command")
-        )
 
-    def read(opened: Column) -> Column:
-        return jf.bind(
-            F.struct(
-                _unreadable(opened).alias("unreadable"),
-                opened["odd"].alias("odd"),
-                jf.field(opened["document"], opened["odd"], "events").alias("listed"),
-            ),
-            read_list,
-        )
+def _top(opened: Column, odd: Column) -> Column:
+    found = jf.fields(opened, ["events"], "$[0]")
+    return F.when(odd, jf.any_case_fields(opened, found, ["events"], "$[0]")).otherwise(found)
+
 
-    def read_list(found: Column) -> Column:
-        listed = found["listed"]
-        items = F.try_variant_get(listed, "$", "array<variant>")
-        is_list = jf.absent(listed) | items.isNotNull()
+def _item(item: Column, odd: Column) -> Column:
+    """One event of the list: its command and what is wrong with it. A null item reads as blanks."""
+
+    def read(found: Column) -> Column:
+        return jf.bind(F.struct(found.alias("f"), F.to_json(found["metadata"]).alias("m")), judge)
+
+    def judge(x: Column) -> Column:
+        kind = F.when(x["f"].isNull() & ~F.is_variant_null(item), F.lit("not an object"))
         return F.struct(
-            (found["unreadable"] | ~is_list).alias("unreadable"),
-            F.transform(items, lambda item: item_command(item, found["odd"])).alias("items"),
+            F.struct(*jf.values(x["f"], x["m"], COMMAND_COLUMNS)).alias("command"),
+            F.coalesce(kind, jf.wrong(x["f"], x["m"], COMMAND_COLUMNS)).alias("wrong"),
         )
 
-    names = ["events", *COMMAND_COLUMNS]
-    decoded = bodies.withColumn("decoded", jf.once(jf.bind(_opened(names), read)))
-    items = F.col("decoded.items")
-    wrong = F.exists(items, lambda i: i["wrong_kind"].isNotNull() | i["command"]["wrong"].isNotNull())
-    n = F.coalesce(F.size(items), F.lit(0))
-    request_error = (
-        F.when(F.col("decoded.unreadable") | F.coalesce(wrong, F.lit(False)), F.lit(fx.SAY_BAD_BODY))
-        .when(n == 0, F.lit(fx.SAY_BULK_EMPTY))
-        .when(n > fx.MAX_BULK_EVENTS, F.lit(fx.SAY_BULK_TOO_LONG))
-    )
-    events = F.transform(items, lambda i: i["command"].dropFields("wrong"))
-    return decoded.select("request_id", request_error.alias("request_error"), events.alias("events"))
+    exact = jf.fields(item, COMMAND_COLUMNS)
+    found = F.when(odd, jf.any_case_fields(item, exact, COMMAND_COLUMNS)).otherwise(exact)
+    return jf.bind(found, read)
