@@ -57,15 +57,11 @@ def synthetic_events(spark: SparkSession, folder: str) -> DataFrame:
 # Validation and requests -----------------------------------------------------------------------------------
 
 
-def _codes(errors: Column) -> Column:
-    return F.array_join(F.transform(errors, lambda e: F.concat(e["field"], F.lit("="), e["code"])), ",")
-
-
 def validate_errors(spark: SparkSession, folder: str) -> DataFrame:
     faulty, now = inputs.faulty_commands(spark, folder)
     errors = F.col("errors")
     return validate.with_errors(faulty, now).select(
-        "src", F.size(errors).alias("n"), _codes(errors).alias("codes"), validate.errors_text(errors).alias("said")
+        "src", F.size(errors).alias("n"), validate.codes_text(errors).alias("codes"), F.expr(validate.errors_text("errors")).alias("said")
     )
 
 
@@ -115,13 +111,13 @@ def single_outcome(spark: SparkSession, folder: str) -> DataFrame:
         "status",
         F.coalesce("event_id", blank).alias("event_id"),
         F.coalesce("error", blank).alias("error"),
-        F.coalesce(_codes(F.col("errors")), blank).alias("codes"),
+        F.coalesce(validate.codes_text(F.col("errors")), blank).alias("codes"),
     )
 
 
 def metrics_request_errors(spark: SparkSession, folder: str) -> DataFrame:
     checked = validate.with_request_errors(inputs.metric_requests(spark, folder))
-    return checked.select("request_id", F.size("errors").alias("n"), _codes(F.col("errors")).alias("codes"))
+    return checked.select("request_id", F.size("errors").alias("n"), validate.codes_text(F.col("errors")).alias("codes"))
 
 
 # Rollup and versions ---------------------------------------------------------------------------------------

@@ -2,168 +2,164 @@
 
 A typed JSON reader is too lax for this (it turns the number 5 into the text '5'), so texts are parsed to
 VARIANT and the type of each field is looked at before its value is taken.
+
+The functions give SQL expression texts. The plan of a micro-batch is built anew each time, and one text is one
+call to the JVM where a tree of Column objects would be hundreds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: a date-time in RFC 3339 form.
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 
-# The fields of an event text and what each must be when it is there and not null.
+# The fields of an event text, and what each must be when it is there and not null.
 TEXT_FIELDS = ["event_id", "event_name", "channel", "campaign_id", "user_id"]
 OTHER_FIELDS = ["timestamp", "tags", "metadata", "created_at"]
+MUST_BE = {
+    "timestamp": "a whole number",
+    "tags": "a list of strings",
+    "metadata": "an object",
+    "created_at": "an RFC 3339 time",
+}
 
 # The stored timestamp has a range: 1970-01-01 00:00:00 to 2106-02-07 06:28:15.
 FIRST_SECOND = 0
 LAST_SECOND = 4294967295
 
-def parse(text: Column) -> Column:
-    """The text as VARIANT, NULL when it is not JSON."""
-    return F.try_parse_json(text)
+# The parser stops at the end of the first value and does not look at what follows. With this mark after the
+# text, anything else that follows shows.
+END = "end of text"
+
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
 
+def bind(value: str, name: str, use: str) -> str:
+    """``use`` of a value under a name, so that it is worked out once however often ``use`` mentions it."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
-def once(value: Column) -> Column:
+
+def once(value: str) -> str:
     """A value Spark must not work out again further up.
 
     A filter is pushed below the projection that makes a value by copying the whole expression, so every row
     would be parsed twice. Nothing is pushed past an expression that depends on where it runs.
     """
-    return F.when(F.spark_partition_id() >= 0, value)
-
+    return f"if(spark_partition_id() >= 0, {value}, NULL)"
 
-# The parser stops at the end of the first value and does not look at what follows. With this mark after the
-# text, anything else that follows shows.
-END = "end of text"
 
-
-def document(text: Column) -> Column:
+def document(text: str) -> str:
     """The text as the first item of a VARIANT list, so that text behind the value is noticed too."""
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')))
+    return f"""try_parse_json(concat('[', {text}, ',"{END}"]'))"""
 
 
-def is_json(opened: Column) -> Column:
+def is_json(opened: str) -> str:
     """Whether the text behind a ``document`` is one JSON value."""
-    return F.coalesce(F.try_variant_get(opened, "$[1]", "string") == END, F.lit(False))
+    return f"coalesce(try_variant_get({opened}, '$[1]', 'string') = '{END}', false)"
 
 
-def is_null(opened: Column) -> Column:
-    return F.coalesce(F.is_variant_null(F.try_variant_get(opened, "$[0]", "variant")), F.lit(False))
+def is_null(opened: str) -> str:
+    return f"coalesce(is_variant_null(try_variant_get({opened}, '$[0]', 'variant')), false)"
 
 
-def fields(value: Column, names: list[str], path: str = "$") -> Column:
+def fields(value: str, names: list[str], path: str = "$") -> str:
     """The named fields of a VARIANT object as a struct of VARIANTs; NULL when it is not an object."""
-    return F.try_variant_get(value, path, "struct<" + ",".join(f"`{name}`:variant" for name in names) + ">")
+    shape = ", ".join(f"{name}: variant" for name in names)
+    return f"try_variant_get({value}, '{path}', 'struct<{shape}>')"
 
 
-def odd_case(text: Column, names: list[str]) -> Column:
+def odd_case(text: str, names: list[str]) -> str:
     """Whether the text may hold one of the field names in other than lower case."""
     exact = "|".join(names)
-    return text.rlike(f'"(?!(?:{exact})")(?i:{exact})"')
+    return f"""rlike({text}, '"(?!(?:{exact})")(?i:{exact})"')"""
 
 
-def any_case_fields(value: Column, found: Column, names: list[str], path: str = "$") -> Column:
+def any_case_fields(value: str, found: str, names: list[str], path: str = "$") -> str:
     """``found`` with each field that is missing looked up by its name in any case."""
 
-    def fill(entries: Column) -> Column:
-        def alike(name: str) -> Column:
-            same = F.filter(entries, lambda entry: F.lower(entry["key"]) == name)
-            return F.get(same, F.size(same) - 1)["value"]
-
-        return F.struct(*[F.coalesce(found[name], alike(name)).alias(name) for name in names])
+    def alike(name: str) -> str:
+        return f"get(filter(named, entry -> lower(entry.key) = '{name}'), 0).value"
 
-    entries = F.map_entries(F.try_variant_get(value, path, "map<string,variant>"))
-    return F.when(found.isNotNull(), bind(entries, fill))
+    filled = ", ".join(f"'{name}', coalesce({found}.{name}, {alike(name)})" for name in names)
+    entries = f"map_entries(try_variant_get({value}, '{path}', 'map<string, variant>'))"
+    return f"if({found} IS NULL, NULL, {bind(entries, 'named', f'named_struct({filled})')})"
 
 
-def open_objects(rows: DataFrame, text: Column, names: list[str]) -> DataFrame:
+def open_objects(rows: DataFrame, text: str, names: list[str]) -> DataFrame:
     """Add ``unreadable`` (why a text is no JSON object, or NULL) and ``fields`` (its fields, as VARIANTs).
 
     A null text reads as an object without fields.
     """
-    opened = F.col("document")
-    found = F.col("fields")
-    some_missing = F.array_contains(F.array(*[found[name].isNull() for name in names]), F.lit(True))
-    looked_up = F.when(some_missing & odd_case(text, names), any_case_fields(opened, found, names, "$[0]"))
-    unreadable = F.when(~is_json(opened), F.lit("not JSON")).when(
-        found.isNull() & ~is_null(opened), F.lit("not a JSON object")
-    )
+    some_missing = " OR ".join(f"fields.{name} IS NULL" for name in names)
+    looked_up = f"""if(({some_missing}) AND {odd_case(text, names)},
+        {any_case_fields("document", "fields", names, "$[0]")}, fields)"""
+    unreadable = f"""CASE WHEN NOT {is_json("document")} THEN 'not JSON'
+        WHEN fields IS NULL AND NOT {is_null("document")} THEN 'not a JSON object' END"""
+    given = [f"`{c}`" for c in rows.columns]
     return (
-        rows.withColumn("document", once(document(text)))
-        .withColumn("fields", once(fields(opened, names, "$[0]")))
-        .withColumns({"unreadable": once(unreadable), "fields": once(F.coalesce(looked_up, found))})
-        .withColumn("metadata_text", once(F.to_json("fields.metadata")))
-        .drop("document")
+        rows.selectExpr(*given, f"{once(document(text))} AS document")
+        .selectExpr(*given, "document", f"{once(fields('document', names, '$[0]'))} AS fields")
+        .selectExpr(*given, f"{once(unreadable)} AS unreadable", f"{once(looked_up)} AS fields")
+        .selectExpr(*given, "unreadable", "fields", f"{once('to_json(fields.metadata)')} AS metadata_text")
     )
 
 
-def absent(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
-
-
-def no_texts() -> Column:
-    return F.array().cast("array<string>")
-
-
-def values(f: Column, metadata_text: Column, names: list[str]) -> list[Column]:
+def as_values(found: str, metadata_text: str, names: list[str]) -> dict[str, str]:
     """The fields as plain values; missing and null ones read as blanks.
 
     Metadata is given as canonical JSON: keys sorted, no white space.
     """
-    return [_value(name, metadata_text if name == "metadata" else f[name]).alias(name) for name in names]
+    return {name: _value(name, metadata_text if name == "metadata" else f"{found}.{name}") for name in names}
+
 
+def as_struct(values: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in values.items()) + ")"
 
-def wrong(f: Column, metadata_text: Column, names: list[str]) -> Column:
+
+def wrong(found: str, metadata_text: str, names: list[str]) -> str:
     """What is wrong with the first field that has the wrong type, or NULL."""
-    return F.coalesce(*[_wrong(name, metadata_text if name == "metadata" else f[name]) for name in names])
+    checks = [_wrong(name, metadata_text if name == "metadata" else f"{found}.{name}") for name in names]
+    return f"coalesce({', '.join(checks)})"
 
 
-def _value(name: str, value: Column) -> Column:
+def _value(name: str, value: str) -> str:
     if name == "timestamp":
-        return F.coalesce(F.try_variant_get(value, "$", "bigint"), F.lit(0).cast("bigint"))
+        return f"coalesce(try_variant_get({value}, '$', 'bigint'), 0L)"
     if name == "tags":
-        items = F.try_variant_get(value, "$", "array<string>")
-        filled = F.when(F.exists(items, lambda i: i.isNull()), F.transform(items, lambda i: F.coalesce(i, F.lit(""))))
-        return F.coalesce(filled, items, no_texts())
+        items = f"try_variant_get({value}, '$', 'array<string>')"
+        return f"coalesce(transform({items}, item -> coalesce(item, '')), CAST(array() AS array<string>))"
     if name == "metadata":
-        return F.when(value.startswith("{"), value).otherwise(F.lit("{}"))
-    return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
+        return f"if(startswith({value}, '{{'), {value}, '{{}}')"
+    return f"coalesce(try_variant_get({value}, '$', 'string'), '')"
 
 
-def _wrong(name: str, value: Column) -> Column:
+def _wrong(name: str, value: str) -> str:
+    complaint = f"'field {name} must be {MUST_BE.get(name, 'a string')}'"
     if name == "metadata":
-        return F.when((value != "null") & ~value.startswith("{"), F.lit("field metadata must be an object"))
-    kind = F.schema_of_variant(value)
-    if name == "timestamp":
-        fits, wanted = kind == "BIGINT", "a whole number"
-    elif name == "tags":
-        fits, wanted = kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), "a list of strings"
-    elif name == "created_at":
-        text = F.try_variant_get(value, "$", "string")
-        fits = (kind == "STRING") & text.rlike(RFC3339) & F.try_to_timestamp(text).isNotNull()
-        wanted = "an RFC 3339 time"
-    else:
-        fits, wanted = kind == "STRING", "a string"
-    return F.when(~absent(value) & ~fits, F.lit(f"field {name} must be {wanted}"))
+        return f"if({value} <> 'null' AND NOT startswith({value}, '{{'), {complaint}, NULL)"
+    kind = f"schema_of_variant({value})"
+    fits = {
+        "timestamp": f"{kind} = 'BIGINT'",
+        "tags": f"{kind} IN ('ARRAY<STRING>', 'ARRAY<VOID>')",
+        "created_at": f"{kind} = 'STRING' AND {_is_rfc3339(value)}",
+    }.get(name, f"{kind} = 'STRING'")
+    return f"if({value} IS NULL OR is_variant_null({value}) OR ({fits}), NULL, {complaint})"
 
 
-def leads_with(text: Column, mark: str) -> Column:
-    """Whether the first character after JSON white space is ``mark``; enough to tell the kind of a valid text."""
-    return F.ltrim(text, F.lit(" \t\n\r")).startswith(mark)
+def _is_rfc3339(value: str) -> str:
+    text = f"try_variant_get({value}, '$', 'string')"
+    return f"rlike({text}, {quoted(RFC3339)}) AND try_to_timestamp({text}) IS NOT NULL"
 
 
-def canonical_object(text: Column) -> Column:
+def canonical_object(text: str) -> str:
     """Canonical JSON of a text that holds an object; what cannot be read becomes '{}'."""
-    return F.when(leads_with(text, "{"), F.coalesce(F.to_json(parse(text)), F.lit("{}"))).otherwise(F.lit("{}"))
+    return f"if(ltrim({text}) LIKE '{{%', coalesce(to_json(try_parse_json({text})), '{{}}'), '{{}}')"
 
 
 def number_at(text: Column, name: str) -> Column:

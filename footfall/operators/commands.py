@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.clock import Moment, as_timestamp
 from footfall.functions.ids import event_id
-from footfall.functions.json_fields import canonical_object, no_texts
+from footfall.functions.json_fields import canonical_object
 from footfall.functions.schema import COMMAND_COLUMNS
 
 
@@ -21,8 +21,8 @@ def to_events(commands: DataFrame, ingest_time: Moment) -> DataFrame:
         event_id(F.col("event_name"), F.col("user_id"), F.col("timestamp"), F.col("channel")).alias("event_id"),
         *[value.alias(name) for name, value in text.items()],
         seconds.alias("timestamp"),
-        F.coalesce(F.col("tags"), no_texts()).alias("tags"),
-        canonical_object(F.col("metadata")).alias("metadata"),
+        F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
+        F.expr(canonical_object("metadata")).alias("metadata"),
         as_timestamp(ingest_time).alias("created_at"),
     )
 

@@ -18,7 +18,7 @@ def to_messages(events: DataFrame) -> DataFrame:
         *jf.TEXT_FIELDS,
         "timestamp",
         "tags",
-        jf.parse(F.col("metadata")).alias("metadata"),
+        F.try_parse_json("metadata").alias("metadata"),
         rfc3339(F.col("created_at")).alias("created_at"),
     )
     kept = [c for c in events.columns if c not in EVENTS.fieldNames()]
@@ -36,18 +36,21 @@ def decode(messages: DataFrame) -> DataFrame:
     Missing and null fields read as blanks, unknown fields are passed over. Ids are taken as they are and nothing
     is checked again; but a time that the events table cannot hold makes the message malformed.
     """
-    opened = jf.open_objects(messages, F.col("value").cast("string"), FIELDS)
-    found, metadata = F.col("fields"), F.col("metadata_text")
     stored = [name for name in FIELDS if name != "created_at"]
-    read = opened.withColumns(
-        {
-            "event": jf.once(F.struct(*jf.values(found, metadata, stored))),
-            "wrong": jf.once(jf.wrong(found, metadata, FIELDS)),
-        }
+    given = [f"`{c}`" for c in messages.columns]
+    event = jf.as_struct(jf.as_values("fields", "metadata_text", stored))
+    problem = f"""coalesce(unreadable, wrong, if(event.timestamp BETWEEN {jf.FIRST_SECOND} AND {jf.LAST_SECOND}, NULL,
+        'field timestamp is out of range'))"""
+    return (
+        jf.open_objects(messages, "CAST(value AS string)", FIELDS)
+        .selectExpr(
+            *given,
+            "unreadable",
+            f"{jf.once(event)} AS event",
+            f"{jf.once(jf.wrong('fields', 'metadata_text', FIELDS))} AS wrong",
+        )
+        .selectExpr(*given, "event", f"{problem} AS problem")
     )
-    storable = F.col("event.timestamp").between(jf.FIRST_SECOND, jf.LAST_SECOND)
-    problem = F.coalesce("unreadable", "wrong", F.when(~storable, F.lit("field timestamp is out of range")))
-    return read.select(*messages.columns, "event", problem.alias("problem"))
 
 
 def well_formed(decoded: DataFrame, created_at: Moment) -> DataFrame:

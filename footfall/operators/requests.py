@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from footfall.functions import fixed as fx
 from footfall.functions.clock import Moment, as_seconds
 from footfall.functions.ids import event_id
-from footfall.functions.json_fields import bind
+from footfall.functions.json_fields import once, quoted
 from footfall.operators.commands import to_events
-from footfall.operators.validate import errors_of, errors_text, valid, with_errors
+from footfall.operators.validate import errors_of, first_errors_text, valid, with_errors
 
 
 def bulk_events(decoded: DataFrame, ingest_time: Moment) -> DataFrame:
@@ -31,25 +31,27 @@ def accepted(events: DataFrame, now: Moment) -> DataFrame:
     return valid(with_errors(events, now))
 
 
+def _timed(decoded: DataFrame, now: Moment, published: Column | None) -> DataFrame:
+    return decoded.withColumns(
+        {"now": as_seconds(now), "published": F.lit(True) if published is None else published}
+    )
+
+
 def single_outcome(decoded: DataFrame, now: Moment, published: Column | None = None) -> DataFrame:
     """One answer per single-event request: 202 queued with the id, 400 with the errors, or 500."""
-    published = F.lit(True) if published is None else published
-    errors = F.when(F.col("request_error").isNull(), errors_of(F.col, F.col("now")))
-    timed = decoded.withColumns({"now": as_seconds(now), "published": published})
-    checked = timed.withColumn("errors", errors)
-    refused = F.col("request_error").isNotNull() | (F.size("errors") > 0)
-    status = F.when(refused, 400).when(F.col("published"), 202).otherwise(500)
-    said = (
-        F.when(F.col("request_error").isNotNull(), F.col("request_error"))
-        .when(F.size("errors") > 0, F.lit("validation failed"))
-        .when(~F.col("published"), F.lit("failed to process event"))
+    stamp = event_id(F.col("event_name"), F.col("user_id"), F.col("timestamp"), F.col("channel"))
+    checked = _timed(decoded, now, published).withColumn("stamp", stamp)
+    judged = checked.selectExpr("*", f"{once(f'if(request_error IS NULL, {errors_of()}, NULL)')} AS errors")
+    answered = judged.selectExpr(
+        "*",
+        "CASE WHEN request_error IS NOT NULL OR size(errors) > 0 THEN 400 WHEN published THEN 202 ELSE 500 END AS status",
     )
-    stamped = event_id(F.col("event_name"), F.col("user_id"), F.col("timestamp"), F.col("channel"))
-    return checked.select(
+    return answered.selectExpr(
         "request_id",
-        status.alias("status"),
-        F.when(status == 202, stamped).alias("event_id"),
-        said.alias("error"),
+        "status",
+        "if(status = 202, stamp, NULL) AS event_id",
+        """CASE WHEN request_error IS NOT NULL THEN request_error WHEN status = 400 THEN 'validation failed'
+           WHEN status = 500 THEN 'failed to process event' END AS error""",
         "errors",
     )
 
@@ -60,32 +62,33 @@ def bulk_outcome(decoded: DataFrame, now: Moment, published: Column | None = Non
     202 when all events were taken, 207 when some were, 400 when none was. ``published`` says whether handing the
     valid events on succeeded; where it did not, they fail too and are listed after the validation failures.
     """
-    published = F.lit(True) if published is None else published
-
-    def judge(event: Column, index: Column) -> Column:
-        errors = errors_of(lambda name: event[name], F.col("now"))
-        error = bind(errors, lambda found: F.when(F.size(found) > 0, errors_text(found)))
-        return F.struct(index.alias("index"), error.alias("error"))
-
-    timed = decoded.withColumns({"now": as_seconds(now), "published": published})
-    judged = timed.withColumn("judged", F.when(F.col("request_error").isNull(), F.transform("events", judge)))
-    failed = F.filter("judged", lambda e: e["error"].isNotNull())
-    sound = F.filter("judged", lambda e: e["error"].isNull())
-    split = judged.withColumns({"failed": failed, "sound": sound})
-    unpublished = F.transform("sound", lambda e: F.struct(e["index"], F.lit(fx.SAY_NOT_PUBLISHED).alias("error")))
-    n_failed = F.when(F.col("published"), F.size("failed")).otherwise(F.size("judged"))
-    n_taken = F.when(F.col("published"), F.size("sound")).otherwise(0)
-    status = (
-        F.when(F.col("request_error").isNotNull(), 400)
-        .when((n_failed > 0) & (n_taken > 0), 207)
-        .when(n_failed > 0, 400)
-        .otherwise(202)
-    )
-    return split.select(
-        "request_id",
-        "request_error",
-        status.alias("status"),
-        F.coalesce(n_taken, F.lit(0)).alias("success_count"),
-        F.coalesce(n_failed, F.lit(0)).alias("failed_count"),
-        F.when(F.col("published"), F.col("failed")).otherwise(F.concat("failed", unpublished)).alias("errors"),
+    judge = f"(e, i) -> named_struct('index', i, 'error', {first_errors_text(prefix='e.')})"
+    judged = once(f"if(request_error IS NULL, transform(events, {judge}), NULL)")
+    unsent = f"transform(sound, e -> named_struct('index', e.index, 'error', {quoted(fx.SAY_NOT_PUBLISHED)}))"
+    return (
+        _timed(decoded, now, published)
+        .selectExpr("request_id", "request_error", "published", f"{judged} AS judged")
+        .selectExpr(
+            "request_id",
+            "request_error",
+            "published",
+            f"{once('filter(judged, e -> e.error IS NOT NULL)')} AS failed",
+            f"{once('filter(judged, e -> e.error IS NULL)')} AS sound",
+        )
+        .selectExpr(
+            "request_id",
+            "request_error",
+            "coalesce(if(published, size(sound), 0), 0) AS success_count",
+            "coalesce(if(published, size(failed), size(failed) + size(sound)), 0) AS failed_count",
+            f"if(published, failed, concat(failed, {unsent})) AS errors",
+        )
+        .selectExpr(
+            "request_id",
+            "request_error",
+            """CASE WHEN request_error IS NOT NULL THEN 400 WHEN failed_count > 0 AND success_count > 0 THEN 207
+               WHEN failed_count > 0 THEN 400 ELSE 202 END AS status""",
+            "success_count",
+            "failed_count",
+            "errors",
+        )
     )

@@ -1,7 +1,8 @@
-"""Data-quality rules as columns: every row gets the list of all its failures.
+"""Data-quality rules: every row gets the list of all its failures.
 
-A rule is a function of (field getter, now) giving an error struct or NULL. The getter makes the same rules
-usable on table columns and on the items of an array column.
+A rule is a function from a prefix to a SQL expression that gives an error struct or NULL. With the prefix '' it
+speaks of the columns of a row, with 'e.' of the fields of an event ``e`` inside an array. ``now`` is a column
+of the row, in epoch seconds.
 """
 
 from __future__ import annotations
@@ -13,111 +14,110 @@ from pyspark.sql import functions as F
 
 from footfall.functions import fixed as fx
 from footfall.functions.clock import Moment, as_seconds
-from footfall.functions.json_fields import once
+from footfall.functions.json_fields import bind, once, quoted
 
-GetField = Callable[[str], Column]
-Rule = Callable[[GetField, Column], Column]
+Rule = Callable[[str], str]
 
-ERRORS = "array<struct<field:string,code:string,message:string>>"
+ERRORS = "array<struct<field: string, code: string, message: string>>"
 
 
-def error(field: str | Column, code: str, message: str) -> Column:
-    name = field if isinstance(field, Column) else F.lit(field)
-    return F.struct(name.alias("field"), F.lit(code).alias("code"), F.lit(message).alias("message"))
+def error(field: str, code: str, message: str) -> str:
+    """An error struct; ``field`` is a SQL expression."""
+    return f"named_struct('field', {field}, 'code', {quoted(code)}, 'message', {quoted(message)})"
 
 
 def short_text(field: str, say_required: str, say_too_long: str) -> Rule:
     """A rule for a text that must be there and fit in the byte limit."""
-
-    def rule(get: GetField, now: Column) -> Column:
-        return F.when(get(field) == "", error(field, fx.REQUIRED, say_required)).when(
-            F.octet_length(get(field)) > fx.MAX_NAME_BYTES, error(field, fx.TOO_LONG, say_too_long)
-        )
-
-    return rule
+    missing = error(quoted(field), fx.REQUIRED, say_required)
+    too_long = error(quoted(field), fx.TOO_LONG, say_too_long)
+    return lambda e: f"""CASE WHEN {e}{field} = '' THEN {missing}
+        WHEN octet_length({e}{field}) > {fx.MAX_NAME_BYTES} THEN {too_long} END"""
 
 
 name_rule = short_text("event_name", fx.SAY_NAME_REQUIRED, fx.SAY_NAME_TOO_LONG)
 user_rule = short_text("user_id", fx.SAY_USER_REQUIRED, fx.SAY_USER_TOO_LONG)
 
 
-def time_rule(get: GetField, now: Column) -> Column:
-    at = get("timestamp")
-    return (
-        F.when(at == 0, error("timestamp", fx.REQUIRED, fx.SAY_TIME_REQUIRED))
-        .when(at > now, error("timestamp", fx.IN_FUTURE, fx.SAY_TIME_FUTURE))
-        .when(at < now - fx.MAX_AGE_SECONDS, error("timestamp", fx.EXPIRED, fx.SAY_TIME_EXPIRED))
-    )
+def time_rule(e: str) -> str:
+    return f"""CASE
+        WHEN {e}timestamp = 0 THEN {error("'timestamp'", fx.REQUIRED, fx.SAY_TIME_REQUIRED)}
+        WHEN {e}timestamp > now THEN {error("'timestamp'", fx.IN_FUTURE, fx.SAY_TIME_FUTURE)}
+        WHEN {e}timestamp < now - {fx.MAX_AGE_SECONDS}
+          THEN {error("'timestamp'", fx.EXPIRED, fx.SAY_TIME_EXPIRED)} END"""
+
 
+def one_of(field: str, words: list[str], code: str, message: str) -> Rule:
+    """A rule for a text that must be one of a few words or ''."""
+    allowed = ", ".join(quoted(word) for word in ["", *words])
+    return lambda e: f"CASE WHEN {e}{field} NOT IN ({allowed}) THEN {error(quoted(field), code, message)} END"
 
-def channel_rule(get: GetField, now: Column) -> Column:
-    return F.when(~get("channel").isin("", *fx.CHANNELS), error("channel", fx.BAD_CHANNEL, fx.SAY_CHANNEL))
 
+channel_rule = one_of("channel", fx.CHANNELS, fx.BAD_CHANNEL, fx.SAY_CHANNEL)
 
-def tags_rule(get: GetField, now: Column) -> Column:
-    tags = get("tags")
-    too_long = F.transform(tags, lambda tag: F.octet_length(tag) > fx.MAX_TAG_BYTES)
-    first = F.array_position(too_long, F.lit(True)) - 1
-    where = F.concat(F.lit("tags["), first.cast("string"), F.lit("]"))
-    return F.when(F.size(tags) > fx.MAX_TAGS, error("tags", fx.TOO_MANY_TAGS, fx.SAY_TAGS)).when(
-        first >= 0, error(where, fx.TAG_TOO_LONG, fx.SAY_TAG)
-    )
+
+def tags_rule(e: str) -> str:
+    too_long = f"transform({e}tags, tag -> octet_length(tag) > {fx.MAX_TAG_BYTES})"
+    first = f"(array_position({too_long}, true) - 1)"
+    which = error(f"concat('tags[', {first}, ']')", fx.TAG_TOO_LONG, fx.SAY_TAG)
+    return f"""CASE WHEN size({e}tags) > {fx.MAX_TAGS} THEN {error("'tags'", fx.TOO_MANY_TAGS, fx.SAY_TAGS)}
+        WHEN {first} >= 0 THEN {which} END"""
 
 
 EVENT_RULES: Sequence[Rule] = (name_rule, user_rule, time_rule, channel_rule, tags_rule)
 
 
-def errors_of(get: GetField, now: Moment, rules: Sequence[Rule] = EVENT_RULES) -> Column:
+def errors_of(rules: Sequence[Rule] = EVENT_RULES, prefix: str = "") -> str:
     """All failures of one event, in the order of the rules."""
-    found = F.array(*[rule(get, as_seconds(now)) for rule in rules])
-    return F.filter(found, lambda e: e.isNotNull()).cast(ERRORS)
+    found = ", ".join(rule(prefix) for rule in rules)
+    return f"CAST(filter(array({found}), x -> x IS NOT NULL) AS {ERRORS})"
 
 
-def errors_text(errors: Column) -> Column:
+def errors_text(errors: str) -> str:
     """``field: message; field: message``."""
-    lines = F.transform(errors, lambda e: F.concat(e["field"], F.lit(": "), e["message"]))
-    return F.when(F.size(errors) == 0, F.lit(fx.SAY_NO_DETAIL)).otherwise(F.array_join(lines, "; "))
+    lines = f"array_join(transform({errors}, x -> concat(x.field, ': ', x.message)), '; ')"
+    return f"if(size({errors}) = 0, {quoted(fx.SAY_NO_DETAIL)}, {lines})"
+
+
+def first_errors_text(rules: Sequence[Rule] = EVENT_RULES, prefix: str = "") -> str:
+    """The text of all failures of one event, NULL when there are none."""
+    return bind(errors_of(rules, prefix), "errs", f"if(size(errs) = 0, NULL, {errors_text('errs')})")
 
 
 def with_errors(events: DataFrame, now: Moment, rules: Sequence[Rule] = EVENT_RULES) -> DataFrame:
+    given = [f"`{c}`" for c in events.columns]
     timed = events.withColumn("now", as_seconds(now))
-    return timed.withColumn("errors", once(errors_of(F.col, F.col("now"), rules))).drop("now")
+    return timed.selectExpr(*given, f"{once(errors_of(rules))} AS errors")
 
 
 def valid(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("errors") == 0).drop("errors")
+    return checked.where("size(errors) = 0").drop("errors")
 
 
 def invalid(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("errors") > 0)
+    return checked.where("size(errors) > 0")
 
 
 # Metrics requests ------------------------------------------------------------------------------------------
 
 
-def _ask_required(field: str, blank: Column, message: str) -> Rule:
-    return lambda get, now: F.when(get(field) == blank, error(field, fx.REQUIRED, message))
+def required(field: str, blank: str, message: str) -> Rule:
+    return lambda e: f"CASE WHEN {e}`{field}` = {blank} THEN {error(quoted(field), fx.REQUIRED, message)} END"
 
 
-def _ask_range(get: GetField, now: Column) -> Column:
-    both = (get("from") != 0) & (get("to") != 0)
-    return F.when(both & (get("to") <= get("from")), error("to", fx.BAD_RANGE, fx.SAY_RANGE))
+def range_rule(e: str) -> str:
+    start, end = f"{e}`from`", f"{e}`to`"
+    return f"""CASE WHEN {start} <> 0 AND {end} <> 0 AND {end} <= {start}
+        THEN {error("'to'", fx.BAD_RANGE, fx.SAY_RANGE)} END"""
 
 
-def _ask_one_of(field: str, words: list[str], code: str, message: str) -> Rule:
-    return lambda get, now: F.when(~get(field).isin("", *words), error(field, code, message))
-
-
-def request_rules() -> list[Rule]:
-    return [
-        _ask_required("event_name", F.lit(""), fx.SAY_NAME_REQUIRED),
-        _ask_required("from", F.lit(0), fx.SAY_FROM_REQUIRED),
-        _ask_required("to", F.lit(0), fx.SAY_TO_REQUIRED),
-        _ask_range,
-        _ask_one_of("channel", fx.CHANNELS, fx.BAD_CHANNEL, fx.SAY_QUERY_CHANNEL),
-        _ask_one_of("group_by", fx.GROUPINGS, fx.BAD_GROUPING, fx.SAY_GROUPING),
-    ]
-
+REQUEST_RULES: Sequence[Rule] = (
+    required("event_name", "''", fx.SAY_NAME_REQUIRED),
+    required("from", "0", fx.SAY_FROM_REQUIRED),
+    required("to", "0", fx.SAY_TO_REQUIRED),
+    range_rule,
+    one_of("channel", fx.CHANNELS, fx.BAD_CHANNEL, fx.SAY_QUERY_CHANNEL),
+    one_of("group_by", fx.GROUPINGS, fx.BAD_GROUPING, fx.SAY_GROUPING),
+)
 
 # What a missing part of a metrics request reads as.
 REQUEST_BLANKS = {"event_name": "", "from": 0, "to": 0, "channel": "", "group_by": ""}
@@ -126,7 +126,7 @@ REQUEST_BLANKS = {"event_name": "", "from": 0, "to": 0, "channel": "", "group_by
 def with_request_errors(requests: DataFrame) -> DataFrame:
     """A table of metrics requests with the list of what is wrong with each."""
     filled = requests.withColumns({c: F.coalesce(F.col(c), F.lit(blank)) for c, blank in REQUEST_BLANKS.items()})
-    return filled.withColumn("errors", errors_of(F.col, 0, request_rules()))
+    return filled.withColumn("errors", F.expr(errors_of(REQUEST_RULES)))
 
 
 def check_request(
@@ -138,3 +138,8 @@ def check_request(
     errors = with_request_errors(one).first()["errors"]
     if errors:
         raise ValueError([tuple(e) for e in errors])
+
+
+def codes_text(errors: Column) -> Column:
+    """``field=code,field=code``."""
+    return F.array_join(F.transform(errors, lambda x: F.concat(x["field"], F.lit("="), x["code"])), ",")

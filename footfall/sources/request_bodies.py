@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import fixed as fx
 from footfall.functions import json_fields as jf
 from footfall.functions.schema import COMMAND_COLUMNS
 
-BODY_SCHEMA = "request_id string, body string"
-
 
 def read_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts of a folder, one request per line, numbered by what they hold and where they came from."""
-    return _numbered(spark.read.text(folder))
+    """Texts of a folder, one request per line, named by what they hold and the file they came in."""
+    return _named(spark.read.text(folder))
 
 
 def stream_bodies(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    return _numbered(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
+    return _named(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    return lines.select(F.sha2(F.concat_ws("|", F.input_file_name(), "value"), 256).alias("request_id"), "value").toDF(
-        "request_id", "body"
-    )
+def _named(lines: DataFrame) -> DataFrame:
+    name = F.sha2(F.concat_ws("|", F.input_file_name(), "value"), 256)
+    return lines.select(name.alias("request_id"), F.col("value").alias("body"))
 
 
 def decode_single(bodies: DataFrame) -> DataFrame:
     """(request_id, request_error, the seven command columns); the error is NULL for a readable body."""
-    opened = jf.open_objects(bodies, F.col("body"), COMMAND_COLUMNS)
-    found, metadata = F.col("fields"), F.col("metadata_text")
-    wrong = jf.once(jf.wrong(found, metadata, COMMAND_COLUMNS))
-    bad = F.col("unreadable").isNotNull() | F.col("wrong").isNotNull()
-    return opened.withColumn("wrong", wrong).select(
+    opened = jf.open_objects(bodies.select("request_id", "body"), "body", COMMAND_COLUMNS)
+    problem = f"unreadable IS NOT NULL OR {jf.wrong('fields', 'metadata_text', COMMAND_COLUMNS)} IS NOT NULL"
+    values = jf.as_values("fields", "metadata_text", COMMAND_COLUMNS)
+    return opened.selectExpr(
         "request_id",
-        F.when(bad, F.lit(fx.SAY_BAD_BODY)).alias("request_error"),
-        *jf.values(found, metadata, COMMAND_COLUMNS),
+        f"{jf.once(f'if({problem}, {jf.quoted(fx.SAY_BAD_BODY)}, NULL)')} AS request_error",
+        *[f"{value} AS {name}" for name, value in values.items()],
     )
 
 
@@ -45,52 +41,43 @@ def decode_bulk(bodies: DataFrame) -> DataFrame:
 
     ``events`` holds the commands in request order. A missing list counts as empty.
     """
-    opened, body = F.col("document"), F.col("body")
-    listed = F.col("top.events")
-    parsed = bodies.withColumns(
-        {
-            "document": jf.once(jf.document(body)),
-            "odd": jf.once(jf.odd_case(body, ["events", *COMMAND_COLUMNS])),
-        }
-    ).withColumn("top", jf.once(_top(opened, F.col("odd"))))
-    items = F.try_variant_get(listed, "$", "array<variant>")
-    is_list = jf.absent(listed) | items.isNotNull()
-    is_object = F.col("top").isNotNull() | jf.is_null(opened)
-    read = parsed.withColumns(
-        {
-            "readable": jf.once(jf.is_json(opened) & is_object & is_list),
-            "items": jf.once(F.transform(items, lambda item: _item(item, F.col("odd")))),
-        }
-    )
-    wrong = F.exists("items", lambda i: i["wrong"].isNotNull())
-    n = F.coalesce(F.size("items"), F.lit(0))
-    request_error = (
-        F.when(~F.col("readable") | F.coalesce(wrong, F.lit(False)), F.lit(fx.SAY_BAD_BODY))
-        .when(n == 0, F.lit(fx.SAY_BULK_EMPTY))
-        .when(n > fx.MAX_BULK_EVENTS, F.lit(fx.SAY_BULK_TOO_LONG))
+    found = jf.fields("document", ["events"], "$[0]")
+    top = f"if(odd, {jf.any_case_fields('document', found, ['events'], '$[0]')}, {found})"
+    items = "try_variant_get(top.events, '$', 'array<variant>')"
+    readable = f"""{jf.is_json("document")} AND (top IS NOT NULL OR {jf.is_null("document")})
+        AND (top.events IS NULL OR is_variant_null(top.events) OR {items} IS NOT NULL)"""
+    request_error = f"""CASE
+        WHEN NOT readable OR coalesce(exists(items, i -> i.wrong IS NOT NULL), false)
+          THEN {jf.quoted(fx.SAY_BAD_BODY)}
+        WHEN coalesce(size(items), 0) = 0 THEN {jf.quoted(fx.SAY_BULK_EMPTY)}
+        WHEN size(items) > {fx.MAX_BULK_EVENTS} THEN {jf.quoted(fx.SAY_BULK_TOO_LONG)} END"""
+    return (
+        bodies.selectExpr(
+            "request_id",
+            f"{jf.once(jf.document('body'))} AS document",
+            f"{jf.once(jf.odd_case('body', ['events', *COMMAND_COLUMNS]))} AS odd",
+        )
+        .selectExpr("*", f"{jf.once(top)} AS top")
+        .selectExpr(
+            "request_id",
+            f"{jf.once(readable)} AS readable",
+            f"{jf.once(f'transform({items}, item -> {_item()})')} AS items",
+        )
+        .selectExpr(
+            "request_id",
+            f"{jf.once(request_error)} AS request_error",
+            f"{jf.once('transform(items, i -> i.command)')} AS events",
+        )
     )
-    events = F.transform("items", lambda i: i["command"])
-    return read.select("request_id", jf.once(request_error).alias("request_error"), jf.once(events).alias("events"))
 
 
-def _top(opened: Column, odd: Column) -> Column:
-    found = jf.fields(opened, ["events"], "$[0]")
-    return F.when(odd, jf.any_case_fields(opened, found, ["events"], "$[0]")).otherwise(found)
-
-
-def _item(item: Column, odd: Column) -> Column:
+def _item() -> str:
     """One event of the list: its command and what is wrong with it. A null item reads as blanks."""
-
-    def read(found: Column) -> Column:
-        return jf.bind(F.struct(found.alias("f"), F.to_json(found["metadata"]).alias("m")), judge)
-
-    def judge(x: Column) -> Column:
-        kind = F.when(x["f"].isNull() & ~F.is_variant_null(item), F.lit("not an object"))
-        return F.struct(
-            F.struct(*jf.values(x["f"], x["m"], COMMAND_COLUMNS)).alias("command"),
-            F.coalesce(kind, jf.wrong(x["f"], x["m"], COMMAND_COLUMNS)).alias("wrong"),
-        )
-
-    exact = jf.fields(item, COMMAND_COLUMNS)
-    found = F.when(odd, jf.any_case_fields(item, exact, COMMAND_COLUMNS)).otherwise(exact)
-    return jf.bind(found, read)
+    exact = jf.fields("item", COMMAND_COLUMNS)
+    found = f"if(odd, {jf.any_case_fields('item', exact, COMMAND_COLUMNS)}, {exact})"
+    kind = "if(x.f IS NULL AND NOT is_variant_null(item), 'not an object', NULL)"
+    judged = f"""named_struct(
+        'command', {jf.as_struct(jf.as_values("x.f", "x.m", COMMAND_COLUMNS))},
+        'wrong', coalesce({kind}, {jf.wrong("x.f", "x.m", COMMAND_COLUMNS)}))"""
+    parts = jf.bind("named_struct('f', f, 'm', to_json(f.metadata))", "x", judged)
+    return jf.bind(found, "f", parts)

@@ -33,7 +33,7 @@ def refused(decoded: DataFrame, events: DataFrame) -> DataFrame:
     requests = decoded.where("request_error IS NOT NULL").select(
         "request_id", F.lit(None).cast("int").alias("index"), F.col("request_error").alias("reason")
     )
-    single = invalid(events).select("request_id", "index", errors_text(F.col("errors")).alias("reason"))
+    single = invalid(events).select("request_id", "index", F.expr(errors_text("errors")).alias("reason"))
     return requests.unionByName(single)
 
 
