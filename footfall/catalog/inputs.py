@@ -14,7 +14,7 @@ from footfall.functions.schema import HEADERS
 from footfall.operators.commands import to_events, to_rows
 from footfall.operators.failures import header
 from footfall.operators.messages import to_messages
-from footfall.session import prepare
+from footfall.session import prepare, spread
 from footfall.sources import raw_events as raw
 
 # The fixed question of the metric queries; both ends lie inside an hour.
@@ -35,6 +35,11 @@ def commands(spark: SparkSession, folder: str) -> DataFrame:
     return raw.as_commands(table(spark, folder))
 
 
+def spread_commands(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for queries that write or read JSON for every row."""
+    return raw.as_commands(spread(table(spark, folder)))
+
+
 def rows_of(raw_rows: DataFrame) -> DataFrame:
     """Stored event rows; each is ingested at its own second."""
     seconds = F.timestamp_seconds("timestamp")
@@ -57,7 +62,7 @@ def sent_again(spark: SparkSession, folder: str) -> DataFrame:
 def faulty_commands(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
     """Commands with faults, many rows with several; and "now", the newest second of the table."""
     now = raw.newest_second(table(spark, folder))
-    ok = commands(spark, folder)
+    ok = spread_commands(spark, folder)
     name = (
         F.when(hits(7), F.lit(""))
         .when(hits(11), F.repeat(F.lit("n"), 101))
@@ -109,7 +114,7 @@ def bulk_bodies(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
         .when(hits(67), F.lit('{"events": {"event_name": "x"}}'))
         .otherwise(F.to_json(F.struct(F.transform(places, item).alias("events"))))
     )
-    return commands(spark, folder).select(src.cast("string").alias("request_id"), body.alias("body")), now
+    return spread_commands(spark, folder).select(src.cast("string").alias("request_id"), body.alias("body")), now
 
 
 def single_bodies(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
@@ -125,7 +130,7 @@ def single_bodies(spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:
         .when(hits(71), F.to_json(odd_name))
         .otherwise(F.to_json(F.struct(*fields)))
     )
-    return commands(spark, folder).select(F.col("src").cast("string").alias("request_id"), body.alias("body")), now
+    return spread_commands(spark, folder).select(F.col("src").cast("string").alias("request_id"), body.alias("body")), now
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def damaged(messages: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    return damaged(placed(to_messages(events(spark, folder))))
+    return damaged(placed(to_messages(rows_of(spread(table(spark, folder))))))
 
 
 def retry_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,7 +181,7 @@ def retry_messages(spark: SparkSession, folder: str) -> DataFrame:
     ]
     none, some = F.array(*rest), F.array(*rest[:1], header("retry_count", given), *rest[1:])
     headers = F.when(F.col("src") % 9 == 0, none).otherwise(some).cast(HEADERS)
-    return placed(to_messages(events(spark, folder))).withColumn("headers", headers)
+    return placed(to_messages(rows_of(spread(table(spark, folder))))).withColumn("headers", headers)
 
 
 def metric_requests(spark: SparkSession, folder: str) -> DataFrame:

@@ -335,7 +335,8 @@ def _landed(spark: SparkSession, folder: str, **how) -> Tables:
     raw_stream = raw_events.stream_raw(inputs.prepare(spark), folder)
     sent = inputs.damaged(inputs.placed(messages.to_messages(inputs.rows_of(raw_stream))))
     tables = Tables(spark, f"{root}/tables")
-    start_landing(sent, tables, f"{root}/checkpoint", **how).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    start_landing(sent, tables, f"{root}/checkpoint", tasks=cores, **how).awaitTermination()
     return tables
 
 

@@ -76,38 +76,59 @@ def metrics(
 ASK = ["event_name", "first_hour", "last_hour", "channel", "group_by"]
 
 
+def with_days(hourly: DataFrame) -> DataFrame:
+    """Merged rollup rows at two levels: ``span`` 'hour', and 'day' for whole days."""
+    hours = merge_hourly(hourly)
+    days = hours.groupBy("event_name", "channel", "event_date").agg(
+        total("event_count").alias("event_count"), merged_state("unique_users_state").alias("unique_users_state")
+    )
+    days = days.withColumns({"hour": F.col("event_date").cast("timestamp"), "span": F.lit("day")})
+    return hours.withColumn("span", F.lit("hour")).unionByName(days)
+
+
 def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
     """Answer a whole table of requests (request_id, event_name, from, to, channel, group_by) in one job.
 
     Requests with errors get no answer. Requests are cut to whole hours and made distinct first, so a question
-    asked a million times is worked out once. Each question then meets the rollup on (event_name, event_date),
-    one row per day it spans, which spreads a busy event name over its days. No side is broadcast by hint: Spark
+    asked a million times is worked out once. Each question then meets the rollup on (event_name, event_date,
+    span), one row per day it covers, which spreads a busy event name over its days. A day that lies wholly in
+    the range is met as one row instead of 24, unless hours were asked for. No side is broadcast by hint: Spark
     sees the real sizes at run time and broadcasts the small side, or splits skewed keys of a sort-merge join.
     """
     hour_seconds = F.unix_seconds("hour")
-    asked = valid(with_request_errors(requests)).select(
+    asked = valid(with_request_errors(requests)).selectExpr(
         "request_id",
         "event_name",
-        (F.ceil(F.col("from") / 3600) * 3600).alias("first_hour"),
-        (F.floor(F.col("to") / 3600) * 3600).alias("last_hour"),
+        "ceil(`from` / 3600) * 3600 AS first_hour",
+        "floor(`to` / 3600) * 3600 AS last_hour",
         "channel",
         "group_by",
     )
-    rollup = merge_hourly(hourly)
     ends = hourly.agg(F.min(hour_seconds).alias("low"), F.max(hour_seconds).alias("high"))
     first = F.greatest("first_hour", ends.select("low").scalar())
     last = F.least("last_hour", ends.select("high").scalar())
-    questions = asked.select(*ASK).distinct()
     days = (
-        questions.withColumns({"first": first, "last": last})
+        asked.select(*ASK)
+        .distinct()
+        .withColumns({"first": first, "last": last})
         .where("first <= last")
-        .withColumn("first_day", F.to_date(F.timestamp_seconds("first")))
-        .withColumn("last_day", F.to_date(F.timestamp_seconds("last")))
-        .withColumn("event_date", F.explode(F.sequence("first_day", "last_day")))
+        .selectExpr(
+            "*",
+            "explode(sequence(to_date(timestamp_seconds(first)), to_date(timestamp_seconds(last)))) AS event_date",
+        )
+        .withColumn("midnight", F.unix_seconds(F.col("event_date").cast("timestamp")))
+        .withColumn(
+            "span",
+            F.expr(
+                """if(group_by <> 'hour' AND first_hour <= midnight AND last_hour >= midnight + 23 * 3600,
+                'day', 'hour')"""
+            ),
+        )
         .withColumnRenamed("channel", "wanted")
     )
-    hits = days.join(rollup, ["event_name", "event_date"]).where(
-        hour_seconds.between(F.col("first"), F.col("last")) & F.col("wanted").isin("", F.col("channel"))
+    hits = days.join(with_days(hourly), ["event_name", "event_date", "span"]).where(
+        ((F.col("span") == "day") | hour_seconds.between(F.col("first"), F.col("last")))
+        & F.col("wanted").isin("", F.col("channel"))
     )
     key = (
         F.when(F.col("group_by") == "channel", F.col("channel"))
@@ -119,19 +140,19 @@ def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
     by_key = hits.groupBy(*question, key.alias("key")).agg(
         total("event_count").alias("event_count"), merged_state("unique_users_state").alias("unique_users_state")
     )
-    whole = by_key.groupBy(*question).agg(*counts())
+    whole = by_key.groupBy(*question).agg(*counts()).withColumnRenamed("wanted", "channel")
     groups = by_key.where("group_by <> ''").select(
         *question,
         "key",
         F.col("event_count").alias("total_count"),
         distinct_count(F.col("unique_users_state")).alias("unique_users"),
     )
-    totals = asked.join(whole.withColumnRenamed("wanted", "channel"), ASK, "left").select(
+    totals = asked.join(whole, ASK, "left").selectExpr(
         "request_id",
-        F.lit("total").alias("scope"),
-        F.lit("").alias("key"),
-        F.coalesce("total_count", F.lit(0)).alias("total_count"),
-        F.coalesce("unique_users", F.lit(0)).alias("unique_users"),
+        "'total' AS scope",
+        "'' AS key",
+        "coalesce(total_count, 0) AS total_count",
+        "coalesce(unique_users, 0) AS unique_users",
     )
     grouped = asked.join(groups.withColumnRenamed("wanted", "channel"), ASK).select(
         "request_id", F.lit("group").alias("scope"), "key", "total_count", "unique_users"
@@ -139,7 +160,6 @@ def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
     return totals.unionByName(grouped)
 
 
-
 def shaped(answers: DataFrame) -> DataFrame:
     """One row per request with its groups as a list in key order; a request has at most one group per hour asked."""
     group = F.when(F.col("scope") == "group", F.struct("key", "total_count", "unique_users"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -27,3 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/footfall/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows over at least ``tasks`` partitions (by default one per core), for work that costs much per row.
+
+    Only a small input has fewer partitions than the cluster has cores; any other is left as it is read.
+    """
+    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows

@@ -46,10 +46,10 @@ class Tables:
         return f"{self.root}/{table}"
 
     def create(self) -> Tables:
-        """Make the empty tables that are not there yet."""
-        for table, schema in SCHEMAS.items():
-            if not self._glob(self.path(table)):
-                self.spark.createDataFrame([], schema).write.mode("append").parquet(self.path(table))
+        """Make the folders of tables that are not there yet."""
+        for table in SCHEMAS:
+            path, files = self._files(self.path(table))
+            files.mkdirs(path)
         return self
 
     # Reading ----------------------------------------------------------------------------------------------

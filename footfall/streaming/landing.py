@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from footfall.operators import failures
 from footfall.operators.messages import decode, malformed, well_formed
 from footfall.operators.rollup import hourly_partials
+from footfall.session import spread
 from footfall.sources.tables import Tables
 
 Clock = Callable[[], datetime]
@@ -32,7 +33,14 @@ def insert(tables: Tables, rows: DataFrame, batch_id: str) -> None:
 
 
 def land(
-    batch: DataFrame, number: int, tables: Tables, stream: str, topic: str, at: datetime, store: Insert = insert
+    batch: DataFrame,
+    number: int,
+    tables: Tables,
+    stream: str,
+    topic: str,
+    at: datetime,
+    store: Insert = insert,
+    tasks: int | None = None,
 ) -> None:
     """One micro-batch. Malformed messages become dead letters; if the rest cannot be stored, all of it goes to retry.
 
@@ -41,7 +49,7 @@ def land(
     """
     batch_id = batch_name(stream, number)
     tables.drop_batch(batch_id)
-    decoded = decode(batch).persist()
+    decoded = decode(spread(batch, tasks) if tasks else batch).persist()
     try:
         tables.write_dead_letters(failures.dead_on_arrival(malformed(decoded), topic, at), batch_id)
         try:
@@ -69,12 +77,16 @@ def start_landing(
     clock: Clock = utc_now,
     store: Insert = insert,
     trigger: dict | None = None,
+    tasks: int | None = None,
 ) -> StreamingQuery:
-    """Start the job. ``trigger`` is passed on to Spark; the default takes what is there and stops."""
+    """Start the job. ``trigger`` is passed on to Spark; the default takes what is there and stops.
+
+    With ``tasks``, a batch that is read in fewer partitions is spread over that many to be decoded.
+    """
     tables.create()
 
     def each(batch: DataFrame, number: int) -> None:
-        land(batch, number, tables, stream, topic, clock(), store)
+        land(batch, number, tables, stream, topic, clock(), store, tasks)
 
     writer = messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
