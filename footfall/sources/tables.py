@@ -61,10 +61,12 @@ class Tables:
     def read(self, table: str) -> DataFrame:
         """The rows that count: finished merges in place of the partitions they were made from."""
         rows = self.stored(table)
-        merges = self._merges(table)
-        if merges is None:
+        if "event_date" not in rows.columns:
             return rows
         is_merge = F.col("batch_id").startswith(MERGED)
+        merges = self._merges(table)
+        if merges is None:
+            return rows.where(~is_merge)
         done = merges.select("event_date", F.col("merged_id").alias("batch_id")).distinct()
         finished = rows.where(is_merge).join(done, ["event_date", "batch_id"], "left_semi")
         replaced = merges.select("event_date", "batch_id")
