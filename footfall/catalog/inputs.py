@@ -50,6 +50,10 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return rows_of(table(spark, folder))
 
 
+def spread_events(spark: SparkSession, folder: str) -> DataFrame:
+    return rows_of(spread(table(spark, folder)))
+
+
 def sent_again(spark: SparkSession, folder: str) -> DataFrame:
     """All events, and every tenth once more an hour later with other metadata."""
     copies = F.when(hits(10), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -164,7 +168,7 @@ def damaged(messages: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    return damaged(placed(to_messages(rows_of(spread(table(spark, folder))))))
+    return damaged(placed(to_messages(spread_events(spark, folder))))
 
 
 def retry_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,7 +185,7 @@ def retry_messages(spark: SparkSession, folder: str) -> DataFrame:
     ]
     none, some = F.array(*rest), F.array(*rest[:1], header("retry_count", given), *rest[1:])
     headers = F.when(F.col("src") % 9 == 0, none).otherwise(some).cast(HEADERS)
-    return placed(to_messages(rows_of(spread(table(spark, folder))))).withColumn("headers", headers)
+    return placed(to_messages(spread_events(spark, folder))).withColumn("headers", headers)
 
 
 def metric_requests(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from footfall.functions import fixed as fx
 from footfall.functions.clock import key_text, rfc3339
 from footfall.functions.sketches import distinct_count
 from footfall.operators import failures, latest, messages, requests, rollup, validate
+from footfall.operators.commands import to_rows
 from footfall.plans import dashboard, metrics
 from footfall.session import fresh_folder
 from footfall.sources import raw_events, request_bodies, synthetic
@@ -31,7 +32,7 @@ def event_id_stamp(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def canonical_events(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.events(spark, folder).select(
+    return inputs.spread_events(spark, folder).select(
         "src",
         "event_name",
         "channel",
@@ -67,9 +68,8 @@ def validate_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 def valid_invalid_split(spark: SparkSession, folder: str) -> DataFrame:
     faulty, now = inputs.faulty_commands(spark, folder)
-    checked = validate.with_errors(faulty, now)
-    accepted = validate.valid(checked).select("src", "event_id", F.lit("valid").alias("verdict"))
-    return accepted.unionByName(validate.invalid(checked).select("src", "event_id", F.lit("invalid").alias("verdict")))
+    verdict = F.when(F.size("errors") == 0, F.lit("valid")).otherwise(F.lit("invalid"))
+    return validate.with_errors(faulty, now).select("src", "event_id", verdict.alias("verdict"))
 
 
 def _bulk_answer(outcome: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _panel(panel: Callable[[DataFrame, Column], DataFrame], over_rollup: bool) -
     def query(spark: SparkSession, folder: str) -> DataFrame:
         given = inputs.table(spark, folder)
         as_of = F.timestamp_seconds(raw_events.newest_second(given))
-        rows = inputs.rows_of(raw_events.raw_last_day(given))
+        rows = to_rows(raw_events.as_commands(raw_events.raw_last_day(given)))
         return panel(rollup.hourly_partials(rows) if over_rollup else rows, as_of)
 
     return query
@@ -255,7 +255,7 @@ PANELS: dict[str, Query] = {
 
 
 def publish_messages(spark: SparkSession, folder: str) -> DataFrame:
-    sent = messages.to_messages(inputs.events(spark, folder))
+    sent = messages.to_messages(inputs.spread_events(spark, folder))
     return sent.select("src", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
@@ -303,12 +303,8 @@ def retry_backoff(spark: SparkSession, folder: str) -> DataFrame:
 
 def retry_outcome(spark: SparkSession, folder: str) -> DataFrame:
     """The insert failed again: back to retry, or to the dead letters after the last try."""
-    rows = inputs.retry_messages(spark, folder)
-    spent = failures.is_exhausted()
-    again = failures.requeue(rows.where(~spent), "still no room", at=1704067200)
-    given_up = failures.dead_letter(rows.where(spent), fx.RETRIES_EXHAUSTED, "still no room", at=1704067200)
-    back = _headers(again).withColumn("route", F.lit("retry"))
-    return back.unionByName(_headers(given_up).withColumn("route", F.lit("dead")))
+    routed = failures.route_failed_retry(inputs.retry_messages(spark, folder), "still no room", at=1704067200)
+    return routed.select("src", failures.headers_text(F.col("headers")).alias("headers"), "route")
 
 
 def dlq_envelope(spark: SparkSession, folder: str) -> DataFrame:
@@ -320,10 +316,7 @@ def dlq_envelope(spark: SparkSession, folder: str) -> DataFrame:
 
 def failure_counts(spark: SparkSession, folder: str) -> DataFrame:
     decoded = messages.decode(inputs.messages(spark, folder))
-    dead = failures.dead_on_arrival(messages.malformed(decoded), "events", at=1704067200)
-    good = decoded.where("problem IS NULL")
-    retry = failures.first_failure(good, "events", "no room", at=1704067200)
-    return failures.failure_counts(dead, retry)
+    return failures.failure_counts(failures.route_failed_batch(decoded, "events", "no room", at=1704067200))
 
 
 # Streams ---------------------------------------------------------------------------------------------------

@@ -51,11 +51,9 @@ def batch_delay(messages: DataFrame, by: str | None = None) -> DataFrame:
     return highest.withColumn("delay_seconds", F.coalesce(backoff_seconds(F.col("max_retry_count")), F.lit(0)))
 
 
-def _with_headers(messages: DataFrame, added: list[Column], dropped: list[str]) -> DataFrame:
+def _kept(dropped: list[str]) -> Column:
     old = F.coalesce(F.col("headers"), F.array().cast(HEADERS))
-    kept = F.filter(old, lambda h: ~h["key"].isin(dropped))
-    headers = F.concat(F.array(*added), kept).cast(HEADERS)
-    return messages.withColumn("headers", headers)
+    return F.filter(old, lambda h: ~h["key"].isin(dropped))
 
 
 def _origin(topic: str) -> list[Column]:
@@ -66,58 +64,89 @@ def _origin(topic: str) -> list[Column]:
     ]
 
 
-def _fresh_headers(messages: DataFrame, headers: list[Column]) -> DataFrame:
-    return messages.withColumn("headers", F.array(*headers).cast(HEADERS))
-
-
-def dead_on_arrival(bad: DataFrame, topic: str, at: Moment) -> DataFrame:
-    """Malformed messages of the main topic, as dead letters."""
-    headers = [
+def _arrival_headers(topic: str, at: Moment) -> Column:
+    return F.array(
         header(fx.H_ERROR_TYPE, fx.UNMARSHAL_ERROR),
         header(fx.H_ERROR_MESSAGE, F.col("problem")),
         *_origin(topic),
         header(fx.H_FAILED_AT, rfc3339(at)),
-    ]
-    return _fresh_headers(bad, headers).drop("problem")
+    )
 
 
-def first_failure(messages: DataFrame, topic: str, error_message: str, at: Moment) -> DataFrame:
-    """Messages whose batch could not be inserted, as the first entry for retry."""
-    headers = [
+def _first_headers(topic: str, error_message: str, at: Moment) -> Column:
+    return F.array(
         header(fx.H_RETRY_COUNT, "1"),
         header(fx.H_ERROR_TYPE, fx.INSERT_FAILED),
         header(fx.H_ERROR_MESSAGE, error_message),
         *_origin(topic),
         header(fx.H_FAILED_AT, rfc3339(at)),
-    ]
-    return _fresh_headers(messages, headers)
-
-
-def is_exhausted(max_retries: int = fx.MAX_RETRIES) -> Column:
-    return retry_count(F.col("headers")) >= max_retries
+    )
 
 
-def requeue(messages: DataFrame, error_message: str, at: Moment) -> DataFrame:
-    """A message that failed again goes back with its count raised by one; where it came from stays known."""
-    added = [
+def _again_headers(error_message: str, at: Moment) -> Column:
+    added = F.array(
         header(fx.H_RETRY_COUNT, retry_count(F.col("headers")) + 1),
         header(fx.H_ERROR_TYPE, fx.INSERT_FAILED),
         header(fx.H_ERROR_MESSAGE, error_message),
         header(fx.H_LAST_RETRY_AT, rfc3339(at)),
-    ]
-    dropped = [fx.H_RETRY_COUNT, fx.H_ERROR_TYPE, fx.H_ERROR_MESSAGE, fx.H_LAST_RETRY_AT]
-    return _with_headers(messages, added, dropped)
+    )
+    return F.concat(added, _kept([fx.H_RETRY_COUNT, fx.H_ERROR_TYPE, fx.H_ERROR_MESSAGE, fx.H_LAST_RETRY_AT]))
 
 
-def dead_letter(messages: DataFrame, error_type: str, error_message: Column | str, at: Moment) -> DataFrame:
-    """A message from retry that is given up."""
-    added = [
+def _dead_headers(error_type: str, error_message: Column | str, at: Moment) -> Column:
+    added = F.array(
         header(fx.H_FINAL_COUNT, retry_count(F.col("headers"))),
         header(fx.H_ERROR_TYPE, error_type),
         header(fx.H_ERROR_MESSAGE, error_message),
         header(fx.H_DEAD_AT, rfc3339(at)),
-    ]
-    return _with_headers(messages, added, [fx.H_RETRY_COUNT, fx.H_ERROR_TYPE, fx.H_ERROR_MESSAGE])
+    )
+    return F.concat(added, _kept([fx.H_RETRY_COUNT, fx.H_ERROR_TYPE, fx.H_ERROR_MESSAGE]))
+
+
+def _headed(messages: DataFrame, headers: Column) -> DataFrame:
+    return messages.withColumn("headers", headers.cast(HEADERS))
+
+
+def dead_on_arrival(bad: DataFrame, topic: str, at: Moment) -> DataFrame:
+    """Malformed messages of the main topic, as dead letters."""
+    return _headed(bad, _arrival_headers(topic, at)).drop("problem")
+
+
+def first_failure(messages: DataFrame, topic: str, error_message: str, at: Moment) -> DataFrame:
+    """Messages whose batch could not be inserted, as the first entry for retry."""
+    return _headed(messages, _first_headers(topic, error_message, at))
+
+
+def route_failed_batch(decoded: DataFrame, topic: str, error_message: str, at: Moment) -> DataFrame:
+    """Both at once, for a batch that could not be inserted: ``route`` is 'dead' or 'retry'."""
+    bad = F.col("problem").isNotNull()
+    headers = F.when(bad, _arrival_headers(topic, at)).otherwise(_first_headers(topic, error_message, at))
+    routed = decoded.withColumn("route", F.when(bad, F.lit("dead")).otherwise(F.lit("retry")))
+    return _headed(routed, headers).drop("problem", "event")
+
+
+def is_exhausted(max_retries: int = fx.MAX_RETRIES) -> Column:
+    return retry_count(F.col("headers")) >= max_retries
+
+
+def requeue(messages: DataFrame, error_message: str, at: Moment) -> DataFrame:
+    """A message that failed again goes back with its count raised by one; where it came from stays known."""
+    return _headed(messages, _again_headers(error_message, at))
+
+
+def dead_letter(messages: DataFrame, error_type: str, error_message: Column | str, at: Moment) -> DataFrame:
+    """A message from retry that is given up."""
+    return _headed(messages, _dead_headers(error_type, error_message, at))
+
+
+def route_failed_retry(
+    messages: DataFrame, error_message: str, at: Moment, max_retries: int = fx.MAX_RETRIES
+) -> DataFrame:
+    """Both at once, for a retry that failed: ``route`` is 'dead' for spent messages, else 'retry'."""
+    spent = is_exhausted(max_retries)
+    dead, again = _dead_headers(fx.RETRIES_EXHAUSTED, error_message, at), _again_headers(error_message, at)
+    routed = messages.withColumn("route", F.when(spent, F.lit("dead")).otherwise(F.lit("retry")))
+    return _headed(routed, F.when(spent, dead).otherwise(again))
 
 
 def queued(messages: DataFrame, at: Moment) -> DataFrame:
