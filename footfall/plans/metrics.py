@@ -94,6 +94,8 @@ def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
     span), one row per day it covers, which spreads a busy event name over its days. A day that lies wholly in
     the range is met as one row instead of 24, unless hours were asked for. No side is broadcast by hint: Spark
     sees the real sizes at run time and broadcasts the small side, or splits skewed keys of a sort-merge join.
+    Groups and total of a question come out of one pass: a question has at most one group per hour it covers, so
+    its finished groups (three values each) travel in a list.
     """
     hour_seconds = F.unix_seconds("hour")
     asked = valid(with_request_errors(requests)).selectExpr(
@@ -140,24 +142,17 @@ def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
     by_key = hits.groupBy(*question, key.alias("key")).agg(
         total("event_count").alias("event_count"), merged_state("unique_users_state").alias("unique_users_state")
     )
-    whole = by_key.groupBy(*question).agg(*counts()).withColumnRenamed("wanted", "channel")
-    groups = by_key.where("group_by <> ''").select(
-        *question,
-        "key",
-        F.col("event_count").alias("total_count"),
-        distinct_count(F.col("unique_users_state")).alias("unique_users"),
+    group = F.struct(
+        "key", F.col("event_count").alias("total_count"), distinct_count(F.col("unique_users_state")).alias("unique_users")
     )
-    totals = asked.join(whole, ASK, "left").selectExpr(
-        "request_id",
-        "'total' AS scope",
-        "'' AS key",
-        "coalesce(total_count, 0) AS total_count",
-        "coalesce(unique_users, 0) AS unique_users",
-    )
-    grouped = asked.join(groups.withColumnRenamed("wanted", "channel"), ASK).select(
-        "request_id", F.lit("group").alias("scope"), "key", "total_count", "unique_users"
-    )
-    return totals.unionByName(grouped)
+    answers = by_key.groupBy(*question).agg(*counts(), F.collect_list(group).alias("grouped"))
+    answered = asked.join(answers.withColumnRenamed("wanted", "channel"), ASK, "left")
+    total_row = """array(named_struct('scope', 'total', 'key', '', 'total_count', coalesce(total_count, 0L),
+        'unique_users', coalesce(unique_users, 0L)))"""
+    group_rows = """transform(grouped, g -> named_struct('scope', 'group', 'key', g.key, 'total_count', g.total_count,
+        'unique_users', g.unique_users))"""
+    rows = f"inline(if(group_by = '' OR grouped IS NULL, {total_row}, concat({total_row}, {group_rows})))"
+    return answered.selectExpr("request_id", rows)
 
 
 def shaped(answers: DataFrame) -> DataFrame:
