@@ -30,9 +30,9 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Rows over at least ``tasks`` partitions (by default one per core), for work that costs much per row.
+    """A scan over ``tasks`` partitions (by default one per core), for work that costs much per row.
 
-    Only a small input has fewer partitions than the cluster has cores; any other is left as it is read.
+    Only a small input is read in a quarter as many partitions or fewer; any other is left as it is read.
     """
     tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() * 4 <= tasks else rows
