@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm.near_duplicates import near_duplicates
+from footfall.llm.repeats import remove_repeats
 from footfall.llm.tables import documents
+from footfall.llm.tiles import near_vectors
 
 ALL = {}
 SQL = {}
@@ -21,3 +23,15 @@ def query(f):
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir), width=3, percent=85)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = remove_repeats(documents(spark, sf_dir), length=13)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op10_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+    return found.withColumnRenamed("id", "vec_id")
