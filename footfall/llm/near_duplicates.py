@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,19 +17,17 @@ _COLUMNS = 4096
 def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, seed: int) -> DataFrame:
     """(id, n_shingles, set_key, bands): the set's size, a 128-bit digest that tells equal sets, and its band keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                grams = circulant.shingles(text, width)
-                keys = circulant.band_keys(circulant.signature(grams, bands * rows, seed), bands, rows) if len(grams) else []
-                out.append((len(grams), circulant.set_key(grams), keys))
-            found = pd.DataFrame(out, columns=["n_shingles", "set_key", "bands"])
-            found.insert(0, "id", batch["id"].array)
-            yield found
+    @F.pandas_udf("struct<n_shingles:long,set_key:binary,bands:array<long>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            grams = circulant.shingles(text, width)
+            keys = circulant.band_keys(circulant.signature(grams, bands * rows, seed), bands, rows) if len(grams) else []
+            out.append((len(grams), circulant.set_key(grams), keys))
+        return pd.DataFrame(out, columns=["n_shingles", "set_key", "bands"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInPandas(run, "id long, n_shingles long, set_key binary, bands array<long>")
+    return rows_in.select("id", of("text").alias("x")).select("id", "x.*")
 
 
 def _grams(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.llm.best_fit import token_matrices
 from footfall.llm.near_duplicates import near_duplicates
+from footfall.llm.packing import wide
 from footfall.llm.repeats import remove_repeats
+from footfall.llm.slack_packing import pack
 from footfall.llm.tables import documents
 from footfall.llm.tiles import near_vectors
 
@@ -35,3 +38,15 @@ def op9_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op2_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = pack(documents(spark, sf_dir), capacity=1024)
+    ids_crc32 = F.crc32(wide("ids", "size"))
+    return parts.select(F.col("id").alias("doc_id"), "start", "length", ids_crc32.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op8_best_fit_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_matrices(documents(spark, sf_dir), capacity=1024).drop("size")

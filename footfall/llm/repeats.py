@@ -38,20 +38,18 @@ def winnowed(seeds: np.ndarray, length: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                data = _joined(text)
-                found = words.hashes(data)
-                seeds = words.runs(found, _SEED)
-                anchors = np.unique(seeds[np.unique(winnowed(seeds, length))])
-                out.append((len(found), _digest(data), hashlib.sha256(data).hexdigest(), anchors.view(np.int64)))
-            made = pd.DataFrame(out, columns=["n_words", "sequence", "sha256", "anchors"])
-            made.insert(0, "id", batch["id"].array)
-            yield made
-
-    return docs.mapInPandas(run, "id long, n_words long, sequence binary, sha256 string, anchors array<long>")
+    @F.pandas_udf("struct<n_words:long,sequence:binary,sha256:string,anchors:array<long>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            data = _joined(text)
+            found = words.hashes(data)
+            seeds = words.runs(found, _SEED)
+            anchors = np.unique(seeds[np.unique(winnowed(seeds, length))])
+            out.append((len(found), _digest(data), hashlib.sha256(data).hexdigest(), anchors.view(np.int64)))
+        return pd.DataFrame(out, columns=["n_words", "sequence", "sha256", "anchors"])
+
+    return docs.select("id", of("text").alias("x")).select("id", "x.*")
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
