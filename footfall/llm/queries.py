@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm.best_fit import token_matrices
+from footfall.llm.exact import exact_duplicates
+from footfall.llm.mixing import mix_report, turns
 from footfall.llm.near_duplicates import near_duplicates
 from footfall.llm.packing import wide
 from footfall.llm.repeats import remove_repeats
@@ -50,3 +52,55 @@ def op2_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_best_fit_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrices(documents(spark, sf_dir), capacity=1024).drop("size")
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = mix_report(docs, turns(docs))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+SQL["op4_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+  FROM sized GROUP BY source
+), ordered AS (
+  SELECT *, sum(3 * source_size) OVER w AS stopped, sum(weight) OVER w AS stopped_weight,
+         sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+         row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place
+  FROM sources
+  WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), prices AS (
+  SELECT *, (total - coalesce(stopped, 0))::DOUBLE / (weights - coalesce(stopped_weight, 0))::DOUBLE AS price FROM ordered
+), price AS (
+  SELECT arg_min(price, place) AS price FROM prices WHERE weight * price <= 3 * source_size
+), targets AS (
+  SELECT source, source_size, least(weight * price, (3 * source_size)::DOUBLE) AS target FROM sources, price
+), rated AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rated
+"""
+
+SQL["op5_exact_duplicates"] = """
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), groups AS (
+  SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY text
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM texts JOIN groups USING (text)
+"""
