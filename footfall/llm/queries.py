@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm.best_fit import token_matrices
+from footfall.llm.ecoc import identify, train
 from footfall.llm.exact import exact_duplicates
 from footfall.llm.mixing import mix_report, turns
 from footfall.llm.near_duplicates import near_duplicates
 from footfall.llm.packing import wide
 from footfall.llm.repeats import remove_repeats
 from footfall.llm.slack_packing import pack
-from footfall.llm.tables import documents
+from footfall.llm.tables import documents, held_out
 from footfall.llm.tiles import near_vectors
 
 ALL = {}
@@ -104,3 +105,11 @@ WITH texts AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM texts JOIN groups USING (text)
 """
+
+
+@query
+def op1_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    apart = held_out(F.col("doc_id"))
+    found = identify(docs.select("doc_id", "text"), train(docs.where(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score", "ambiguous")
