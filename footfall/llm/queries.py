@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm.best_fit import token_matrices
+from footfall.llm.byte_network import graded
+from footfall.llm.byte_network import train as train_network
+from footfall.llm.chain import judged
+from footfall.llm.chain import train as train_chain
 from footfall.llm.ecoc import identify, train
 from footfall.llm.exact import exact_duplicates
 from footfall.llm.mixing import mix_report, turns
@@ -113,3 +117,20 @@ def op1_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = held_out(F.col("doc_id"))
     found = identify(docs.select("doc_id", "text"), train(docs.where(~apart)))
     return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op3_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    apart = held_out(F.col("doc_id"))
+    found = graded(docs.select("doc_id", "text"), train_network(docs.where(~apart), labels.where(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    apart = held_out(F.col("doc_id"))
+    labels = labels.where(~apart).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    found = judged(docs.select("doc_id", "text"), train_chain(docs.where(~apart), labels, ["low_quality", "toxic"]))
+    return found.select("doc_id", apart.alias("held_out"), "p_low_quality", F.col("p_toxic").alias("score"), F.col("toxic").cast("int").alias("predicted"))

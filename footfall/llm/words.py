@@ -105,3 +105,14 @@ def runs_of_rows(table: np.ndarray) -> np.ndarray:
 
 def words_salt(n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * _ODD[5])
+
+
+def prefixes(data: bytes, n: int) -> np.ndarray:
+    """One hash of the first n bytes of each word that has as many."""
+    starts, ends = spans(data)
+    starts = starts[ends - starts >= n]
+    bytes_ = np.frombuffer(data, np.uint8)
+    out = np.full(len(starts), _ODD[5 + n], np.uint64)
+    for j in range(n):
+        out += _BYTE[bytes_[starts + j]] * _PLACE[j]
+    return mixed(out)
