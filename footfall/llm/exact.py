@@ -38,6 +38,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mixed = saved(mixed, "collisions")
 
     groups = known.groupBy("key").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size"))
+    groups = saved(groups, "groups")  # read plainly, so that Spark can split a group that holds most rows
     result = known.join(mixed, "key", "left_anti").join(groups, "key")
     if not mixed.isEmpty():
         apart = saved(rows.join(mixed, "key", "left_semi").withColumn("row", F.monotonically_increasing_id()), "collided")

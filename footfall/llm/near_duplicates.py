@@ -180,6 +180,7 @@ def near_duplicates(
     sets = full.groupBy("set_key").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
     posted = saved(sets.select("id", F.explode("bands").alias("key")), "bands")
     buckets = posted.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").select("key", "center")
+    buckets = saved(buckets, "centers")  # read plainly, so that Spark can split a bucket that holds most rows
     members = saved(posted.join(buckets, "key").select("key", "center", "id"), "buckets")
     grams = saved(_grams(docs, members.select("id").distinct(), id_col, text_col, width), "grams")
     stars = members.where("center != id").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
@@ -188,6 +189,7 @@ def near_duplicates(
     roots = components(links.union(rest))
     least = full.groupBy("set_key").agg(F.min("id").alias("own"))
     named = least.join(roots.withColumnRenamed("node", "own"), "own", "left").select("set_key", F.coalesce("root", "own").alias("root"))
+    named = saved(named, "named")
     result = found.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id"))
     return result.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -146,6 +146,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     anchors = known.select("id", F.explode("anchors").alias("anchor"))
     common = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("anchor")
+    common = saved(common, "common")  # read plainly, so that Spark can split an anchor that most documents have
     shared = anchors.join(common, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared"))
     shared = shared.join(copies.groupBy("id").agg(F.collect_list("sequence").alias("copies")), "id", "left")
     seeded = saved(_contexts(docs.join(shared, "id"), length).dropDuplicates(["id", "sequence"]), "seeded")
@@ -154,7 +155,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = saved(places.groupBy("anchor", "one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")), "around")
     several = around.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("first").alias("low"), F.max("last").alias("high"))
     several = several.where("low != high").select("anchor", (F.col("contexts") > 1).alias("several"))
-    met = places.join(around.join(several, "anchor"), ["anchor", "one", "two"]).where("id > first OR several")
+    known_around = saved(around.join(several, "anchor"), "several")
+    met = places.join(known_around, ["anchor", "one", "two"]).where("id > first OR several")
     of_doc = met.groupBy("id", "sequence").agg(
         F.collect_list(F.expr("CASE WHEN id > first THEN place END")).alias("covered"),
         F.collect_list(F.expr("CASE WHEN id = first THEN place END")).alias("open"),
@@ -163,6 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     single = saved(_windows(marked.where("size(open) > 0").select("id", "sequence", "words", "open"), length), "windows")
     earliest = single.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
+    earliest = saved(earliest, "earliest")
     late = single.join(earliest, ["one", "two"]).where("id > first").groupBy("id", "sequence").agg(F.collect_list("start").alias("starts"))
     hit = marked.join(late, ["id", "sequence"], "left").where("size(covered) > 0 OR starts IS NOT NULL")
     changed = saved(_removed(hit.select("id", "sequence", "words", "covered", "starts"), length), "changed")

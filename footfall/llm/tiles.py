@@ -133,5 +133,6 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     links = met.where("links IS NOT NULL").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     named = classes.select("embedding", F.col("id").alias("class"), "size").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("embedding", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    named = saved(named, "named")
     result = rows.join(named.withColumn("usable", F.lit(True)), ["embedding", "usable"], "left")
     return result.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
