@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _CUT_IN_RUN = re.compile(r"\s (?:\s|\Z)")
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 200_000
 
 
 def default_path() -> str:
