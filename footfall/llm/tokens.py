@@ -83,7 +83,8 @@ class Encoder:
                 last = cut
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [(x or "").split(" ") for x in texts]
+        texts = [x or "" for x in texts]
+        parts = [x.split(" ") for x in texts]
         self._learn(set().union(*(x[1:] for x in parts)))
         for text, words in zip(texts, parts):
             if not self._odd.isdisjoint(words) and _CUT_IN_RUN.search(text):
