@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import words
-from footfall.llm.tables import saved
+from footfall.llm.tables import bucketed, filtered_joins, saved
 
 _SEED = 4
 
@@ -38,7 +39,7 @@ def winnowed(seeds: np.ndarray, length: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    @F.pandas_udf("struct<n_words:long,sequence:binary,sha256:string,anchors:array<long>>")
+    @F.pandas_udf("struct<n_words:long,sequence:binary,key:int,sha256:string,anchors:array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
@@ -46,12 +47,29 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             found = words.hashes(data)
             seeds = words.runs(found, _SEED)
             anchors = np.unique(seeds[np.unique(winnowed(seeds, length))])
-            out.append((len(found), _digest(data), hashlib.sha256(data).hexdigest(), anchors.view(np.int64)))
-        return pd.DataFrame(out, columns=["n_words", "sequence", "sha256", "anchors"])
+            sequence = _digest(data)
+            out.append((len(found), sequence, _key(sequence), hashlib.sha256(data).hexdigest(), anchors.view(np.int64)))
+        return pd.DataFrame(out, columns=["n_words", "sequence", "key", "sha256", "anchors"])
 
     return docs.select("id", of("text").alias("x")).select("id", "x.*")
 
 
+def _key(sequence: bytes) -> int:
+    """What tells rows of one id apart: four bytes of the digest."""
+    return int.from_bytes(sequence[:4], "little", signed=True)
+
+
+def _small(docs: DataFrame) -> DataFrame:
+    """(id, packed): the words of each text, compressed for the way."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=3)
+        return pd.Series([pack.compress(_joined(x)) for x in texts])
+
+    return docs.where("id IS NOT NULL").select("id", of("text").alias("packed"))
+
+
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
     """Of each text the places of shared anchors, each with a 128-bit digest of all words its windows can reach."""
     before, after = length - _SEED, length
@@ -59,8 +77,9 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, text, shared, copies in zip(batch["id"], batch["text"], batch["shared"], batch["copies"]):
-                data = _joined(text)
+            unpack = zstandard.ZstdDecompressor()
+            for i, packed, shared, copies in zip(batch["id"], batch["packed"], batch["shared"], batch["copies"]):
+                data = unpack.decompress(packed)
                 sequence = _digest(data)
                 if copies is not None and any(bytes(x) == sequence for x in copies):
                     continue
@@ -73,10 +92,10 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                 edge = np.zeros(before + after, np.uint64)
                 padded = np.concatenate([edge[:before], found, edge[:after]])
                 one, two = (words.runs(padded, before + after, salt)[places].view(np.int64) for salt in (0, 1))
-                out.append((i, sequence, data.decode(), places, seeds[places].view(np.int64), one, two))
-            yield pd.DataFrame(out, columns=["id", "sequence", "words", "place", "anchor", "one", "two"])
+                out.append((i, _key(sequence), packed, places, seeds[places].view(np.int64), one, two))
+            yield pd.DataFrame(out, columns=["id", "key", "packed", "place", "anchor", "one", "two"])
 
-    kind = "id long, sequence binary, words string, place array<int>, anchor array<long>, one array<long>, two array<long>"
+    kind = "id long, key int, packed binary, place array<int>, anchor array<long>, one array<long>, two array<long>"
     return docs.mapInPandas(run, kind)
 
 
@@ -85,13 +104,14 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, sequence, text, places in zip(batch["id"], batch["sequence"], batch["words"], batch["open"]):
-                found = words.hashes(text.encode())
+            unpack = zstandard.ZstdDecompressor()
+            for i, key, packed, places in zip(batch["id"], batch["key"], batch["packed"], batch["open"]):
+                found = words.hashes(unpack.decompress(packed))
                 starts = np.flatnonzero(np.isin(winnowed(words.runs(found, _SEED), length), places))
                 one, two = (words.runs(found, length, salt)[starts].view(np.int64) for salt in (0, 1))
-                yield pd.DataFrame({"id": i, "sequence": sequence, "start": starts, "one": one, "two": two})
+                yield pd.DataFrame({"id": i, "key": key, "start": starts, "one": one, "two": two})
 
-    return docs.mapInPandas(run, "id long, sequence binary, start int, one long, two long")
+    return docs.mapInPandas(run, "id long, key int, start int, one long, two long")
 
 
 def _removed(docs: DataFrame, length: int) -> DataFrame:
@@ -100,11 +120,13 @@ def _removed(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, sequence, text, covered, starts in zip(*(batch[x] for x in ("id", "sequence", "words", "covered", "starts"))):
-                found = text.split(" ")
+            unpack = zstandard.ZstdDecompressor()
+            for i, key, packed, covered, starts in zip(*(batch[x] for x in ("id", "key", "packed", "covered", "starts"))):
+                data = unpack.decompress(packed)
+                found = data.decode().split(" ")
                 hit = np.zeros(0, np.int64) if starts is None else np.asarray(starts, np.int64)
                 if covered is not None:
-                    seeds = words.runs(words.hashes(text.encode()), _SEED)
+                    seeds = words.runs(words.hashes(data), _SEED)
                     hit = np.concatenate([hit, np.flatnonzero(np.isin(winnowed(seeds, length), covered))])
                 edges = np.zeros(len(found) + 1, np.int64)
                 np.add.at(edges, hit, 1)
@@ -113,10 +135,10 @@ def _removed(docs: DataFrame, length: int) -> DataFrame:
                 begin, end = np.flatnonzero(~gone[:-1] & gone[1:]), np.flatnonzero(gone[:-1] & ~gone[1:])
                 left = " ".join(x for x, y in zip(found, gone[1:]) if not y)
                 spans = [{"start": int(a), "end": int(b)} for a, b in zip(begin, end)]
-                out.append((i, sequence, int(gone.sum()), hashlib.sha256(left.encode()).hexdigest(), spans, left))
-            yield pd.DataFrame(out, columns=["id", "sequence", "n_removed", "kept_sha256", "spans", "kept"])
+                out.append((i, key, int(gone.sum()), hashlib.sha256(left.encode()).hexdigest(), spans, left))
+            yield pd.DataFrame(out, columns=["id", "key", "n_removed", "kept_sha256", "spans", "kept"])
 
-    return docs.mapInPandas(run, "id long, sequence binary, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string")
+    return docs.mapInPandas(run, "id long, key int, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -124,9 +146,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A window is ``length`` consecutive words of one document (runs of bytes other than space and 0x09-0x0D, unchanged).
     A window is a repeat if its words also start somewhere in a document with a smaller id; runs of repeats are the
-    maximal spans. Returns two tables: (id, sequence, n_words, n_removed, kept_sha256) for every row, and (id,
-    sequence, spans, kept) for the rows that lose some but not all words: the spans as word numbers, end excluded, and
-    the words left. ``sequence`` is a digest of the row's words; the SHA-256 is that of the kept words joined by spaces.
+    maximal spans. Returns two tables: (id, n_words, n_removed, kept_sha256) for every row, and (id, spans,
+    kept) for the rows that lose words but are no copies: the spans as word numbers, end excluded, and the words left. A
+    copy of all words of a smaller id loses them all. The SHA-256 is that of the kept words joined by spaces.
 
     Seeds: of each window one run of four words, the least by hash, is the anchor; equal windows have equal anchors,
     and an anchor is of interest if two ids have it. Extension: around each such place the words that any window of
@@ -139,41 +161,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id are one document and never remove each other's words; a row without id loses nothing and removes nothing.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = saved(_scan(docs, length), "scanned")
+    # One row per anchor, and one for a text without any; what repeats from row to row takes next to no room in Parquet.
+    scan = _scan(docs, length).select("id", "key", "sequence", "n_words", "sha256", F.posexplode_outer("anchors").alias("n", "anchor"))
+    scan = saved(scan.withColumn("lead", F.coalesce("n", F.lit(0)) == 0).drop("n"), "scanned")
+    scanned = scan.where("lead").drop("lead", "anchor")
     known = scanned.where("id IS NOT NULL")
     firsts = known.where(F.col("n_words") >= length).groupBy("sequence").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
     copies = saved(known.select("id", "sequence").join(firsts, "sequence").where("id > first").select("id", "sequence").distinct(), "copies")
 
-    anchors = known.select("id", F.explode("anchors").alias("anchor"))
-    common = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("anchor")
+    anchors = scan.where("id IS NOT NULL AND anchor IS NOT NULL").select("id", "anchor")
+    common = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     common = saved(common, "common")  # read plainly, so that Spark can split an anchor that most documents have
-    shared = anchors.join(common, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared"))
+    shared = anchors.join(common.where("n > 1").select("anchor"), "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared"))
     shared = shared.join(copies.groupBy("id").agg(F.collect_list("sequence").alias("copies")), "id", "left")
-    seeded = saved(_contexts(docs.join(shared, "id"), length).dropDuplicates(["id", "sequence"]), "seeded")
+    with filtered_joins(docs.sparkSession):
+        seeded = bucketed(_contexts(_small(docs).join(shared, "id"), length), "seeded", "id")
 
-    places = seeded.select("id", "sequence", F.explode(F.arrays_zip("place", "anchor", "one", "two")).alias("x")).select("id", "sequence", "x.*")
+    places = seeded.select("id", "key", F.explode(F.arrays_zip("place", "anchor", "one", "two")).alias("x")).select("id", "key", "x.*")
     around = saved(places.groupBy("anchor", "one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")), "around")
     several = around.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("first").alias("low"), F.max("last").alias("high"))
     several = several.where("low != high").select("anchor", (F.col("contexts") > 1).alias("several"))
-    known_around = saved(around.join(several, "anchor"), "several")
+    known_around = saved(around.join(several, "anchor").drop("last"), "several")
     met = places.join(known_around, ["anchor", "one", "two"]).where("id > first OR several")
-    of_doc = met.groupBy("id", "sequence").agg(
-        F.collect_list(F.expr("CASE WHEN id > first THEN place END")).alias("covered"),
-        F.collect_list(F.expr("CASE WHEN id = first THEN place END")).alias("open"),
+    of_doc = met.groupBy("id", "key").agg(
+        F.collect_set(F.expr("CASE WHEN id > first THEN place END")).alias("covered"),
+        F.collect_set(F.expr("CASE WHEN id = first THEN place END")).alias("open"),
     )
-    marked = saved(seeded.select("id", "sequence", "words").join(of_doc, ["id", "sequence"]), "marked")
+    of_doc = saved(of_doc, "marks")
+    texts = seeded.select("id", "key", "packed")
 
-    single = saved(_windows(marked.where("size(open) > 0").select("id", "sequence", "words", "open"), length), "windows")
+    opened = of_doc.where("size(open) > 0").select("id", "key", "open")
+    single = saved(_windows(texts.join(opened, ["id", "key"]), length), "windows")
     earliest = single.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
-    earliest = saved(earliest, "earliest")
-    late = single.join(earliest, ["one", "two"]).where("id > first").groupBy("id", "sequence").agg(F.collect_list("start").alias("starts"))
-    hit = marked.join(late, ["id", "sequence"], "left").where("size(covered) > 0 OR starts IS NOT NULL")
-    changed = saved(_removed(hit.select("id", "sequence", "words", "covered", "starts"), length), "changed")
+    earliest = saved(earliest.drop("last"), "earliest")
+    late = single.join(earliest, ["one", "two"]).where("id > first").groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
+    marked = of_doc.select("id", "key", "covered").join(late, ["id", "key"], "left").where("size(covered) > 0 OR starts IS NOT NULL")
+    changed = saved(_removed(texts.join(marked, ["id", "key"]), length).dropDuplicates(["id", "key"]), "changed")
 
     gone = copies.withColumn("copy", F.lit(True))
-    result = scanned.select("id", "sequence", "n_words", "sha256").join(gone, ["id", "sequence"], "left")
-    result = result.join(changed.select("id", "sequence", "n_removed", "kept_sha256"), ["id", "sequence"], "left")
+    result = scanned.select("id", "sequence", "key", "n_words", "sha256").join(gone, ["id", "sequence"], "left")
+    result = result.join(changed.select("id", "key", "n_removed", "kept_sha256"), ["id", "key"], "left")
     n_removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256"))
-    result = result.select("id", "sequence", "n_words", n_removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
-    return result, changed.select("id", "sequence", "spans", "kept")
+    result = result.select("id", "n_words", n_removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
+    return result, changed.select("id", "spans", "kept")

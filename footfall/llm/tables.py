@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.session import fresh_folder
@@ -15,6 +17,34 @@ def saved(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def bucketed(rows: DataFrame, purpose: str, column: str) -> DataFrame:
+    """As ``saved``, in buckets of ``column``: joins by it need not send these rows again."""
+    spark = rows.sparkSession
+    folder = fresh_folder(spark, purpose)
+    table = "footfall_" + folder.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, column).option("path", folder).saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def filtered_joins(spark: SparkSession):
+    """Here Spark drops rows by a Bloom filter of the other side's keys before it sends them to a join.
+
+    It does so by itself for scans of over 10 GB; the filter has at most 8 MB, whatever the other side's size.
+    """
+    wanted = {"applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1TB", "expectedNumItems": "4000000", "numBits": str(1 << 26)}
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training; one without id always is."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
