@@ -91,7 +91,7 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 edge = np.zeros(before + after, np.uint64)
                 padded = np.concatenate([edge[:before], found, edge[:after]])
-                one, two = (words.runs(padded, before + after, salt)[places].view(np.int64) for salt in (0, 1))
+                one, two = (words.runs_at(padded, places, before + after, salt).view(np.int64) for salt in (0, 1))
                 out.append((i, _key(sequence), packed, places, seeds[places].view(np.int64), one, two))
             yield pd.DataFrame(out, columns=["id", "key", "packed", "place", "anchor", "one", "two"])
 
@@ -99,17 +99,25 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInPandas(run, kind)
 
 
+def _own(marks, key: int) -> np.ndarray:
+    """Of the marks of all rows of an id those of the row with this key."""
+    return np.array([] if marks is None else [x["at"] for x in marks if x["key"] == key], np.int64)
+
+
 def _windows(docs: DataFrame, length: int) -> DataFrame:
     """The windows whose seed is at one of the places ``open``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             unpack = zstandard.ZstdDecompressor()
-            for i, key, packed, places in zip(batch["id"], batch["key"], batch["packed"], batch["open"]):
+            out = [(np.zeros(0, np.int64),) * 5]
+            for i, key, packed, marks in zip(batch["id"], batch["key"], batch["packed"], batch["open"]):
+                places = _own(marks, key)
                 found = words.hashes(unpack.decompress(packed))
                 starts = np.flatnonzero(np.isin(winnowed(words.runs(found, _SEED), length), places))
-                one, two = (words.runs(found, length, salt)[starts].view(np.int64) for salt in (0, 1))
-                yield pd.DataFrame({"id": i, "key": key, "start": starts, "one": one, "two": two})
+                one, two = (words.runs_at(found, starts, length, salt).view(np.int64) for salt in (0, 1))
+                out.append((np.full(len(starts), i), np.full(len(starts), key), starts, one, two))
+            yield pd.DataFrame(dict(zip(("id", "key", "start", "one", "two"), map(np.concatenate, zip(*out)))))
 
     return docs.mapInPandas(run, "id long, key int, start int, one long, two long")
 
@@ -124,10 +132,12 @@ def _removed(docs: DataFrame, length: int) -> DataFrame:
             for i, key, packed, covered, starts in zip(*(batch[x] for x in ("id", "key", "packed", "covered", "starts"))):
                 data = unpack.decompress(packed)
                 found = data.decode().split(" ")
-                hit = np.zeros(0, np.int64) if starts is None else np.asarray(starts, np.int64)
-                if covered is not None:
+                hit, covered = _own(starts, key), _own(covered, key)
+                if len(covered):
                     seeds = words.runs(words.hashes(data), _SEED)
                     hit = np.concatenate([hit, np.flatnonzero(np.isin(winnowed(seeds, length), covered))])
+                if not len(hit):
+                    continue
                 edges = np.zeros(len(found) + 1, np.int64)
                 np.add.at(edges, hit, 1)
                 np.add.at(edges, hit + length, -1)
@@ -183,20 +193,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = several.where("low != high").select("anchor", (F.col("contexts") > 1).alias("several"))
     known_around = saved(around.join(several, "anchor").drop("last"), "several")
     met = places.join(known_around, ["anchor", "one", "two"]).where("id > first OR several")
-    of_doc = met.groupBy("id", "key").agg(
-        F.collect_set(F.expr("CASE WHEN id > first THEN place END")).alias("covered"),
-        F.collect_set(F.expr("CASE WHEN id = first THEN place END")).alias("open"),
+    of_doc = met.groupBy("id").agg(
+        F.collect_set(F.expr("CASE WHEN id > first THEN struct(key, place AS at) END")).alias("covered"),
+        F.collect_set(F.expr("CASE WHEN id = first THEN struct(key, place AS at) END")).alias("open"),
     )
     of_doc = saved(of_doc, "marks")
     texts = seeded.select("id", "key", "packed")
 
-    opened = of_doc.where("size(open) > 0").select("id", "key", "open")
-    single = saved(_windows(texts.join(opened, ["id", "key"]), length), "windows")
+    opened = of_doc.where("size(open) > 0").select("id", "open")
+    single = saved(_windows(texts.join(opened, "id"), length), "windows")
     earliest = single.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
     earliest = saved(earliest.drop("last"), "earliest")
-    late = single.join(earliest, ["one", "two"]).where("id > first").groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
-    marked = of_doc.select("id", "key", "covered").join(late, ["id", "key"], "left").where("size(covered) > 0 OR starts IS NOT NULL")
-    changed = saved(_removed(texts.join(marked, ["id", "key"]), length).dropDuplicates(["id", "key"]), "changed")
+    late = single.join(earliest, ["one", "two"]).where("id > first")
+    late = late.groupBy("id").agg(F.collect_set(F.struct("key", F.col("start").alias("at"))).alias("starts"))
+    marked = of_doc.select("id", "covered").join(late, "id", "left").where("size(covered) > 0 OR starts IS NOT NULL")
+    changed = saved(_removed(texts.join(marked, "id"), length).dropDuplicates(["id", "key"]), "changed")
 
     gone = copies.withColumn("copy", F.lit(True))
     result = scanned.select("id", "sequence", "key", "n_words", "sha256").join(gone, ["id", "sequence"], "left")

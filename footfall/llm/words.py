@@ -116,3 +116,12 @@ def prefixes(data: bytes, n: int) -> np.ndarray:
     for j in range(n):
         out += _BYTE[bytes_[starts + j]] * _PLACE[j]
     return mixed(out)
+
+
+def runs_at(words: np.ndarray, places: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """One hash for the run of n words at each place; for few places of many."""
+    if not len(places):
+        return np.zeros(0, np.uint64)
+    rows = np.lib.stride_tricks.sliding_window_view(words, n)[places]
+    factors = _powers(_ODD[8 + salt], n + 1)[1:]
+    return mixed(mixed(rows * factors).sum(axis=1, dtype=np.uint64) + _ODD[4 + salt])
