@@ -6,9 +6,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.tables import least_hashed
+
 CHUNK = 1024
 HOP = 896
 WIDTH = 16
@@ -160,9 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     short = texts.where(F.octet_length("text").between(1, sample_bytes)).select("id")
-    chosen = marks.join(short, "id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample // 2)
+    chosen = least_hashed(marks.join(short, "id", "left_semi"), "label", sample // 2)
     found = texts.where(F.octet_length("text").between(1, sample_bytes)).join(F.broadcast(chosen.select("id", "label")), "id").toPandas()
     if found["label"].nunique() < 2:
         return float(found["label"].iloc[0]) if len(found) else 0.5

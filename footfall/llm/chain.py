@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import words
+from footfall.llm.tables import least_hashed
 
 _BITS = 18
 _STEMS = (4, 5, 6)
@@ -120,8 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*(F.coalesce(F.max(c), F.lit(0)).cast("int").alias(c) for c in categories))
     marks = marks.join(texts.select("id").distinct(), "id", "left_semi")
     counts = {r[target]: r["n"] for r in marks.groupBy(target).agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy(target).orderBy(F.xxhash64("id"), "id")
-    chosen = marks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample // 2).drop("place")
+    chosen = least_hashed(marks, target, sample // 2)
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:

@@ -7,9 +7,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.tables import least_hashed
+
 _BUCKETS = 1 << 12
 _PIECE = 1 << 20
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
@@ -97,8 +99,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return Model([], np.zeros((0, 1), np.float32), np.zeros((_BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.zeros((0, 1), np.float32))
     each = max(5, sample // len(languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("lang", "id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("lang", "id")
+    chosen = least_hashed(rows.select("lang", "id").where("id IS NOT NULL"), "lang", each).distinct()
 
     @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:

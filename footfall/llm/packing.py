@@ -113,24 +113,14 @@ def packed(docs: DataFrame, id_col: str, text_col: str, capacity: int, plan: Cal
     offset = F.col("offset") + (k % F.col("each")) * F.col("length")
     piece = F.when(F.col("of").isNotNull(), F.struct((F.col("full") * capacity + F.col("cut")).alias("start"), F.col("length").cast("long").alias("length"), sequence.cast("long").alias("sequence"), offset.cast("long").alias("offset")))
     of_doc = met.groupBy("uid", "full", "first_full").agg(F.collect_list(piece).alias("pieces"))
-    cut = _cut(capacity)("ids", "size", "full", "first_full", "pieces")
+    whole = F.transform(F.sequence(F.lit(0), F.col("full") - 1), lambda n: F.struct((n * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), (F.col("first_full") + n).alias("sequence"), F.lit(0).cast("long").alias("offset")))
+    every = F.concat(F.when(F.col("full") > 0, whole).otherwise(F.array().cast("array<struct<start:long,length:long,sequence:long,offset:long>>")), "pieces")
+    # Cut inside the array: exploding first would copy a long document's ids once for each of its pieces.
+    cut = F.transform(every, lambda x: F.struct(x.start, x.length, F.col("ids").substr((x.start * F.col("size") + 1).cast("int"), (x.length * F.col("size")).cast("int")).alias("ids"), x.sequence.alias("sequence_id"), x.offset))
     parts = known.join(of_doc, "uid").select("id", "n", "size", F.inline(cut))
     return parts.select("id", "start", "length", "ids", F.col("n").alias("doc_tokens"), "sequence_id", "offset", "size")
 
 
-def _cut(capacity: int):
-    @F.pandas_udf("array<struct<start:long,length:long,ids:binary,sequence_id:long,offset:long>>")
-    def run(ids: pd.Series, size: pd.Series, full: pd.Series, first_full: pd.Series, pieces: pd.Series) -> pd.Series:
-        out = []
-        for data, width, whole, first, rest in zip(ids, size, full, first_full, pieces):
-            parts = [(n * capacity, capacity, first + n, 0) for n in range(whole)]
-            parts += [(x["start"], x["length"], x["sequence"], x["offset"]) for x in rest]
-            out.append([(at, n, data[at * width : (at + n) * width], sequence, offset) for at, n, sequence, offset in parts])
-        return pd.Series(out)
-
-    return run
-
-
 @F.pandas_udf(BinaryType())
 def wide(ids: pd.Series, size: pd.Series) -> pd.Series:
     """The ids as little-endian unsigned 32-bit numbers."""
