@@ -371,7 +371,12 @@ ALL: dict[str, str] = {
     "metrics_by_channel": grouped("channel"),
     "metrics_by_hour": grouped(clock(HOUR)),
     "metrics_by_day": grouped(clock(DAY)),
-    "metrics_by_unknown": grouped("channel").replace("WHERE", "WHERE 1 = 0 AND"),
+    "metrics_by_unknown": f"WITH {EV} SELECT 'total' AS key, {COUNTS} FROM ev WHERE {RANGE}",
+    "metrics_shaped": f"""SELECT request_id, max(total_count) FILTER (WHERE scope = 'total') AS total_count,
+        max(unique_users) FILTER (WHERE scope = 'total') AS unique_users,
+        coalesce(string_agg(key || ':' || total_count || ':' || unique_users, ';' ORDER BY key)
+                 FILTER (WHERE scope = 'group'), '') AS grouped_data
+        FROM ({ANSWERS}) GROUP BY request_id""",
     "metrics_answer": f"""WITH {EV}
         SELECT 'total' AS scope, '' AS key, {COUNTS} FROM ev WHERE {RANGE} AND channel = 'api'
         UNION ALL
@@ -381,10 +386,10 @@ ALL: dict[str, str] = {
     "b02_unique_users": f"WITH {DAY_HOURS} SELECT count(DISTINCT user_id) AS unique_users FROM recent",
     "b03_purchases": f"WITH {DAY_HOURS} SELECT count(*) AS purchases FROM recent WHERE {SOLD}",
     "b04_active_campaigns": f"WITH {DAY_EVENTS} SELECT count(DISTINCT campaign_id) AS active_campaigns FROM recent",
-    "b05_total_revenue": f"WITH {DAY_EVENTS} SELECT {MONEY} AS total_revenue FROM recent WHERE {SOLD}",
-    "b06_avg_order_value": f"""WITH {DAY_EVENTS} SELECT CASE WHEN count(*) > 0 THEN {MONEY} / count(*) ELSE 0.0 END
+    "b05_total_revenue": f"WITH {DAY_EVENTS} SELECT round({MONEY}, 4) AS total_revenue FROM recent WHERE {SOLD}",
+    "b06_avg_order_value": f"""WITH {DAY_EVENTS} SELECT round(CASE WHEN count(*) > 0 THEN {MONEY} / count(*) ELSE 0.0 END, 4)
         AS avg_order_value FROM recent WHERE {SOLD}""",
-    "b07_revenue_over_time": f"""WITH {DAY_EVENTS} SELECT {clock(HOUR)} AS time, {MONEY} AS revenue FROM recent
+    "b07_revenue_over_time": f"""WITH {DAY_EVENTS} SELECT {clock(HOUR)} AS time, round({MONEY}, 4) AS revenue FROM recent
         WHERE {SOLD} GROUP BY 1""",
     "b08_events_over_time": f"WITH {DAY_HOURS} SELECT {clock(HOUR)} AS time, count(*) AS events FROM recent GROUP BY 1",
     "b09_unique_users_over_time": f"""WITH {DAY_HOURS} SELECT {clock(HOUR)} AS time,

@@ -35,9 +35,13 @@ def commands(spark: SparkSession, folder: str) -> DataFrame:
     return raw.as_commands(table(spark, folder))
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread_commands(spark: SparkSession, folder: str) -> DataFrame:
     """The same for queries that write or read JSON for every row."""
-    return raw.as_commands(spread(table(spark, folder)))
+    return raw.as_commands(spread(table(spark, folder), _tasks(spark)))
 
 
 def rows_of(raw_rows: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spread_events(spark: SparkSession, folder: str) -> DataFrame:
-    return rows_of(spread(table(spark, folder)))
+    return rows_of(spread(table(spark, folder), _tasks(spark)))
 
 
 def sent_again(spark: SparkSession, folder: str) -> DataFrame:

@@ -157,9 +157,9 @@ def rollup_compacted(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, fresh_folder(spark, "rollup")).create()
     tables.write_hourly(rollup.hourly_partials(inputs.events(spark, folder)), "load-1")
     tables.write_hourly(rollup.hourly_partials(inputs.sent_again(spark, folder)), "load-2")
-    tables.merge_hourly("1")
-    tables.vacuum("hourly")
-    return _shown(tables.hourly())
+    merged = Tables(spark, fresh_folder(spark, "merged"))
+    tables.merge_hourly_into(merged, "merge-1")
+    return _shown(merged.hourly())
 
 
 def _versions(rows: DataFrame) -> DataFrame:
@@ -176,8 +176,9 @@ def stored_latest_events(spark: SparkSession, folder: str) -> DataFrame:
     """The same through the stored events table: write, merge each day, read."""
     tables = Tables(spark, fresh_folder(spark, "events")).create()
     tables.write_events(inputs.sent_again(spark, folder), "load-1")
-    tables.merge_events("1")
-    return _versions(tables.events())
+    merged = Tables(spark, fresh_folder(spark, "merged"))
+    tables.merge_events_into(merged, "merge-1")
+    return _versions(merged.events())
 
 
 def unseen_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,6 +212,19 @@ def metrics_by(group_by: str) -> Query:
     return lambda spark, folder: metrics.metric_groups(_asked_hours(spark, folder), *ASK, group_by=group_by)
 
 
+def metrics_by_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """An unknown grouping: the total is answered, without groups."""
+    hourly = _asked_hours(spark, folder)
+    total = metrics.metric_total(hourly, *ASK).withColumn("key", F.lit("total"))
+    return total.unionByName(metrics.metric_groups(hourly, *ASK, group_by="week"))
+
+
+def metrics_shaped(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per request; its groups as one text, which compares alike in any engine."""
+    groups = F.array_join(F.transform("grouped_data", lambda g: F.concat_ws(":", g["key"], g["total_count"].cast("string"), g["unique_users"].cast("string"))), ";")
+    return metrics.shaped(metrics_requests_batch(spark, folder)).withColumn("grouped_data", groups)
+
+
 def metrics_answer(spark: SparkSession, folder: str) -> DataFrame:
     """The whole answer to one request: total and days."""
     return metrics.metrics(_asked_hours(spark, folder), *ASK, channel="api", group_by="day")
@@ -234,14 +248,19 @@ def _panel(panel: Callable[[DataFrame, Column], DataFrame], over_rollup: bool) -
     return query
 
 
+def _rounded(query: Query, column: str) -> Query:
+    """Sums of doubles depend on the order of rows in their last digits; only what is compared is rounded."""
+    return lambda spark, folder: query(spark, folder).withColumn(column, F.round(column, 4))
+
+
 PANELS: dict[str, Query] = {
     "b01_total_events": _panel(dashboard.total_events, True),
     "b02_unique_users": _panel(dashboard.unique_users, True),
     "b03_purchases": _panel(dashboard.purchases, True),
     "b04_active_campaigns": _panel(dashboard.active_campaigns, False),
-    "b05_total_revenue": _panel(dashboard.total_revenue, False),
-    "b06_avg_order_value": _panel(dashboard.avg_order_value, False),
-    "b07_revenue_over_time": _panel(dashboard.revenue_over_time, False),
+    "b05_total_revenue": _rounded(_panel(dashboard.total_revenue, False), "total_revenue"),
+    "b06_avg_order_value": _rounded(_panel(dashboard.avg_order_value, False), "avg_order_value"),
+    "b07_revenue_over_time": _rounded(_panel(dashboard.revenue_over_time, False), "revenue"),
     "b08_events_over_time": _panel(dashboard.events_over_time, True),
     "b09_unique_users_over_time": _panel(dashboard.unique_users_over_time, True),
     "b10_events_by_channel": _panel(dashboard.events_by_channel, True),
@@ -387,7 +406,8 @@ ALL: dict[str, Query] = {
     "metrics_by_channel": metrics_by("channel"),
     "metrics_by_hour": metrics_by("hour"),
     "metrics_by_day": metrics_by("day"),
-    "metrics_by_unknown": metrics_by("week"),
+    "metrics_by_unknown": metrics_by_unknown,
+    "metrics_shaped": metrics_shaped,
     "metrics_answer": metrics_answer,
     "metrics_requests_batch": metrics_requests_batch,
     **PANELS,

@@ -169,10 +169,5 @@ def number_at(text: Column, name: str) -> Column:
 
 
 def money_sum(amount: Column) -> Column:
-    """A sum of doubles that does not depend on row order.
-
-    Amounts below 1e12 are added as decimals with six places; the few beyond that are added as doubles.
-    """
-    exact = amount.try_cast("decimal(18,6)")
-    beyond = F.when(exact.isNull(), amount)
-    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(beyond), F.lit(0.0))
+    """The sum of amounts, 0 of none."""
+    return F.coalesce(F.sum(amount), F.lit(0.0))

@@ -11,10 +11,11 @@ KEY = ["event_id", "event_name", "timestamp"]
 def latest_versions(events: DataFrame) -> DataFrame:
     """The row with the highest ``created_at`` for each (event_id, event_name, timestamp).
 
-    ``batch_id`` (where there is one) and ``metadata`` only settle exact ties. Spark keeps the first row of each
+    ``batch_id`` (where there is one), ``metadata``, ``campaign_id`` and ``tags`` only settle exact ties, so that rows
+    which differ in nothing but these give the same winner in any order. Spark keeps the first row of each
     key before the shuffle already (WindowGroupLimit), so an event sent millions of times travels once per task.
     """
-    ties = [c for c in ("batch_id", "metadata") if c in events.columns]
+    ties = [c for c in ("batch_id", "metadata", "campaign_id", "tags") if c in events.columns]
     newest = Window.partitionBy(*KEY).orderBy(*[F.col(c).desc() for c in ["created_at", *ties]])
     return events.withColumn("version", F.row_number().over(newest)).where("version = 1").drop("version")
 

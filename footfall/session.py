@@ -29,10 +29,6 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/footfall/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
-    """A scan over ``tasks`` partitions (by default one per core), for work that costs much per row.
-
-    Only a small input is read in a quarter as many partitions or fewer; any other is left as it is read.
-    """
-    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(tasks) if rows.rdd.getNumPartitions() * 4 <= tasks else rows
+def spread(rows: DataFrame, tasks: int) -> DataFrame:
+    """The rows over ``tasks`` partitions, for work that costs much more per row than sending it."""
+    return rows.repartition(tasks)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.functions.fixed import MAX_ROWS_PER_FILE
 from footfall.functions.schema import DEAD_LETTER, EVENTS, HOURLY, RETRY
@@ -21,21 +18,12 @@ ORDER = {"events": ["event_name", "timestamp", "event_id"], "hourly": ["event_na
 # Columns with a Bloom filter in the events files, for lookups the order does not help.
 BLOOMED = ["event_name", "channel", "user_id", "event_id"]
 
-MERGED = "merged-"
-MERGES = T.StructType(
-    [
-        T.StructField("event_date", T.DateType()),
-        T.StructField("batch_id", T.StringType()),
-        T.StructField("merged_id", T.StringType()),
-    ]
-)
-
 
 class Tables:
     """``events`` and ``hourly`` by (event_date, batch_id); ``retry`` and ``dead_letters`` by batch_id.
 
     Every write replaces the partitions of its own batch id, so a micro-batch that runs again leaves the tables as
-    if it had run once. Batch ids start with the name of their stream; keep one checkpoint per stream name.
+    if it had run once. Batch ids of a stream hold its name and the id of its checkpoint, so streams never replace each other's batches.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -55,28 +43,14 @@ class Tables:
     # Reading ----------------------------------------------------------------------------------------------
 
     def stored(self, table: str) -> DataFrame:
-        """All rows as appended, merged partitions included."""
+        """All rows as appended."""
         return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
 
-    def read(self, table: str) -> DataFrame:
-        """The rows that count: finished merges in place of the partitions they were made from."""
-        rows = self.stored(table)
-        if "event_date" not in rows.columns:
-            return rows
-        is_merge = F.col("batch_id").startswith(MERGED)
-        merges = self._merges(table)
-        if merges is None:
-            return rows.where(~is_merge)
-        done = merges.select("event_date", F.col("merged_id").alias("batch_id")).distinct()
-        finished = rows.where(is_merge).join(done, ["event_date", "batch_id"], "left_semi")
-        replaced = merges.select("event_date", "batch_id")
-        return rows.where(~is_merge).unionByName(finished).join(replaced, ["event_date", "batch_id"], "left_anti")
-
     def events(self) -> DataFrame:
-        return self.read("events")
+        return self.stored("events")
 
     def hourly(self) -> DataFrame:
-        return self.read("hourly")
+        return self.stored("hourly")
 
     # Writing ----------------------------------------------------------------------------------------------
 
@@ -124,47 +98,23 @@ class Tables:
 
     # Merging ----------------------------------------------------------------------------------------------
 
-    def merge_hourly(self, name: str, dates: list[str] | None = None) -> None:
-        """Merge the partial rows of the given days (all by default) into one row per key."""
-        self._merge("hourly", name, dates, merge_hourly, self.write_hourly)
-
-    def merge_events(self, name: str, dates: list[str] | None = None) -> None:
-        """Keep only the latest version of each event of the given days (all by default)."""
-        self._merge("events", name, dates, latest_versions, self.write_events)
-
-    def _merge(
-        self,
-        table: str,
-        name: str,
-        dates: list[str] | None,
-        merge: Callable[[DataFrame], DataFrame],
-        write: Callable[[DataFrame, str], None],
-    ) -> None:
-        """Write the merged days beside the old partitions, then note which partitions they replace.
-
-        Readers believe the note, so they see the old rows until it is there and the merged ones after, whenever
-        the job is lost; a merge that failed half-way is run again under the same name. Batches that land while
-        the merge runs were not read by it and stay as they are.
-        """
-        merged_id = f"{MERGED}{name}"
-        rows = self.read(table)
-        if dates is not None:
-            rows = rows.where(F.col("event_date").isin([F.lit(d).cast("date") for d in dates]))
-        write(merge(rows), merged_id)
-        note = rows.select("event_date", "batch_id").distinct().withColumn("merged_id", F.lit(merged_id))
-        note.coalesce(1).write.mode("overwrite").parquet(f"{self.path(table)}_merges/name={name}")
-
-    def vacuum(self, table: str) -> None:
-        """Delete partitions that a finished merge has replaced. The note holds one row per partition folder."""
-        merges = self._merges(table)
-        if merges is not None:
-            for row in merges.select("event_date", "batch_id").distinct().toLocalIterator():
-                self._delete(f"{self.path(table)}/event_date={row.event_date}/batch_id={row.batch_id}")
-
-    def _merges(self, table: str) -> DataFrame | None:
-        if not self._glob(f"{self.path(table)}_merges/name=*/_SUCCESS"):
-            return None
-        return self.spark.read.schema(MERGES).parquet(f"{self.path(table)}_merges/name=*")
+    def merge_hourly_into(self, target: Tables, name: str, dates: list[str] | None = None) -> None:
+        """Write the rollup of the given days (all by default) to another root, one row per key."""
+        self._other(target).write_hourly(merge_hourly(self._days("hourly", dates)), name)
+
+    def merge_events_into(self, target: Tables, name: str, dates: list[str] | None = None) -> None:
+        """Write the latest version of each event of the given days (all by default) to another root."""
+        self._other(target).write_events(latest_versions(self._days("events", dates)), name)
+
+    def _other(self, target: Tables) -> Tables:
+        """Merging reads these tables and leaves them as they are; whoever runs it moves the readers over."""
+        if target.root == self.root:
+            raise ValueError("merge into tables of another root")
+        return target.create()
+
+    def _days(self, table: str, dates: list[str] | None) -> DataFrame:
+        rows = self.stored(table)
+        return rows if dates is None else rows.where(F.col("event_date").isin([F.lit(d).cast("date") for d in dates]))
 
     # Folders ----------------------------------------------------------------------------------------------
 

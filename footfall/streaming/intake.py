@@ -14,7 +14,7 @@ from footfall.operators.requests import bulk_events, bulk_outcome
 from footfall.operators.validate import errors_text, invalid, valid, with_errors
 from footfall.sources.request_bodies import decode_bulk
 from footfall.sources.topic import as_topic
-from footfall.streaming.landing import Clock, batch_name, utc_now
+from footfall.streaming.landing import Clock, batch_name, checkpoint_id, first_line, utc_now
 
 Publish = Callable[[DataFrame, str], None]
 
@@ -38,19 +38,26 @@ def refused(decoded: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def take_in(batch: DataFrame, number: int, root: str, publish: Publish, at: datetime, stream: str = "intake") -> None:
-    """One micro-batch of bulk requests. When publishing fails, every request of the batch is told so."""
+    """One micro-batch of bulk requests. When publishing fails, every request of the batch is told so.
+
+    The reason goes to the refused table as a row without a request.
+    """
     batch_id = batch_name(stream, number)
     decoded = decode_bulk(batch).persist()
     try:
         events = with_errors(bulk_events(decoded, at), at)
         try:
             publish(to_messages(valid(events)), batch_id)
-            published = True
-        except Exception:
-            published = False
+            published, said = True, None
+        except Exception as reason:
+            published, said = False, first_line(reason)
         answers = bulk_outcome(decoded, at, F.lit(published))
         answers.write.mode("overwrite").parquet(f"{root}/answers/batch_id={batch_id}")
-        refused(decoded, events).write.mode("overwrite").parquet(f"{root}/refused/batch_id={batch_id}")
+        out = refused(decoded, events)
+        if not published:
+            why = decoded.sparkSession.range(1).select(F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("int").alias("index"), F.lit(f"publish: {said}").alias("reason"))
+            out = out.unionByName(why)
+        out.write.mode("overwrite").parquet(f"{root}/refused/batch_id={batch_id}")
     finally:
         decoded.unpersist()
 
@@ -64,8 +71,12 @@ def start_intake(
     clock: Clock = utc_now,
     trigger: dict | None = None,
 ) -> StreamingQuery:
+    known: list[str] = []
+
     def each(batch: DataFrame, number: int) -> None:
-        take_in(batch, number, root, publish, clock(), stream)
+        if not known:
+            known.append(f"{stream}-{checkpoint_id(batch.sparkSession, checkpoint)}")
+        take_in(batch, number, root, publish, clock(), known[0])
 
     writer = bodies.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

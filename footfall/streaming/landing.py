@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.operators import failures
@@ -26,6 +27,11 @@ def batch_name(stream: str, number: int) -> str:
     return f"{stream}-{number:012d}"
 
 
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gives a query when it first starts on a checkpoint, and keeps in it."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"].replace("-", "")
+
+
 def insert(tables: Tables, rows: DataFrame, batch_id: str) -> None:
     """Store a batch of events and its partial rollup rows."""
     tables.write_events(rows, batch_id)
@@ -81,12 +87,17 @@ def start_landing(
 ) -> StreamingQuery:
     """Start the job. ``trigger`` is passed on to Spark; the default takes what is there and stops.
 
-    With ``tasks``, a batch that is read in fewer partitions is spread over that many to be decoded.
+    Batches are stored under the stream's name and the checkpoint's id: a query that starts on a new checkpoint adds
+    to the tables, it never replaces what another one has stored. With ``tasks``, a batch that is read in fewer partitions is spread over that many to be decoded.
     """
     tables.create()
 
+    known: list[str] = []
+
     def each(batch: DataFrame, number: int) -> None:
-        land(batch, number, tables, stream, topic, clock(), store, tasks)
+        if not known:
+            known.append(f"{stream}-{checkpoint_id(batch.sparkSession, checkpoint)}")
+        land(batch, number, tables, known[0], topic, clock(), store, tasks)
 
     writer = messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -12,7 +12,7 @@ from footfall.functions.schema import RETRY
 from footfall.operators import failures
 from footfall.operators.messages import decode, well_formed
 from footfall.sources.tables import Tables
-from footfall.streaming.landing import Clock, Insert, batch_name, first_line, insert, utc_now
+from footfall.streaming.landing import Clock, Insert, batch_name, checkpoint_id, first_line, insert, utc_now
 
 
 def stream_retry(spark: SparkSession, tables: Tables, files_per_trigger: int = 1000) -> DataFrame:
@@ -75,8 +75,12 @@ def start_retrying(
     """Start the job; run it again and again, or give it a processing-time trigger."""
     tables.create()
 
+    known: list[str] = []
+
     def each(batch: DataFrame, number: int) -> None:
-        retry_batch(batch, number, tables, clock(), stream, max_retries, store)
+        if not known:
+            known.append(f"{stream}-{checkpoint_id(batch.sparkSession, checkpoint)}")
+        retry_batch(batch, number, tables, clock(), known[0], max_retries, store)
 
     writer = stream_retry(spark, tables).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions.json_fields import money_sum, number_at
+from footfall.operators.latest import latest_versions
 from footfall.operators.commands import to_events, to_rows
 from footfall.operators.validate import (
     EVENT_RULES,
@@ -179,6 +180,16 @@ def test_price(spark, text, price):
 
 def test_money_adds_small_and_huge_amounts(spark):
     rows = spark.createDataFrame([(0.1,)] * 10 + [(1e15,)], "x double")
-    assert rows.where("x < 1").agg(money_sum(F.col("x"))).first()[0] == 1.0
-    assert rows.agg(money_sum(F.col("x"))).first()[0] == 1e15 + 1.0
+    assert rows.where("x < 1").agg(money_sum(F.col("x"))).first()[0] == pytest.approx(1.0, rel=1e-14)
+    assert rows.agg(money_sum(F.col("x"))).first()[0] == pytest.approx(1e15 + 1.0, rel=1e-15)
     assert rows.where("x < 0").agg(money_sum(F.col("x"))).first()[0] == 0.0
+    for amount in (1e-7, 999_999_999_999.5, 1e12, 1_000_000_000_000.5):
+        rows = spark.createDataFrame([(amount,)] * 3, "x double")
+        assert rows.agg(money_sum(F.col("x"))).first()[0] == pytest.approx(3 * amount, rel=1e-14)
+
+
+def test_latest_version_does_not_depend_on_the_order(spark):
+    rows = [("e", "n", 1, "{}", c, [t], 5) for c, t in (("c1", "a"), ("c2", "a"), ("c2", "b"))]
+    kind = "event_id string, event_name string, timestamp long, metadata string, campaign_id string, tags array<string>, created_at long"
+    found = [latest_versions(spark.createDataFrame(x, kind)).collect() for x in (rows, rows[::-1])]
+    assert found[0] == found[1] and (found[0][0].campaign_id, found[0][0].tags) == ("c2", ["b"])

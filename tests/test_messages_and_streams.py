@@ -15,7 +15,7 @@ from footfall.operators.rollup import hourly_by_window, merge_hourly
 from footfall.plans.metrics import metric_total
 from footfall.sources.topic import publish_files, stream_files
 from footfall.sources.tables import Tables
-from footfall.streaming.landing import insert, start_landing
+from footfall.streaming.landing import insert, land, start_landing
 from footfall.streaming.retrying import start_retrying
 from tests.test_rollup_and_metrics import T0, events
 
@@ -205,11 +205,23 @@ def test_landing(spark):
     assert metric_total(run.tables.hourly(), "v", T0, T0 + 86400).first() == (60, 5)
 
 
+def test_two_topics_under_two_checkpoints_are_both_stored(spark):
+    run, other = Run(spark), Run(spark)
+    run.send(events(spark, ROWS))
+    other.send(events(spark, [(n, c, f"other-{u}", s) for n, c, u, s in ROWS]))
+    run.land()
+    other.tables = run.tables
+    other.land(checkpoint="other")
+    assert run.tables.events().count() == run.tables.events().select("event_id").distinct().count() == 60
+    assert metric_total(run.tables.hourly(), "v", T0, T0 + 86400).first() == (60, 10)
+
+
 def test_landing_the_same_batch_again_changes_nothing(spark):
     run = Run(spark)
+    run.tables.create()
     run.send(events(spark, ROWS))
-    run.land()
-    run.land(checkpoint="forgotten")
+    for _ in range(2):
+        land(spark.read.schema(MESSAGE).parquet(f"{run.root}/topic"), 0, run.tables, "main-one", "events", NOON)
     assert run.tables.events().count() == 30
     assert metric_total(run.tables.hourly(), "v", T0, T0 + 86400).first() == (30, 5)
 

@@ -199,41 +199,36 @@ def test_tables_replace_a_batch_and_prune_days(spark):
     assert tables.events().count() == tables.hourly().count() == 0
 
 
-def test_merging_changes_no_answer(spark):
-    tables = Tables(spark, tempfile.mkdtemp(prefix="footfall-")).create()
+def test_merging_changes_no_answer_and_leaves_the_old_tables(spark):
+    tables, merged = (Tables(spark, tempfile.mkdtemp(prefix="footfall-")).create() for _ in range(2))
     tables.write_hourly(hourly_partials(events(spark, SALES)), "main-1")
     tables.write_hourly(hourly_partials(events(spark, THREE)), "main-2")
-    before = counted(tables.hourly())
-    tables.merge_hourly("1", ["2024-01-01"])
-    assert counted(tables.hourly()) == before
-    tables.write_hourly(hourly_partials(events(spark, THREE)), "main-3")
-    after = counted(tables.hourly())
-    tables.merge_hourly("2")
-    assert counted(tables.hourly()) == after
-    assert tables.hourly().count() == len(after)
-    tables.vacuum("hourly")
-    assert counted(tables.hourly()) == after
-    assert tables.stored("hourly").count() == len(after)
-
-
-def test_unfinished_merge_is_not_seen(spark):
-    tables = Tables(spark, tempfile.mkdtemp(prefix="footfall-")).create()
-    tables.write_hourly(hourly_partials(events(spark, THREE)), "main-1")
-    tables.write_hourly(hourly_partials(events(spark, SALES)), "main-2")
-    before = counted(tables.hourly())
-    tables.write_hourly(merge_hourly(tables.hourly()), "merged-lost")
-    assert counted(tables.hourly()) == before
-    tables.merge_hourly("1")
-    assert counted(tables.hourly()) == before
+    before, rows = counted(tables.hourly()), tables.hourly().count()
+    tables.merge_hourly_into(merged, "1")
+    tables.merge_hourly_into(merged, "1")
+    assert counted(merged.hourly()) == before and merged.hourly().count() == len(before) < rows
+    assert tables.hourly().count() == rows
+    with pytest.raises(ValueError):
+        tables.merge_hourly_into(Tables(spark, tables.root), "2")
+
+
+def test_days_merged_one_after_the_other_all_stay(spark):
+    tables, merged = (Tables(spark, tempfile.mkdtemp(prefix="footfall-")).create() for _ in range(2))
+    tables.write_hourly(hourly_partials(events(spark, SALES)), "main-1")
+    days = [str(r[0]) for r in tables.hourly().select("event_date").distinct().collect()]
+    assert len(days) > 1
+    for day in days:
+        tables.merge_hourly_into(merged, "1", [day])
+    assert counted(merged.hourly()) == counted(tables.hourly())
 
 
 def test_merged_events_keep_the_latest(spark):
-    tables = Tables(spark, tempfile.mkdtemp(prefix="footfall-")).create()
+    tables, merged = (Tables(spark, tempfile.mkdtemp(prefix="footfall-")).create() for _ in range(2))
     tables.write_events(events(spark, [("v", "web", "a", 0, '{"v":1}')], T0), "main-1")
     tables.write_events(events(spark, [("v", "web", "a", 0, '{"v":2}')], T0 + 9), "main-2")
     assert tables.events().count() == 2
-    tables.merge_events("1")
-    assert [r.metadata for r in tables.events().collect()] == ['{"v":2}']
+    tables.merge_events_into(merged, "1")
+    assert [r.metadata for r in merged.events().collect()] == ['{"v":2}']
 
 
 def test_synthetic_load(spark):
