@@ -177,6 +177,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scanned = scan.where("lead").drop("lead", "anchor")
     known = scanned.where("id IS NOT NULL")
     firsts = known.where(F.col("n_words") >= length).groupBy("sequence").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
+    firsts = saved(firsts.drop("last"), "firsts")
     copies = saved(known.select("id", "sequence").join(firsts, "sequence").where("id > first").select("id", "sequence").distinct(), "copies")
 
     anchors = scan.where("id IS NOT NULL AND anchor IS NOT NULL").select("id", "anchor")
