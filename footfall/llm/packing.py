@@ -85,7 +85,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, capacity: int, plan: Cal
     100,000 documents and moved up by what the buckets before hold, so equal lengths never meet in one task.
     """
     spark = docs.sparkSession
-    known = saved(tokenized(docs, id_col, text_col, path, end).withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    known = saved(tokenized(docs, id_col, text_col, path, end).withColumn("uid", F.monotonically_increasing_id()), "tokens", "zstd")
     buckets = max(1, math.ceil(known.count() / _BUCKET))
     rows = known.select("uid", "n", (F.col("n") % capacity).cast("int").alias("left"), F.floor(F.col("n") / capacity).alias("full"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int"))

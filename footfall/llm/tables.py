@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from footfall.session import fresh_folder
 
 
-def saved(rows: DataFrame, purpose: str) -> DataFrame:
+def saved(rows: DataFrame, purpose: str, codec: str = "snappy") -> DataFrame:
     """The rows, written once and read back: a lost executor costs no earlier work, and nothing is computed twice."""
     folder = fresh_folder(rows.sparkSession, purpose)
-    rows.write.parquet(folder)
+    rows.write.option("compression", codec).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
