@@ -348,6 +348,17 @@ ALL: dict[str, str] = {
           CASE WHEN unread THEN 'invalid request body' WHEN codes <> '' THEN 'validation failed' ELSE '' END AS error,
           CASE WHEN unread THEN '' ELSE codes END AS codes
         FROM coded""",
+    "single_accepted_messages": f"""WITH {SINGLE}
+        SELECT CAST(src AS VARCHAR) AS request_id, coded.user_id AS key,
+          '{{"event_id":"' || sha256(coded.event_name || '|' || coded.user_id || '|' || CAST(coded.timestamp AS VARCHAR) || '|' || coded.channel)
+          || '","event_name":"' || coded.event_name || '","channel":"' || coded.channel || '","campaign_id":"' || campaign_id
+          || '","user_id":"' || coded.user_id || '","timestamp":' || CAST(coded.timestamp AS VARCHAR) || ',"tags":["' || tags
+          || '"],"metadata":{{}},"created_at":"' || strftime(make_timestamp(coded.now * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '"}}' AS value
+        FROM coded JOIN ev USING (src) WHERE NOT unread AND codes = ''""",
+    "single_refused": f"""WITH {SINGLE}
+        SELECT CAST(src AS VARCHAR) AS request_id, CASE WHEN unread THEN 'invalid request body' ELSE
+          concat_ws('; ', {', '.join(message_of(f"({x})") for x in (NAME_SAYS, USER_SAYS, TIME_SAYS, CHANNEL_SAYS))}) END AS reason
+        FROM coded WHERE unread OR codes <> ''""",
     "metrics_request_errors": f"""WITH {REQUESTS}
         SELECT request_id, CAST((e1 IS NOT NULL)::INT + (e2 IS NOT NULL)::INT + (e3 IS NOT NULL)::INT
           + (e4 IS NOT NULL)::INT + (e5 IS NOT NULL)::INT + (e6 IS NOT NULL)::INT AS INT) AS n,
@@ -449,4 +460,8 @@ ALL: dict[str, str] = {
     "stream_dead_letters": f"""WITH {EV}
         SELECT src, CAST(src % 20 AS INT) AS partition, {BAD_VALUE} AS value FROM ev WHERE {BAD_VALUE} IS NOT NULL""",
     "stream_retry_recovers": rollup("landed", DECODED),
+    "failure_counts_stored": f"""WITH {DECODED}
+        SELECT CASE WHEN problem <> '' THEN 'unmarshal_error' ELSE 'insert_failed' END AS error_type,
+          count(*) AS messages
+        FROM decoded GROUP BY 1""",
 }

@@ -18,6 +18,7 @@ from footfall.plans import dashboard, metrics
 from footfall.session import fresh_folder
 from footfall.sources import raw_events, request_bodies, synthetic
 from footfall.sources.tables import Tables
+from footfall.streaming import intake
 from footfall.streaming.landing import start_landing
 from footfall.streaming.retrying import start_retrying
 
@@ -115,6 +116,22 @@ def single_outcome(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _single(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The decoded requests and their judged events."""
+    bodies, now = inputs.single_bodies(spark, folder)
+    decoded = request_bodies.decode_single(bodies)
+    return decoded, validate.with_errors(requests.single_events(decoded, F.timestamp_seconds(now)), now)
+
+
+def single_accepted_messages(spark: SparkSession, folder: str) -> DataFrame:
+    sent = messages.to_messages(validate.valid(_single(spark, folder)[1]))
+    return sent.select("request_id", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def single_refused(spark: SparkSession, folder: str) -> DataFrame:
+    return intake.refused(*_single(spark, folder)).select("request_id", "reason")
+
+
 def metrics_request_errors(spark: SparkSession, folder: str) -> DataFrame:
     checked = validate.with_request_errors(inputs.metric_requests(spark, folder))
     return checked.select("request_id", F.size("errors").alias("n"), validate.codes_text(F.col("errors")).alias("codes"))
@@ -366,18 +383,27 @@ def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
     return dead.select(F.col("offset").alias("src"), "partition", F.col("value").cast("string").alias("value"))
 
 
-def stream_retry_recovers(spark: SparkSession, folder: str) -> DataFrame:
-    """Every first insert fails; the retry job stores the events later. The rollup ends up the same."""
+def _failing(tables: Tables, rows: DataFrame, batch_id: str) -> None:
+    raise RuntimeError("no room")
 
-    def failing(tables: Tables, rows: DataFrame, batch_id: str) -> None:
-        raise RuntimeError("no room")
 
-    tables = _landed(spark, folder, store=failing)
+def stream_retry_recovers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every first insert fails; the retry job stores the events later. The rollup ends up the same."""
+    tables = _landed(spark, folder, store=_failing)
     root = fresh_folder(spark, "retry")
     start_retrying(spark, tables, f"{root}/checkpoint", clock=_much_later).awaitTermination()
     return _shown(rollup.merge_hourly(tables.hourly()))
 
 
+def failure_counts_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The insert fails, and two more tries do: each message counts once over the stored tables."""
+    tables = _landed(spark, folder, store=_failing)
+    root = fresh_folder(spark, "retry")
+    for _ in range(2):
+        start_retrying(spark, tables, f"{root}/checkpoint", clock=_much_later, store=_failing).awaitTermination()
+    return failures.stored_failure_counts(tables.stored("retry"), tables.stored("dead_letters"))
+
+
 def _much_later() -> datetime:
     return datetime(2100, 1, 1, tzinfo=timezone.utc)
 
@@ -392,6 +418,8 @@ ALL: dict[str, Query] = {
     "bulk_publish_failure": bulk_publish_failure,
     "bulk_accepted_events": bulk_accepted_events,
     "single_outcome": single_outcome,
+    "single_accepted_messages": single_accepted_messages,
+    "single_refused": single_refused,
     "metrics_request_errors": metrics_request_errors,
     "hourly_rollup": hourly_rollup,
     "hourly_window_rollup": hourly_window_rollup,
@@ -424,4 +452,5 @@ ALL: dict[str, Query] = {
     "stream_ingest_events": stream_ingest_events,
     "stream_dead_letters": stream_dead_letters,
     "stream_retry_recovers": stream_retry_recovers,
+    "failure_counts_stored": failure_counts_stored,
 }

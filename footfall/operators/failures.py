@@ -166,3 +166,22 @@ def failure_counts(*kept: DataFrame) -> DataFrame:
     for more in kinds[1:]:
         rows = rows.unionByName(more)
     return rows.groupBy("error_type").agg(F.count("*").alias("messages"))
+
+
+def stored_failure_counts(retry: DataFrame, dead_letters: DataFrame) -> DataFrame:
+    """``failure_counts`` over the stored tables, where a message that was tried several times has several rows.
+
+    Each message counts once, as it stands last: given up, or else with its highest count. It is told by the topic,
+    partition and offset it came from, or has itself where no header says so.
+    """
+    headers = F.col("headers")
+    origin = {"topic": fx.H_TOPIC, "partition": fx.H_PARTITION, "offset": fx.H_OFFSET}
+    place = [F.coalesce(header_value(headers, name), F.col(own).cast("string")).alias(own) for own, name in origin.items()]
+
+    def states(rows: DataFrame, dead: bool) -> DataFrame:
+        state = F.struct(F.lit(dead).alias("dead"), retry_count(headers).alias("tries"))
+        return rows.select(*place, header_value(headers, fx.H_ERROR_TYPE).alias("error_type"), state.alias("state"))
+
+    rows = states(retry, False).unionByName(states(dead_letters, True))
+    last = rows.groupBy(*origin).agg(F.max_by("error_type", "state").alias("error_type"))
+    return last.groupBy("error_type").agg(F.count("*").alias("messages"))

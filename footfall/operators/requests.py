@@ -27,6 +27,12 @@ def bulk_events(decoded: DataFrame, ingest_time: Moment) -> DataFrame:
     return to_events(rows.select("request_id", "index", "command.*"), ingest_time)
 
 
+def single_events(decoded: DataFrame, ingest_time: Moment) -> DataFrame:
+    """The event of every single-event request that could be read; it has no place in a list."""
+    taken = decoded.where("request_error IS NULL").drop("request_error")
+    return to_events(taken.withColumn("index", F.lit(None).cast("int")), ingest_time)
+
+
 def accepted(events: DataFrame, now: Moment) -> DataFrame:
     return valid(with_errors(events, now))
 

@@ -73,6 +73,9 @@ def metrics(
     return answer.orderBy(F.col("scope").desc(), "key")
 
 
+#: The last second an event can have (2106-02-07).
+LATEST = 2**32 - 1
+
 ASK = ["event_name", "first_hour", "last_hour", "channel", "group_by"]
 
 
@@ -95,7 +98,8 @@ def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
     the range is met as one row instead of 24, unless hours were asked for. No side is broadcast by hint: Spark
     sees the real sizes at run time and broadcasts the small side, or splits skewed keys of a sort-merge join.
     Groups and total of a question come out of one pass: a question has at most one group per hour it covers, so
-    its finished groups (three values each) travel in a list.
+    its finished groups (three values each) travel in a list. Days before the earliest and after the latest that any
+    request asks for are not read.
     """
     hour_seconds = F.unix_seconds("hour")
     asked = valid(with_request_errors(requests)).selectExpr(
@@ -106,6 +110,9 @@ def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
         "channel",
         "group_by",
     )
+    dates = [F.to_date(F.timestamp_seconds(F.least(F.greatest(x, F.lit(0)), F.lit(LATEST)))) for x in (F.min("first_hour"), F.max("last_hour"))]
+    span = asked.agg(dates[0].alias("first"), dates[1].alias("last"))
+    hourly = hourly.where(F.col("event_date").between(span.select("first").scalar(), span.select("last").scalar()))
     ends = hourly.agg(F.min(hour_seconds).alias("low"), F.max(hour_seconds).alias("high"))
     first = F.greatest("first_hour", ends.select("low").scalar())
     last = F.least("last_hour", ends.select("high").scalar())

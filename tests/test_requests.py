@@ -12,7 +12,7 @@ from footfall.operators.requests import accepted, bulk_events, bulk_outcome, sin
 from footfall.sources.request_bodies import decode_bulk, decode_single, read_bodies, stream_bodies
 from footfall.sources.topic import as_topic
 from footfall.operators.messages import decode, to_messages
-from footfall.streaming.intake import start_intake, to_folder
+from footfall.streaming.intake import SINGLE, start_intake, to_folder
 
 NOW = 1_700_000_000
 GOOD = {"event_name": "e", "channel": "web", "user_id": "u", "timestamp": NOW - 1}
@@ -155,3 +155,33 @@ def test_intake_tells_when_publishing_fails(spark):
 
     answers = spark.read.parquet(f"{intake(spark, publish=publish)}/answers").collect()
     assert [(a.status, a.success_count, a.failed_count) for a in answers if a.request_error is None] == [(400, 0, 2)]
+
+
+def single_intake(spark, publish=None):
+    root = tempfile.mkdtemp(prefix="footfall-")
+    os.makedirs(f"{root}/in")
+    with open(f"{root}/in/a.txt", "w") as out:
+        out.write("\n".join([json.dumps(GOOD), "{}", "bad"]) + "\n")
+    at = datetime.fromtimestamp(NOW, timezone.utc)
+    publish = publish or to_folder(f"{root}/topic")
+    start_intake(stream_bodies(spark, f"{root}/in"), root, publish, f"{root}/checkpoint", clock=lambda: at, kind=SINGLE).awaitTermination()
+    return root
+
+
+def test_single_event_stream(spark):
+    root = single_intake(spark)
+    answers = spark.read.parquet(f"{root}/answers").collect()
+    assert sorted((a.status, a.event_id is None, a.error) for a in answers if a.status == 400) == [(400, True, "invalid request body"), (400, True, "validation failed")]
+    assert [a.event_id for a in answers if a.status == 202] == [json.loads(r.value)["event_id"] for r in spark.read.parquet(f"{root}/topic").collect()]
+    refused = spark.read.parquet(f"{root}/refused").orderBy("reason").collect()
+    assert [r.reason.split(":")[0] for r in refused] == ["event_name", "invalid request body"]
+
+
+def test_single_event_stream_tells_when_publishing_fails(spark):
+    def publish(messages, batch_id):
+        raise RuntimeError("topic is gone")
+
+    root = single_intake(spark, publish)
+    assert sorted(a.status for a in spark.read.parquet(f"{root}/answers").collect()) == [400, 400, 500]
+    whys = [r.reason for r in spark.read.parquet(f"{root}/refused").collect() if r.request_id is None]
+    assert len(whys) == 1 and "topic is gone" in whys[0]

@@ -236,3 +236,16 @@ def test_synthetic_load(spark):
     assert rows[7].event_name == "purchase" and rows[7].channel == "mobile_app" and rows[7].timestamp == T0 - 7
     assert rows[207].tags == ["test", "loadtest", "worker_1"] and rows[207].campaign_id == "cmp_7"
     assert rows[3].metadata == '{"currency":"TRY","price":102.99,"product_id":"prod_3","worker_id":0}'
+
+
+def test_requests_read_only_the_days_they_ask_for(spark):
+    tables = Tables(spark, tempfile.mkdtemp(prefix="footfall-")).create()
+    tables.write_hourly(hourly_partials(events(spark, [("v", "web", f"u{d}", d * 86400) for d in range(10)])), "load")
+    shape = "request_id bigint, event_name string, `from` bigint, `to` bigint, channel string, group_by string"
+    ask = spark.createDataFrame([(1, "v", T0 + 2 * 86400, T0 + 4 * 86400, "", "")], shape)
+    answer = answer_requests(ask, tables.hourly())
+    assert [tuple(r)[1:] for r in answer.collect()] == [("total", "", 3, 3)]
+    plan = answer._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    far = spark.createDataFrame([(2, "v", 1, 2**62, "", "")], shape)
+    assert [tuple(r)[1:] for r in answer_requests(far, tables.hourly()).collect()] == [("total", "", 10, 10)]
