@@ -58,10 +58,11 @@ def least_hashed(rows: DataFrame, group: str, each: int) -> DataFrame:
     """At most ``each`` rows of each value of ``group``: those least by a hash of their ``id``.
 
     Only rows whose hash lies below four times the share that is wanted are ever sorted, so the work of the sorting task
-    is bounded by the sample, not by the rows.
+    is bounded by the sample, not by the rows. The product is one of doubles: of a group of over 2^23 rows a bigint would
+    not hold it.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    few = rows.withColumn("_place", place).join(F.broadcast(counts), group).where(F.col("_place") * F.col("_n") < F.lit(4.0 * each * (1 << 40)))
+    few = rows.withColumn("_place", place).join(F.broadcast(counts), group).where(F.col("_place").cast("double") * F.col("_n") < F.lit(4.0 * each * (1 << 40)))
     order = Window.partitionBy(group).orderBy("_place", "id")
     return few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).drop("_place", "_n", "_rank")

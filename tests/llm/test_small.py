@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import brute
 from tokenizers import Tokenizer
 
-from footfall.llm import best_fit, chain, circulant, ecoc, exact, mixing, near_duplicates, packing, repeats, slack_packing, tiles, tokens, words
+from footfall.llm import best_fit, chain, circulant, ecoc, exact, mixing, near_duplicates, packing, repeats, slack_packing, tables, tiles, tokens, words
 from footfall.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, kept string, id long"
@@ -274,6 +275,15 @@ def test_matrices_restore_every_text(docs, none, tmp_path):
     assert best_fit.token_matrices(none).count() == 0
 
 
+def test_samples_of_large_groups(spark):
+    """Above 2^23 rows in a group the product of a hash and the group's size passes 2^63."""
+    rows = spark.range(9_000_000).selectExpr("id", "IF(id < 20, 'few', 'many') AS lang")
+    found = tables.least_hashed(rows, "lang", 50).groupBy("lang").agg({"id": "count"}).collect()
+    assert sorted(map(tuple, found)) == [("few", 20), ("many", 50)]
+    least = rows.where("lang = 'many'").orderBy(F.expr("pmod(xxhash64(id), 1099511627776)"), "id").limit(50)
+    assert tables.least_hashed(rows, "lang", 50).where("lang = 'many'").select("id").exceptAll(least.select("id")).count() == 0
+
+
 def test_codewords_are_apart():
     for classes in (2, 3, 5, 12):
         code = ecoc.codebook(classes)
