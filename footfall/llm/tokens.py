@@ -45,11 +45,15 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {x["content"] for x in model["added_tokens"]}
+        added = {x["content"]: x["id"] for x in model["added_tokens"]}
+        if any(x[k] for x in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take in or ask for what stands beside them")
         letters = _bytes_of_letters()
-        ranks = {bytes(letters[c] for c in word): n for word, n in model["model"]["vocab"].items() if word not in special}
+        ranks = {bytes(letters[c] for c in word): n for word, n in model["model"]["vocab"].items() if word not in added}
         self._bpe = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if max([*ranks.values(), *added.values()]) < 1 << 16 else "<u4")
+        self._added = {word: np.array([n], self.dtype).tobytes() for word, n in added.items()}
+        self._at_added = re.compile("(" + ("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)") + ")")
         self._length = np.zeros(max(ranks.values()) + 1, np.int64)
         for word, n in ranks.items():
             self._length[n] = len(word)
@@ -83,6 +87,7 @@ class Encoder:
                 last = cut
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of texts in which the added tokens are text like any other."""
         texts = [x or "" for x in texts]
         parts = [x.split(" ") for x in texts]
         self._learn(set().union(*(x[1:] for x in parts)))
@@ -92,6 +97,13 @@ class Encoder:
             else:
                 yield self.whole(words[0]) + b"".join(map(self._known.__getitem__, words[1:]))
 
+    def encode_added(self, texts: list[str | None]) -> Iterator[bytes]:
+        """As the library does by default: an added token has its own id, and what stands between is encoded by itself."""
+        pieces = [self._at_added.split(x or "") for x in texts]
+        plain = self.encode([x for row in pieces for x in row[::2]])
+        for row in pieces:
+            yield b"".join(self._added[x] if n % 2 else next(plain) for n, x in enumerate(row))
+
 
 @cache
 def encoder(path: str) -> Encoder:
@@ -106,7 +118,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str | None = No
         bpe = encoder(path or default_path())
         last, size = np.array([end], bpe.dtype).tobytes(), bpe.dtype.itemsize
         for batch in texts:
-            found = [x + last for at in range(0, len(batch), 256) for x in bpe.encode(batch.iloc[at : at + 256].tolist())]
+            found = [x + last for at in range(0, len(batch), 256) for x in bpe.encode_added(batch.iloc[at : at + 256].tolist())]
             yield pd.DataFrame({"ids": found, "n": [len(x) // size for x in found], "size": size})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

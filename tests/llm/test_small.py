@@ -237,6 +237,18 @@ def ids_of(rows):
     return [(i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
 
 
+def test_added_tokens_have_their_ids(spark):
+    texts = ["x <|endoftext|> a", "<|endoftext|>", "<|endoftext|><|endoftext|> a  ", "a  \n <|endoftext|>  b", "<|endoftext|", "a <|endoftext|>b c <|endoftext|>\n \n", None]
+    rows = list(enumerate(texts))
+    assert ids_of(rows)[0][1] == [87, 220, 50256, 257, 0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = tokens.tokenized(docs, "doc_id", "text").collect()
+    assert {r["id"]: np.frombuffer(r["ids"], f"<u{r['size']}").tolist() for r in found} == dict(ids_of(rows))
+    parts = slack_packing.pack(docs, capacity=8).select("id", "start", packing.wide("ids", "size").alias("wide")).collect()
+    packed = {i: sum((np.frombuffer(r["wide"], "<u4").tolist() for r in sorted(parts, key=lambda r: r["start"]) if r["id"] == i), []) for i, _ in rows}
+    assert packed == dict(ids_of(rows))
+
+
 def test_slack_packing(docs, none, monkeypatch):
     monkeypatch.setattr(packing, "_BUCKET", 4)
     rows = slack_packing.pack(docs, capacity=64).withColumn("wide", packing.wide("ids", "size")).collect()
