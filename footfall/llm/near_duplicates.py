@@ -30,16 +30,29 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
     return rows_in.select("id", of("text").alias("x")).select("id", "x.*")
 
 
+def _numbered(full: DataFrame) -> DataFrame:
+    """(set_key, id, node) of each distinct set: its smallest id and a number of its own, in the order of the ids.
+
+    Sets of one id differ in their nodes. They are sorted in ranges, and nodes rise from range to range.
+    """
+    sets = full.groupBy("set_key").agg(F.min("id").alias("id"))
+    sets = sets.repartitionByRange("id", "set_key").sortWithinPartitions("id", "set_key")
+    return saved(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+
+
 def _grams(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, grams) of the wanted documents, read from their texts again."""
+    """(id, grams) of the wanted sets (set_key, id, node), read from their texts again; the id is the node."""
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.sort(circulant.shingles(x, width).view(np.int64)) for x in texts])
+    @F.pandas_udf("struct<grams:array<long>,set_key:binary>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = [circulant.shingles(x, width) for x in texts]
+        out = [(np.sort(x.view(np.int64)), circulant.set_key(x)) for x in found]
+        return pd.DataFrame(out, columns=["grams", "set_key"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(wanted, "id", "left_semi").withColumn("grams", of("text"))
-    return rows.select("id", "grams", F.size("grams").alias("n")).dropDuplicates(["id", "n"])
+    rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("id", of("text").alias("x")).select("id", "x.*")
+    rows = rows.join(wanted, ["id", "set_key"]).dropDuplicates(["id", "set_key"])
+    return rows.select(F.col("node").alias("id"), "grams")
 
 
 def shared(left: np.ndarray, right: np.ndarray) -> int:
@@ -173,23 +186,27 @@ def near_duplicates(
 
     A null or empty text, or one without words, has an empty set and links with nothing. Of a text with fewer than
     ``width`` words the whole sequence is the only shingle. A row without id is compared with nothing, has no
-    component and is kept. Rows that repeat an id are one document and are all marked alike.
+    component and is kept. Rows that repeat an id are each marked by their own text; those that have their component's
+    id are all kept.
     """
     found = saved(features(docs, id_col, text_col, width, bands, rows, seed), "features")
     full = found.where("id IS NOT NULL AND n_shingles > 0")
-    sets = full.groupBy("set_key").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
-    posted = saved(sets.select("id", F.explode("bands").alias("key")), "bands")
+    sets = _numbered(full)
+    banded = full.groupBy("set_key").agg(F.any_value("bands").alias("bands")).join(sets, "set_key")
+    posted = saved(banded.select(F.col("node").alias("id"), F.explode("bands").alias("key")), "bands")  # from here to the roots an id is a node
     buckets = posted.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").select("key", "center")
     buckets = saved(buckets, "centers")  # read plainly, so that Spark can split a bucket that holds most rows
     members = saved(posted.join(buckets, "key").select("key", "center", "id"), "buckets")
-    grams = saved(_grams(docs, members.select("id").distinct(), id_col, text_col, width), "grams")
+    wanted = saved(sets.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select(sets.columns), "wanted")
+    grams = saved(_grams(docs, wanted, id_col, text_col, width), "grams")
     stars = members.where("center != id").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     links = saved(_confirmed(stars, grams, percent), "confirmed")
     rest = saved(_rest(members, links, grams, percent, block), "rest")
     roots = components(links.union(rest))
-    least = full.groupBy("set_key").agg(F.min("id").alias("own"))
-    named = least.join(roots.withColumnRenamed("node", "own"), "own", "left").select("set_key", F.coalesce("root", "own").alias("root"))
+    named = sets.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     named = saved(named, "named")
+    first = sets.select(F.col("node").alias("root"), F.col("id").alias("least"))
+    named = saved(named.join(first, "root").select("set_key", "least"), "least")
     result = found.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id"))
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("least"))).otherwise(F.col("id"))
     return result.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

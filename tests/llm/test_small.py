@@ -106,6 +106,16 @@ def test_near_duplicates_of_a_loose_group(spark):
     assert {r[0]: r[2] for r in found.collect()} == {i: x[1] for i, x in want.items()}
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    """The texts of one id are sets of their own, whether or not the id is the smallest of their components."""
+    a, b, c, d = (prose(100, n) for n in (21, 22, 23, 24))
+    rows = [(2, a), (2, b), (9, a + " x"), (10, b + " x"), (30, c), (30, d), (20, c + " x"), (21, d + " x"), (30, c)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    want = [(2, 98, 2, True), (2, 98, 2, True), (9, 99, 2, False), (10, 99, 2, False)]
+    want += [(20, 99, 20, True), (21, 99, 21, True), (30, 98, 20, False), (30, 98, 20, False), (30, 98, 21, False)]
+    assert sorted(map(tuple, found)) == want
+
+
 def test_repeats(docs, none):
     found, spans = repeats.remove_repeats(docs, length=13)
     want = brute.repeats(TEXTS.items(), 13)
