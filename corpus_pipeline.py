@@ -33,9 +33,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles and a similarity of 0.8."""
-    gone = near_duplicates(docs, width=5, percent=80, bands=64).where("NOT kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, by five-word shingles and a similarity of 0.8.
+
+    Rows are told apart by id and text; those that agree in both have lost their copies in the stage before.
+    """
+    keyed = docs.withColumn("_row", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    gone = near_duplicates(keyed, width=5, percent=80, bands=64, row_col="_row").where("NOT kept")
+    gone = gone.select(F.col("id").alias("doc_id"), F.col("row").alias("_row")).distinct()
+    return keyed.join(gone, ["doc_id", "_row"], "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from footfall.llm.tables import saved
 _COLUMNS = 4096
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(id, n_shingles, set_key, bands): the set's size, a 128-bit digest that tells equal sets, and its band keys."""
+def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, seed: int, row_col: str | None = None) -> DataFrame:
+    """(id, row, n_shingles, set_key, bands): the set's size, a 128-bit digest that tells equal sets, and its band keys."""
 
     @F.pandas_udf("struct<n_shingles:long,set_key:binary,bands:array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -26,22 +26,23 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
             out.append((len(grams), circulant.set_key(grams), keys))
         return pd.DataFrame(out, columns=["n_shingles", "set_key", "bands"])
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_in.select("id", of("text").alias("x")).select("id", "x.*")
+    row = F.col(row_col) if row_col else F.lit(0)
+    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).alias("text"))
+    return rows_in.select("id", "row", of("text").alias("x")).select("id", "row", "x.*")
 
 
 def _numbered(full: DataFrame) -> DataFrame:
-    """(set_key, id, node) of each distinct set: its smallest id and a number of its own, in the order of the ids.
+    """(set_key, id, row, node) of each distinct set: its first id and row, and a number of its own in their order.
 
     Sets of one id differ in their nodes. They are sorted in ranges, and nodes rise from range to range.
     """
-    sets = full.groupBy("set_key").agg(F.min("id").alias("id"))
-    sets = sets.repartitionByRange("id", "set_key").sortWithinPartitions("id", "set_key")
+    sets = full.groupBy("set_key").agg(F.min(F.struct("id", "row")).alias("first")).select("set_key", "first.*")
+    sets = sets.repartitionByRange("id", "row", "set_key").sortWithinPartitions("id", "row", "set_key")
     return saved(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
 
 def _grams(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, grams) of the wanted sets (set_key, id, node), read from their texts again; the id is the node."""
+    """(id, grams) of the wanted sets (set_key, id, row, node), read from their texts again; the id is the node."""
 
     @F.pandas_udf("struct<grams:array<long>,set_key:binary>")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -175,6 +176,7 @@ def near_duplicates(
     rows: int = 8,
     seed: int = 20240229,
     block: int = 512,
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: which documents are near copies of each other.
 
@@ -187,9 +189,10 @@ def near_duplicates(
     A null or empty text, or one without words, has an empty set and links with nothing. Of a text with fewer than
     ``width`` words the whole sequence is the only shingle. A row without id is compared with nothing, has no
     component and is kept. Rows that repeat an id are each marked by their own text; those that have their component's
-    id are all kept.
+    id are all kept. With ``row_col``, which tells the rows of an id apart, the first of them by it alone is kept, and the
+    column ``row`` is added.
     """
-    found = saved(features(docs, id_col, text_col, width, bands, rows, seed), "features")
+    found = saved(features(docs, id_col, text_col, width, bands, rows, seed, row_col), "features")
     full = found.where("id IS NOT NULL AND n_shingles > 0")
     sets = _numbered(full)
     banded = full.groupBy("set_key").agg(F.any_value("bands").alias("bands")).join(sets, "set_key")
@@ -205,8 +208,11 @@ def near_duplicates(
     roots = components(links.union(rest))
     named = sets.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     named = saved(named, "named")
-    first = sets.select(F.col("node").alias("root"), F.col("id").alias("least"))
-    named = saved(named.join(first, "root").select("set_key", "least"), "least")
-    result = found.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("least"))).otherwise(F.col("id"))
-    return result.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    first = sets.select(F.col("node").alias("root"), F.col("id").alias("least"), F.col("row").alias("first"))
+    named = saved(named.join(first, "root").select("set_key", "least", "first"), "least")
+    result = found.select("id", "row", "n_shingles", "set_key").join(named, "set_key", "left")
+    linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    component = F.when(linked, F.col("least")).when(F.col("n_shingles") == 0, F.col("id"))
+    kept = F.when(linked, (F.col("id") == F.col("least")) & F.col("row").eqNullSafe(F.col("first"))).otherwise(True)
+    columns = ["id", "n_shingles", component.alias("component_id"), kept.alias("kept")]
+    return result.select(*columns, *(["row"] if row_col else []))

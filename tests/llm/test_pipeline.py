@@ -31,6 +31,17 @@ def test_stages_decide_as_the_plain_way_does(spark):
     assert 0.5 * words < taken < 2 * words
 
 
+def test_near_copies_go_by_row(spark):
+    """Of a repeated id the clean text stays, of its own near copies one."""
+    words = [f"w{n}" for n in range(400)]
+    a, b, c = (" ".join(words[n : n + 100]) for n in (0, 100, 200))
+    rows = [(1, a), (7, a + " x"), (7, b), (8, c), (8, c + " y"), (8, c + "  y"), (9, None), (None, a), (None, a + " z")]
+    left = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    found = [tuple(r) for r in left.collect()]
+    assert left.columns == ["doc_id", "text"] and len(found) == 6
+    assert {(1, a), (7, b), (9, None), (None, a), (None, a + " z")} < set(found) and {i for i, _ in found} == {1, 7, 8, 9, None}
+
+
 def test_run_packs_what_the_mix_takes(spark):
     parts = corpus_pipeline.run(spark, SMALL).toPandas()
     used = parts.groupby("sequence_id")["length"].sum()
