@@ -22,8 +22,13 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; without a letter, or between languages, they go."""
+    """Documents whose language is told; without a letter, or between languages, they go.
+
+    If no row trained on names a language, none can be told, and all documents with a letter stay.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.where("text RLIKE '\\\\p{L}'")
     return identify(docs, model).where("lang_pred != 'und' AND NOT ambiguous").select(*docs.columns)
 
 

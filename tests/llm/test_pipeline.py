@@ -31,6 +31,13 @@ def test_stages_decide_as_the_plain_way_does(spark):
     assert 0.5 * words < taken < 2 * words
 
 
+def test_letters_stay_where_no_language_is_named(spark):
+    rows = [(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "été", None), (None, "more", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = corpus_pipeline.language(spark, docs, SMALL)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {1, 5, None}
+
+
 def test_near_copies_go_by_row(spark):
     """Of a repeated id the clean text stays, of its own near copies one."""
     words = [f"w{n}" for n in range(400)]
