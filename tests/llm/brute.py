@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 
@@ -46,6 +47,27 @@ def near(rows, width, percent):
     return {i: (len(sets[i]), roots[i]) for i in sets}
 
 
+def copies(rows, cap=3, seed=20240229):
+    """{id: copies} of (id, text, source) rows with unique ids, at weights 1, 2, 3 by turns."""
+    size = defaultdict(int)
+    for _, text, source in rows:
+        size[source] += len(words(text))
+    weight = {s: 1 + n % 3 for n, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    open_, price = set(size), 0.0
+    while open_:
+        price = (sum(size.values()) - sum(cap * size[s] for s in size.keys() - open_)) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * price > cap * size[s]}
+        if not full:
+            break
+        open_ -= full
+    out = {}
+    for i, _, s in rows:
+        rate = min(weight[s] * price, float(cap * size[s])) / size[s] if size[s] else 0.0
+        draw = int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / 16**13
+        out[i] = int(rate) + (draw < rate - int(rate))
+    return out
+
+
 def repeats(rows, length):
     """{id: (words, removed, kept words)} when a window that also starts in a smaller id is removed."""
     first, texts = {}, {}

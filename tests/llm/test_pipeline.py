@@ -1,12 +1,16 @@
 """The whole pipeline beside its steps done the plain way, and classifiers on documents they have not seen."""
 
 import hashlib
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import brute
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from footfall.llm import queries
+from footfall.llm import ecoc, queries, tables, tokens
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -57,6 +61,32 @@ def test_run_packs_what_the_mix_takes(spark):
     assert (whole["length"] % whole["tokens"] == 0).all() and (whole["length"] // whole["tokens"] <= 3).all()
 
 
+def test_run_is_what_the_plain_way_gives(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = ecoc.train(docs.where(~tables.held_out(F.col("doc_id"))))
+    dropped = {}
+    for i, r in rows.items():
+        if (x := ecoc.profile(r["text"])) is None:
+            dropped[i] = "no letter"
+        elif model.decide(x[None])[1][0] < 0.5:
+            dropped[i] = "between languages"
+    told = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SMALL).collect()}
+    assert rows.keys() - told == dropped.keys() and len(told) + len(dropped) == docs.count()
+    last = {(rows[i]["text"] or "").translate(brute.LOWER): i for i in sorted(told)}
+    near = brute.near([(i, rows[i]["text"]) for i in last.values()], 5, 80)
+    left = [(i, rows[i]["text"], rows[i]["source"]) for i, (_, root) in near.items() if i == root]
+    library = Tokenizer.from_file(tokens.default_path())
+    want = {i: n for i, n in brute.copies(left).items() if n}
+    ids = {i: np.array([*library.encode(rows[i]["text"] or "", add_special_tokens=False).ids, 0], "<u4") for i in want}
+    held = {i: np.zeros(len(x), int) for i, x in ids.items()}
+    for r in corpus_pipeline.run(spark, SMALL).collect():
+        a, b = r["start"], r["start"] + r["length"]
+        assert r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][a:b].tobytes())
+        held[r["doc_id"]][a:b] += 1
+    assert {i: set(x.tolist()) for i, x in held.items()} == {i: {n} for i, n in want.items()}
+
+
 @pytest.mark.parametrize("name,table,label,told,least", [("op1_output_codes", "documents", "lang", "lang_pred", 0.97), ("op3_byte_network", "labels", "quality", "predicted", 0.9), ("op6_toxicity_chain", "labels", "toxic", "predicted", 0.93)])
 def test_held_out_accuracy(spark, name, table, label, told, least):
     found = queries.ALL[name](spark, MIDDLE)
