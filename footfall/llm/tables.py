@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from footfall.session import fresh_folder
 
@@ -27,6 +33,44 @@ def bucketed(rows: DataFrame, purpose: str, column: str) -> DataFrame:
     return spark.table(table)
 
 
+_PART = 1 << 20
+
+
+def parts_of(sizes: np.ndarray, most: int = _PART) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows of at most ``most`` bytes together; a larger row is a range by itself."""
+    at, total = 0, 0
+    for n, size in enumerate(sizes.tolist()):
+        if n > at and total + size > most:
+            yield at, n
+            at, total = n, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def by_text(rows: DataFrame, kind: str, reader: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
+    """The rows with the columns ``kind`` in place of ``text``: what ``reader()`` says of each whole text.
+
+    A Python worker turns one text at a time into a Python string and hands results on after every MB of text, so it
+    holds no batch of strings or results.
+    """
+    added = StructType.fromDDL(kind)
+    kept = [c for c in rows.columns if c != "text"]
+    fields = list(to_arrow_schema(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader()
+        for batch in batches:
+            texts = batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for at, end in parts_of(sizes + 64):
+                found = zip(*[read(x.as_py()) for x in texts.slice(at, end - at)])
+                new = [pa.array(list(x), f.type) for x, f in zip(found, fields)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, end - at) for c in kept), *new], [*kept, *(f.name for f in fields)])
+
+    return rows.mapInArrow(run, StructType([*rows.select(kept).schema.fields, *added.fields]))
+
+
 @contextmanager
 def filtered_joins(spark: SparkSession):
     """Here Spark drops rows by a Bloom filter of the other side's keys before it sends them to a join.

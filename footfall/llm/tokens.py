@@ -1,24 +1,26 @@
 """Token ids of texts by a byte-level BPE vocabulary file.
 
-Most words of a corpus come again, so each Python worker keeps the ids of the words it has met. A text may be cut before
-a space when the pattern of the vocabulary never joins what stands before with it: it does not, save in runs of white
-space that hold a further space. Such texts are encoded whole.
+Texts go to ``tiktoken`` one at a time and nothing is kept between them, so a Python worker holds the vocabulary and one
+text's ids, whatever came before. Only runs of white space of over ``_LONG_RUN`` characters, at which its pattern gives
+up, are cut out and merged by themselves.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CUT_IN_RUN = re.compile(r"\s (?:\s|\Z)")
-_KEPT_WORDS = 200_000
+from footfall.llm.tables import by_text
+
+_LONG_RUN = 50_000
+# What the vocabulary's pattern takes for white space.
+_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_SPACE}]{{{_LONG_RUN},}}")
 
 
 def default_path() -> str:
@@ -29,6 +31,7 @@ def default_path() -> str:
 
 def _bytes_of_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    # Fixed values of the vocabulary file.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(x): x for x in plain}
     for n, x in enumerate(x for x in range(256) if x not in set(plain)):
@@ -37,7 +40,7 @@ def _bytes_of_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids as little-endian bytes of ``dtype``; the same ids as the ``tokenizers`` library gives for the file."""
+    """Ids as arrays of ``dtype``; the same ids as the ``tokenizers`` library gives for the file."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -52,57 +55,27 @@ class Encoder:
         ranks = {bytes(letters[c] for c in word): n for word, n in model["model"]["vocab"].items() if word not in added}
         self._bpe = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2" if max([*ranks.values(), *added.values()]) < 1 << 16 else "<u4")
-        self._added = {word: np.array([n], self.dtype).tobytes() for word, n in added.items()}
-        self._at_added = re.compile("(" + ("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)") + ")")
-        self._length = np.zeros(max(ranks.values()) + 1, np.int64)
-        for word, n in ranks.items():
-            self._length[n] = len(word)
-        self._known: dict[str, bytes] = {}
-        self._odd: set[str] = set()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), self.dtype).tobytes()
-
-    def _learn(self, found: set[str]) -> None:
-        """The ids of each word with a space before it; plain words are encoded together and parted by their bytes."""
-        if len(self._known) + len(found) > _KEPT_WORDS:
-            self._known.clear()
-            self._odd.clear()
-        plain = []
-        for word in found - self._known.keys():
-            if not word or word[0].isspace() or word[-1].isspace():
-                self._known[word] = self.whole(f" {word}")
-                if not word or word[0].isspace():
-                    self._odd.add(word)
-            else:
-                plain.append(word)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self._bpe.encode_ordinary(" " + " ".join(part)), self.dtype)
-            ends = np.cumsum([len(x.encode()) + 1 for x in part])
-            cuts = np.searchsorted(np.cumsum(self._length[ids]), ends) + 1
-            data, size, last = ids.tobytes(), self.dtype.itemsize, 0
-            for word, cut in zip(part, cuts.tolist()):
-                self._known[word] = data[last * size : cut * size]
-                last = cut
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of texts in which the added tokens are text like any other."""
-        texts = [x or "" for x in texts]
-        parts = [x.split(" ") for x in texts]
-        self._learn(set().union(*(x[1:] for x in parts)))
-        for text, words in zip(texts, parts):
-            if not self._odd.isdisjoint(words) and _CUT_IN_RUN.search(text):
-                yield self.whole(text)
-            else:
-                yield self.whole(words[0]) + b"".join(map(self._known.__getitem__, words[1:]))
-
-    def encode_added(self, texts: list[str | None]) -> Iterator[bytes]:
+        self._added = {word: np.array([n], self.dtype) for word, n in added.items()}
+        self._at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+        self.pieces = {n: word for word, n in ranks.items()}
+
+    def _text(self, text: str) -> list[int]:
+        if len(text) < _LONG_RUN or not (run := _RUN.search(text)):
+            return self._bpe.encode_ordinary(text)
+        # The last character of a run goes with what follows, the others are one piece for the merges.
+        start, end = run.start(), run.end() - (run.end() < len(text))
+        return self._bpe.encode_ordinary(text[:start]) + self._bpe._encode_single_piece(text[start:end]) + self._text(text[end:])
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text in which the added tokens are text like any other."""
+        return np.array(self._text(text or ""), self.dtype)
+
+    def encode_added(self, text: str | None) -> np.ndarray:
         """As the library does by default: an added token has its own id, and what stands between is encoded by itself."""
-        pieces = [self._at_added.split(x or "") for x in texts]
-        plain = self.encode([x for row in pieces for x in row[::2]])
-        for row in pieces:
-            yield b"".join(self._added[x] if n % 2 else next(plain) for n, x in enumerate(row))
+        if not text or not any(x in text for x in self._added):
+            return self.encode(text)
+        parts = self._at_added.split(text)
+        return np.concatenate([self._added[x] if n % 2 else self.encode(x) for n, x in enumerate(parts)])
 
 
 @cache
@@ -113,13 +86,15 @@ def encoder(path: str) -> Encoder:
 def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str | None = None, end: int = 0) -> DataFrame:
     """(id, ids, n): each text's ids as bytes of the encoder's width, with the id ``end`` last. A null text is empty."""
 
-    @F.pandas_udf("struct<ids:binary,n:long,size:int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def reader():
         bpe = encoder(path or default_path())
         last, size = np.array([end], bpe.dtype).tobytes(), bpe.dtype.itemsize
-        for batch in texts:
-            found = [x + last for at in range(0, len(batch), 256) for x in bpe.encode_added(batch.iloc[at : at + 256].tolist())]
-            yield pd.DataFrame({"ids": found, "n": [len(x) // size for x in found], "size": size})
+
+        def ids(text: str | None) -> tuple[bytes, int, int]:
+            found = bpe.encode_added(text)
+            return found.tobytes() + last, len(found) + 1, size
+
+        return ids
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.select("id", ids("text").alias("x")).select("id", "x.*")
+    return by_text(rows, "ids binary, n long, size int", reader)
