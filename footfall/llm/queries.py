@@ -16,9 +16,13 @@ from footfall.llm.mixing import mix_report, turns
 from footfall.llm.near_duplicates import near_duplicates
 from footfall.llm.packing import wide
 from footfall.llm.repeats import remove_repeats
+from footfall.llm.scaled_sketch import beside_next
 from footfall.llm.slack_packing import pack
 from footfall.llm.tables import documents, held_out
 from footfall.llm.tiles import near_vectors
+from footfall.llm.token_alignment import token_links
+from footfall.llm.vector_codes import sql as vector_codes_sql
+from footfall.llm.vector_codes import vector_codes
 
 ALL = {}
 SQL = {}
@@ -134,3 +138,22 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.where(~apart).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     found = judged(docs.select("doc_id", "text"), train_chain(docs.where(~apart), labels, ["low_quality", "toxic"]))
     return found.select("doc_id", apart.alias("held_out"), "p_low_quality", F.col("p_toxic").alias("score"), F.col("toxic").cast("int").alias("predicted"))
+
+
+@query
+def op11_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+SQL["op11_trie_codes"] = vector_codes_sql()
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, found = token_links(documents(spark, sf_dir))
+    return found.withColumnsRenamed({"id": "doc_id", "digest": "groups_sha256"})
+
+
+@query
+def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beside_next(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -82,6 +82,11 @@ def hashes(data: bytes) -> np.ndarray:
     return np.concatenate([_hashes(x) for x in pieces(data)])
 
 
+def byte_hashes(data: bytes) -> np.ndarray:
+    """One hash per byte."""
+    return _BYTE[np.frombuffer(data, np.uint8)]
+
+
 def runs(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """One hash per run of n consecutive words; another salt gives an independent hash."""
     if len(words) < n:
