@@ -21,6 +21,7 @@ from footfall.llm.tokens import Encoder, default_path, encoder
 _LONG = 1 << 20
 # Both tokenizers begin a new token at a space between two of these letters, whatever else the text holds.
 _BETWEEN = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+_FIRST_STEP = 4
 _LARGE_GROUP = 1 << 16
 _BUFFER = 1 << 22
 #: At most as many id pairs are sent to all tasks, thirteen bytes each.
@@ -71,32 +72,21 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     is behind moves on until both ends meet; that group is irregular, and the shift changes by what it holds.
     """
     left, right = a.tolist(), b.tolist()
-    count = len(left)
-    sizes_a, sizes_b = [], []
-    i = j = 0
+    count, groups, i, shift = len(left), 0, 0, 0
+    irregular, sizes = [], []
     while i < count:
-        if left[i] == right[j]:
-            step, at = 1, i
-            shift = j - i
-            i += 1
-            while step and i < count:
-                end = i + step
-                if end <= count and left[i:end] == right[i + shift : end + shift]:
-                    i, step = end, step * 2
-                else:
-                    step >>= 1
-                    break
-            while step:
-                end = i + step
-                if end <= count and left[i:end] == right[i + shift : end + shift]:
-                    i = end
-                step >>= 1
-            j = i + shift
-            one = [1] * (i - at)
-            sizes_a += one
-            sizes_b += one
-        else:
-            k, m, x, y = i, j, left[i], right[j]
+        at, step = i, _FIRST_STEP
+        while i < count and left[i : i + step] == right[i + shift : i + step + shift]:
+            i, step = i + step, step * 2
+        while step > 1 and i < count:
+            step >>= 1
+            if left[i : i + step] == right[i + shift : i + step + shift]:
+                i += step
+        i = min(i, count)
+        groups += i - at
+        if i < count:
+            k, m = i, i + shift
+            x, y = left[k], right[m]
             while x != y:
                 if x < y:
                     k += 1
@@ -104,10 +94,12 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 else:
                     m += 1
                     y = right[m]
-            sizes_a.append(k + 1 - i)
-            sizes_b.append(m + 1 - j)
-            i, j = k + 1, m + 1
-    return np.array(sizes_a, np.int64), np.array(sizes_b, np.int64)
+            irregular.append(groups)
+            sizes.append((k + 1 - i, m + 1 - i - shift))
+            groups, i, shift = groups + 1, k + 1, m - k
+    out = np.ones((2, groups), np.int64)
+    out[:, irregular] = np.array(sizes, np.int64).reshape(-1, 2).T
+    return out[0], out[1]
 
 
 def _segments(text: str) -> Iterator[str]:
@@ -133,10 +125,13 @@ class Aligner:
             data = f" {part}"
             a, b = self.a.encode(data), self.b.encode(part)
             data = data.encode()
-            if b"".join(map(self.a.pieces.__getitem__, a.tolist())) != data or b"".join(map(self.b.pieces.__getitem__, b)) != data:
+            if b"".join(map(self.b.pieces.__getitem__, b)) != data:
                 return None
             b = np.array(b, self.b.dtype)
-            found.append((a, b, *common_ends(self._length_a[a].cumsum(), self._length_b[b].cumsum())))
+            ends = self._length_a[a].cumsum()
+            if ends[-1] != len(data):  # a byte-level vocabulary that has every byte restores the text
+                return None
+            found.append((a, b, *common_ends(ends, self._length_b[b].cumsum())))
         return found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found)))
 
 
@@ -204,17 +199,35 @@ class Aligned:
             pairs, times = _summed([pairs, (x[:, None] << 32 | y).reshape(-1)], [times, np.outer(m, k).reshape(-1)])
         return pairs, times
 
-    def text(self) -> str:
-        """The ids of each group: ``a1,a2|b1;a3|b2,b3``."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        out, i, j = [], 0, 0
-        for p, q in zip(self.a_sizes.tolist(), self.b_sizes.tolist()):
-            if p == 1 and q == 1:
-                out.append(f"{a[i]}|{b[j]}")
-            else:
-                out.append(f"{','.join(a[i : i + p])}|{','.join(b[j : j + q])}")
-            i, j = i + p, j + q
-        return ";".join(out)
+    def text(self) -> bytes:
+        """The ids of each group, ``a1,a2|b1;a3|b2,b3``, written by columns: five digits at most and what stands after."""
+        if not len(self.a):
+            return b""
+        groups = np.arange(len(self.a_sizes))
+        group_a, group_b = np.repeat(groups, self.a_sizes), np.repeat(groups, self.b_sizes)
+        ends_a, ends_b = self.a_sizes.cumsum(), self.b_sizes.cumsum()
+        after_a, after_b = np.full(len(self.a), ord(","), np.uint8), np.full(len(self.b), ord(","), np.uint8)
+        after_a[ends_a - 1], after_b[ends_b - 1] = ord("|"), ord(";")
+        after_b[-1] = 0
+        at_a = np.arange(len(self.a)) + (ends_b - self.b_sizes)[group_a]
+        at_b = np.arange(len(self.b)) + ends_a[group_b]
+        digits = _digits(int(max(self.a.max(), self.b.max())))
+        out = np.empty((len(self.a) + len(self.b), digits.shape[1] + 1), np.uint8)
+        out[at_a, :-1], out[at_a, -1] = digits[self.a], after_a
+        out[at_b, :-1], out[at_b, -1] = digits[self.b], after_b
+        out = out.reshape(-1)
+        return out[out != 0].tobytes()
+
+
+@cache
+def _written(places: int) -> np.ndarray:
+    numbers = np.array([str(n) for n in range(10**places)], f"S{places}")
+    return numbers.view(np.uint8).reshape(-1, places)
+
+
+def _digits(highest: int) -> np.ndarray:
+    """A row of decimal digits for each number up to the highest, filled with zero bytes."""
+    return _written(len(str(highest)))
 
 
 _COLUMNS = ["n_a", "n_b", "n_groups", "a", "b", "a_sizes", "b_sizes"]
@@ -324,7 +337,7 @@ def scored(aligned: DataFrame, counts: DataFrame, digest: Callable[[Aligned], st
 
 
 def _sha256(x: Aligned) -> str:
-    return hashlib.sha256(x.text().encode()).hexdigest() if len(x.a) else ""
+    return hashlib.sha256(x.text()).hexdigest() if len(x.a) else ""
 
 
 def token_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame, DataFrame]:
