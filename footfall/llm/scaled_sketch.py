@@ -1,10 +1,10 @@
 """Document fingerprints: every shingle hash below a fixed share of all hashes, so that sketches merge and compare.
 
-Shingles are runs of ``WIDTH`` bytes of UTF-8, so texts without spaces have as many as others. A shingle is kept or not by its own hash alone. What one document keeps another that holds the shingle keeps too, so
-shares of sketches estimate shares of shingles whatever the sizes of the two documents, and the sketch of two texts'
-shingles together is the merged sketch of both. Texts with few shingles keep their ``LEAST`` lowest hashes, which are
-all they have below that number: short texts are compared exactly. ``reach`` tells from a sketch alone up to which hash
-it is complete.
+Shingles are runs of ``WIDTH`` bytes of UTF-8, so texts without spaces have as many as others. A shingle is kept or not
+by its own hash alone. What one document keeps another that holds the shingle keeps too, so shares of sketches estimate
+shares of shingles whatever the sizes of the two documents, and the sketch of two texts' shingles together is the merged
+sketch of both. Texts with few shingles keep their ``LEAST`` lowest hashes, which are all they have below that number:
+short texts are compared exactly. ``reach`` tells from a sketch alone up to which hash it is complete.
 """
 
 from __future__ import annotations
@@ -96,9 +96,13 @@ def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE, least: int = L
     return both / n if n else float(not len(a))
 
 
+def packed(kept: np.ndarray) -> bytes:
+    return kept.astype(">u8").tobytes()
+
+
 def written(kept: np.ndarray) -> str:
     """Sixteen hexadecimal digits for each hash, in rising order."""
-    return kept.astype(">u8").tobytes().hex()
+    return packed(kept).hex()
 
 
 def read(fingerprint: str) -> np.ndarray:
@@ -140,7 +144,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_next double"
+_RESULT = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, contained_next double"
 _SENT = "range int, id long, digest long, copies long, packed binary"
 _WRITTEN = f"range int, first boolean, id long, packed binary, copies long, {_RESULT}"
 _LAST = (1 << 63) - 1
@@ -220,7 +224,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         changed = edited(own_text, following)
         other = own if changed == own_text else sketch_of(changed, width, scale, least)
         near = (likeness(own, x, scale, least) for x in (other, theirs))
-        return len(own_text), hashlib.sha256(changed.encode()).hexdigest(), written(own), written(other), *near, containment(own, theirs, scale, least)
+        return len(own_text), hashlib.sha256(changed.encode()).hexdigest(), packed(own), packed(other), *near, containment(own, theirs, scale, least)
 
     none = (None,) * 7
 
@@ -245,7 +249,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if before is not None:
             yield _batch([(before[3], False, before[0], before[4], None, *none)], fields)
 
-    found = saved(sent.mapInArrow(run, _WRITTEN), "beside")
+    found = saved(sent.mapInArrow(run, _WRITTEN), "beside", "zstd")
     names = [x.split()[0] for x in _RESULT.split(", ")]
     inside = found.where("copies IS NOT NULL").select("id", *names, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("col")
 
@@ -266,4 +270,5 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 own, theirs = (sketch_of(t, width, scale, least) for t in (one, two))
                 yield _batch([(x.as_py(), *compared(one, own, two, theirs))], last_fields)
 
-    return inside.unionByName(pairs.mapInArrow(met, f"id long, {_RESULT}"))
+    every = inside.unionByName(pairs.mapInArrow(met, f"id long, {_RESULT}"))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
