@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.tables import least_hashed
+from footfall.llm.tables import least_hashed, row_hash, told
 
 CHUNK = 1024
 HOP = 896
@@ -157,17 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A network fitted to labelled documents; where only one label is known, that label as a constant score.
 
     Learned from at most ``sample`` documents of up to ``sample_bytes`` bytes, half of them of either label as far as
-    there are any, those least by a hash of their ids. Without any label the score is 0.5.
+    there are any, those least by a hash of id and text, one of equal rows. Without any label the score is 0.5.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    texts = texts.where(F.octet_length("text").between(1, sample_bytes)).withColumn("row", row_hash("id", "text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
-    short = texts.where(F.octet_length("text").between(1, sample_bytes)).select("id")
-    chosen = least_hashed(marks.join(short, "id", "left_semi"), "label", sample // 2)
-    found = texts.where(F.octet_length("text").between(1, sample_bytes)).join(F.broadcast(chosen.select("id", "label")), "id").toPandas()
+    marks = marks.join(texts.select("id", "row").distinct(), "id").select("label", F.col("row").alias("id"))
+    chosen = least_hashed(marks, "label", sample // 2)
+    found = texts.select("text", F.col("row").alias("id")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).toPandas()
     if found["label"].nunique() < 2:
         return float(found["label"].iloc[0]) if len(found) else 0.5
-    found = found.sort_values(["id", "text"], kind="stable")
+    found = found.sort_values("id", kind="stable")
     network = Network()
     network.fit(found["text"].tolist(), found["label"].to_numpy(), epochs)
     return network
@@ -179,11 +179,12 @@ def graded(docs: DataFrame, model: Network | float, text_col: str = "text", scor
     A null or empty text is one chunk of padding and gets the network's score for it.
     """
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def reader():
         if isinstance(model, float):
-            return pd.Series(np.full(len(texts), model))
-        return pd.Series(model.score(texts.tolist()))
+            return lambda texts: [(model,)] * len(texts)
+        return lambda texts: [(x,) for x in model.score(texts).tolist()]
 
-    rest = [x for x in docs.columns if x != score_col]
-    return docs.select(*rest, of(text_col).alias(score_col))
+    place = [f"c{n}" for n in range(len(docs.columns))]
+    rows = docs.toDF(*place).withColumn("graded", told("score double", reader)(dict(zip(docs.columns, place))[text_col]))
+    kept = [F.col(c).alias(x) for x, c in zip(docs.columns, place) if x != score_col]
+    return rows.select(*kept, F.col("graded.score").alias(score_col))

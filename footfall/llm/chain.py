@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import words
-from footfall.llm.tables import least_hashed
+from footfall.llm.tables import by_text, least_hashed, row_hash, told
 
 _BITS = 18
 _STEMS = (4, 5, 6)
@@ -110,25 +108,22 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     """A chain over the 0/1 columns ``categories`` of ``labels``; the last one is what is to be told in the end.
 
     Learned from at most ``sample`` labelled documents of up to ``sample_bytes`` bytes, half of them with the last
-    category as far as there are any, those least by a hash of their ids. Their features are made where they lie. Each
+    category as far as there are any, those least by a hash of id and text, one of equal rows. Their features are made where they lie. Each
     later model learns from out-of-fold probabilities of the earlier ones, so it sees them as wrong as they are on new
     texts; probabilities are shifted to how often the last category is among all labelled documents. A category
     that is null or unknown for a document counts as 0. Without any label every probability is one half.
     """
     target = categories[-1]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.where(F.octet_length("text").between(1, sample_bytes))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    texts = texts.where(F.octet_length("text").between(1, sample_bytes)).withColumn("row", row_hash("id", "text"))
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*(F.coalesce(F.max(c), F.lit(0)).cast("int").alias(c) for c in categories))
-    marks = marks.join(texts.select("id").distinct(), "id", "left_semi")
+    marks = marks.join(texts.select("id", "row").distinct(), "id").drop("id").withColumnRenamed("row", "id")
     counts = {r[target]: r["n"] for r in marks.groupBy(target).agg(F.count("*").alias("n")).collect()}
     chosen = least_hashed(marks, target, sample // 2)
 
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(x).tobytes() for x in texts])
-
-    found = texts.join(F.broadcast(chosen), "id").select("id", *categories, of("text").alias("x"), F.xxhash64("id").alias("h")).toPandas()
-    found = found.sort_values(["h", "id", "x"], kind="stable").reset_index(drop=True)
+    texts = texts.select("text", F.col("row").alias("id")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    found = by_text(texts, "x binary", lambda: lambda text: (features(text).tobytes(),)).toPandas()
+    found = found.sort_values("id", kind="stable").reset_index(drop=True)
     rows = [np.frombuffer(x, np.uint32) for x in found["x"]]
     known, fold = np.zeros((len(rows), 0)), np.arange(len(rows)) % folds
     models, y = [], found[target].to_numpy()
@@ -157,12 +152,12 @@ def judged(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """
     names = [f"p_{c}" for c in chain.categories]
 
-    @F.pandas_udf("struct<" + ",".join(f"c{n}:double" for n in range(len(names))) + ">")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame(chain.chances([features(x) for x in texts]), columns=[f"c{n}" for n in range(len(names))])
+    def reader():
+        return lambda texts: [tuple(x) for x in chain.chances([features(x) for x in texts]).tolist()]
 
-    rest = [x for x in docs.columns if x not in (*names, "toxic")]
-    rows = docs.select(*rest, of(text_col).alias("_judged"))
-    rows = rows.select(*rest, *(F.col(f"_judged.c{n}").alias(x) for n, x in enumerate(names)))
+    place = [f"c{n}" for n in range(len(docs.columns))]
+    kind = ", ".join(f"p{n} double" for n in range(len(names)))
+    rows = docs.toDF(*place).withColumn("judged", told(kind, reader)(dict(zip(docs.columns, place))[text_col]))
+    kept = [F.col(c).alias(x) for x, c in zip(docs.columns, place) if x not in (*names, "toxic")]
+    rows = rows.select(*kept, *(F.col(f"judged.p{n}").alias(x) for n, x in enumerate(names)))
     return rows.withColumn("toxic", F.col(names[-1]) >= chain.threshold)

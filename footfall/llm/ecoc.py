@@ -6,11 +6,10 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.tables import least_hashed
+from footfall.llm.tables import by_text, least_hashed, row_hash, told
 
 _BUCKETS = 1 << 12
 _PIECE = 1 << 20
@@ -90,24 +89,24 @@ def _fit(x: np.ndarray, y: np.ndarray, share: np.ndarray, rounds: int = 150) ->
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000) -> Model:
     """A model of all languages that the rows name, from at most ``sample`` rows with letters.
 
-    The rows are those least by a hash of their ids, equally many of each language (at least five, so that a corpus of
-    very many languages may exceed the bound). Whole texts are counted where they lie; the driver gets one vector of
+    The rows are those least by a hash of id and text, one of equal rows, equally many of each language (at least five,
+    so that a corpus of very many languages may exceed the bound). Whole texts are counted where they lie; the driver gets one vector of
     4,096 numbers per sampled row. A fifth of them tells how far each bit is to be trusted for each language.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = named.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", "text", row_hash("id", "text").alias("id"))
     languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
         return Model([], np.zeros((0, 1), np.float32), np.zeros((_BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.zeros((0, 1), np.float32))
     each = max(5, sample // len(languages))
-    chosen = least_hashed(rows.select("lang", "id").where("id IS NOT NULL"), "lang", each).distinct()
+    chosen = least_hashed(rows.select("lang", "id").distinct(), "lang", each).distinct()
 
-    @F.pandas_udf("binary")
-    def vector(texts: pd.Series) -> pd.Series:
+    def reader():
         empty = np.zeros(_BUCKETS, np.float16)
-        return pd.Series([(empty if (x := profile(t)) is None else x.astype(np.float16)).tobytes() for t in texts])
+        return lambda text: ((empty if (x := profile(text)) is None else x.astype(np.float16)).tobytes(),)
 
-    found = rows.join(F.broadcast(chosen), ["lang", "id"]).select("lang", F.xxhash64("id").alias("h"), vector("text").alias("x"))
-    found = found.toPandas().sort_values(["lang", "h"], kind="stable")
+    found = rows.join(F.broadcast(chosen), ["lang", "id"]).dropDuplicates(["lang", "id"])
+    found = by_text(found, "x binary", reader).toPandas().sort_values(["lang", "id"], kind="stable")
     x = np.stack([np.frombuffer(v, np.float16) for v in found["x"]]).astype(np.float32)
     at = np.searchsorted(languages, found["lang"].to_numpy())
     code = codebook(len(languages))
@@ -129,17 +128,21 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", ambiguous_be
     learned, is ``und`` with score 0, and not flagged.
     """
 
-    @F.pandas_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        told = [("und", 0.0, False)] * len(texts)
-        for at in range(0, len(texts), 256):
-            found = [(n, x) for n, t in enumerate(texts.iloc[at : at + 256], at) if model.languages and (x := profile(t)) is not None]
-            if found:
-                best, score = model.decide(np.stack([x for _, x in found]))
-                for (n, _), c, s in zip(found, best.tolist(), score.tolist()):
-                    told[n] = (model.languages[c], s, s < ambiguous_below)
-        return pd.DataFrame(told, columns=["lang_pred", "score", "ambiguous"])
-
+    def reader():
+        def of(texts: list[str | None]) -> list[tuple]:
+            told_ = [("und", 0.0, False)] * len(texts)
+            found = [(n, x) for n, t in enumerate(texts) if model.languages and (x := profile(t)) is not None]
+            for at in range(0, len(found), 256):
+                some = found[at : at + 256]
+                best, score = model.decide(np.stack([x for _, x in some]))
+                for (n, _), c, s in zip(some, best.tolist(), score.tolist()):
+                    told_[n] = (model.languages[c], s, s < ambiguous_below)
+            return told_
+
+        return of
+
+    names = [f"c{n}" for n in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names))
     rest = [x for x in docs.columns if x not in columns]
-    rows = docs.select(*rest, of(text_col).alias("_told"))
-    return rows.select(*rest, *(F.col(f"_told.{x}").alias(y) for x, y in zip(("lang_pred", "score", "ambiguous"), columns)))
+    rows = docs.toDF(*names).withColumn("told", told("lang_pred string, score double, ambiguous boolean", reader)(place[text_col]))
+    return rows.select(*(F.col(place[x]).alias(x) for x in rest), *(F.col(f"told.{x}").alias(y) for x, y in zip(("lang_pred", "score", "ambiguous"), columns)))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import circulant
 from footfall.llm.components import components
-from footfall.llm.tables import saved
+from footfall.llm.tables import by_text, saved
 
 _COLUMNS = 4096
 
@@ -17,18 +20,17 @@ _COLUMNS = 4096
 def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, seed: int, row_col: str | None = None) -> DataFrame:
     """(id, row, n_shingles, set_key, bands): the set's size, a 128-bit digest that tells equal sets, and its band keys."""
 
-    @F.pandas_udf("struct<n_shingles:long,set_key:binary,bands:array<long>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
+    def reader():
+        def of(text: str | None) -> tuple:
             grams = circulant.shingles(text, width)
             keys = circulant.band_keys(circulant.signature(grams, bands * rows, seed), bands, rows) if len(grams) else []
-            out.append((len(grams), circulant.set_key(grams), keys))
-        return pd.DataFrame(out, columns=["n_shingles", "set_key", "bands"])
+            return len(grams), circulant.set_key(grams), keys
+
+        return of
 
     row = F.col(row_col) if row_col else F.lit(0)
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).alias("text"))
-    return rows_in.select("id", "row", of("text").alias("x")).select("id", "row", "x.*")
+    return by_text(rows_in, "n_shingles long, set_key binary, bands array<long>", reader)
 
 
 def _numbered(full: DataFrame) -> DataFrame:
@@ -44,14 +46,15 @@ def _numbered(full: DataFrame) -> DataFrame:
 def _grams(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, grams) of the wanted sets (set_key, id, row, node), read from their texts again; the id is the node."""
 
-    @F.pandas_udf("struct<grams:array<long>,set_key:binary>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        found = [circulant.shingles(x, width) for x in texts]
-        out = [(np.sort(x.view(np.int64)), circulant.set_key(x)) for x in found]
-        return pd.DataFrame(out, columns=["grams", "set_key"])
+    def reader():
+        def of(text: str | None) -> tuple:
+            found = circulant.shingles(text, width)
+            return np.sort(found.view(np.int64)), circulant.set_key(found)
+
+        return of
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("id", of("text").alias("x")).select("id", "x.*")
+    rows = by_text(rows.join(wanted.select("id").distinct(), "id", "left_semi"), "grams array<long>, set_key binary", reader)
     rows = rows.join(wanted, ["id", "set_key"]).dropDuplicates(["id", "set_key"])
     return rows.select(F.col("node").alias("id"), "grams")
 
@@ -68,16 +71,20 @@ def shared(left: np.ndarray, right: np.ndarray) -> int:
 def _confirmed(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
-    @F.pandas_udf("long")
-    def common(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([shared(a, b) for a, b in zip(x, y)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for n, (x, y) in enumerate(zip(*(batch.column(c) for c in ("grams_a", "grams_b")))):
+                x, y = (v.values.to_numpy() for v in (x, y))
+                common = shared(x, y)
+                kept[n] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
 
     left = grams.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
     right = grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
     size_a, size_b = F.size("grams_a"), F.size("grams_b")
     met = pairs.join(right, "b").join(left, "a").where((100 * F.least(size_a, size_b)) >= percent * F.greatest(size_a, size_b))
-    met = met.withColumn("common", common("grams_a", "grams_b"))
-    return met.where(100 * F.col("common") >= percent * (size_a + size_b - F.col("common"))).select("a", "b")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def _tile(percent: int):
@@ -144,23 +151,23 @@ def _rest(members: DataFrame, links: DataFrame, grams: DataFrame, percent: int,
     docs = open_.select("id", "root").distinct().join(clusters, "id", "left")
     docs = saved(docs.select("id", "root", F.coalesce("cluster", "id").alias("cluster")), "clusters")
     sizes = docs.groupBy("cluster", "root").agg(F.count("*").alias("size"))
-    sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("size"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
     docs = docs.join(sizes, "cluster")
-    with_sets = saved(docs.join(grams, "id").select("cluster", "id", "root", "main", "size", "grams"), "sets")
+    with_sets = saved(docs.join(grams, "id").select("cluster", "id", "root", "main", "grams"), "sets")
+    # A block has ``block`` sets, or as few as hold ``block`` times 512 shingles together (or one larger set).
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.size("grams")) / F.lit(512 * block))).cast("int")
     single = with_sets.select("cluster", "id", F.explode("grams").alias("gram"))
     single = single.groupBy("cluster", "gram").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     alone = single.groupBy("id").agg(F.count("*").alias("alone"))
     few = with_sets.where("root != main").join(alone, "id", "left")
     few = few.where(100 * (F.size("grams") - F.coalesce("alone", F.lit(0))) >= percent * F.size("grams"))
-    few = few.select("cluster", "size", "id", "grams")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    counts = few.groupBy("cluster").agg(F.count("*").alias("few"))
-    few_blocks = F.ceil(F.col("few") / F.lit(block)).cast("int")
-    few = few.join(counts, "cluster").withColumn("row", F.pmod(F.xxhash64("id"), few_blocks).cast("int"))
-    few = few.select("cluster", "row", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("col"), "id", "grams")
-    all_ = with_sets.select("cluster", "size", "id", "grams").join(counts, "cluster").withColumn("col", own)
-    all_ = all_.select("cluster", F.explode(F.sequence(F.lit(0), few_blocks - 1)).alias("row"), "col", "id", "grams")
+    few = few.select("cluster", "id", "grams")
+    counts = few.groupBy("cluster").agg(parts.alias("rows")).join(with_sets.groupBy("cluster").agg(parts.alias("cols")), "cluster")
+    counts = saved(counts, "blocks")
+    few = few.join(counts, "cluster").withColumn("row", F.pmod(F.xxhash64("id"), "rows").cast("int"))
+    few = few.select("cluster", "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "id", "grams")
+    all_ = with_sets.select("cluster", "id", "grams").join(counts, "cluster").withColumn("col", F.pmod(F.xxhash64("id"), "cols").cast("int"))
+    all_ = all_.select("cluster", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "col", "id", "grams")
     few = few.select(*(F.col(x).alias(f"few_{x}") for x in few.columns))
     tiles = few.groupBy("few_cluster", "few_row", "few_col").cogroup(all_.groupBy("cluster", "row", "col"))
     return tiles.applyInPandas(_tile(percent), "a long, b long")

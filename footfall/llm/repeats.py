@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import words
-from footfall.llm.tables import bucketed, filtered_joins, saved
+from footfall.llm.tables import bucketed, buckets_for, by_row, by_text, saved
 
 _SEED = 4
+_PLACES = 1 << 24
 
 
 def _joined(text: str | None) -> bytes:
@@ -27,128 +27,140 @@ def _digest(data: bytes) -> bytes:
 
 
 def winnowed(seeds: np.ndarray, length: int) -> np.ndarray:
-    """For each window of ``length`` words the place of its least seed, the first of equals.
+    """For each window of ``length`` words the place of its least seed, by its upper 40 bits, the first of equals.
 
-    It depends on the window's words alone, so equal windows of any documents agree on it.
+    It depends on the window's words alone, so equal windows of any documents agree on it. Seeds carry their places in the
+    lower bits, so least ones of two windows that overlap are the least of both, and a few doublings reach the length.
     """
     reach = length - _SEED + 1
+    if reach < 1:
+        raise ValueError(f"windows have at least {_SEED} words")
     if len(seeds) < reach:
         return np.zeros(0, np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(seeds, reach)
-    return np.arange(len(rows)) + rows.argmin(axis=1)
+    if len(seeds) > _PLACES:
+        half = len(seeds) // 2
+        return np.concatenate([winnowed(seeds[: half + reach - 1], length), half + winnowed(seeds[half:], length)])
+    least = (seeds & ~np.uint64(_PLACES - 1)) | np.arange(len(seeds), dtype=np.uint64)
+    width = 1
+    while width < reach:
+        step = min(width, reach - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (least & np.uint64(_PLACES - 1)).astype(np.int64)
+
+
+def _key(sequence: bytes) -> int:
+    """What tells rows of one id apart: eight bytes of the digest."""
+    return int.from_bytes(sequence[:8], "little", signed=True)
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    @F.pandas_udf("struct<n_words:long,sequence:binary,key:int,sha256:string,anchors:array<long>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
+    """(id, n_words, sequence, key, sha256, anchors) of each text; without id it has no anchors."""
+
+    def reader():
+        def of(text: str | None) -> tuple:
             data = _joined(text)
             found = words.hashes(data)
             seeds = words.runs(found, _SEED)
             anchors = np.unique(seeds[np.unique(winnowed(seeds, length))])
             sequence = _digest(data)
-            out.append((len(found), sequence, _key(sequence), hashlib.sha256(data).hexdigest(), anchors.view(np.int64)))
-        return pd.DataFrame(out, columns=["n_words", "sequence", "key", "sha256", "anchors"])
+            return len(found), len(data), sequence, _key(sequence), hashlib.sha256(data).hexdigest(), anchors.view(np.int64)
 
-    return docs.select("id", of("text").alias("x")).select("id", "x.*")
+        return of
 
-
-def _key(sequence: bytes) -> int:
-    """What tells rows of one id apart: four bytes of the digest."""
-    return int.from_bytes(sequence[:4], "little", signed=True)
+    return by_text(docs, "n_words long, size long, sequence binary, key long, sha256 string, anchors array<long>", reader)
 
 
 def _small(docs: DataFrame) -> DataFrame:
-    """(id, packed): the words of each text, compressed for the way."""
+    """(id, key, packed): the words of each text, compressed for the way."""
 
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
+    def reader():
         pack = zstandard.ZstdCompressor(level=3)
-        return pd.Series([pack.compress(_joined(x)) for x in texts])
 
-    return docs.where("id IS NOT NULL").select("id", of("text").alias("packed"))
+        def of(text: str | None) -> tuple:
+            data = _joined(text)
+            return _key(_digest(data)), pack.compress(data)
+
+        return of
+
+    return by_text(docs.where("id IS NOT NULL"), "key long, packed binary", reader)
+
+
+def _unpacker():
+    return zstandard.ZstdDecompressor().decompress
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
     """Of each text the places of shared anchors, each with a 128-bit digest of all words its windows can reach."""
     before, after = length - _SEED, length
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            unpack = zstandard.ZstdDecompressor()
-            for i, packed, shared, copies in zip(batch["id"], batch["packed"], batch["shared"], batch["copies"]):
-                data = unpack.decompress(packed)
-                sequence = _digest(data)
-                if copies is not None and any(bytes(x) == sequence for x in copies):
-                    continue
-                found = words.hashes(data)
-                seeds = words.runs(found, _SEED)
-                places = np.unique(winnowed(seeds, length))
-                places = places[np.isin(seeds[places], np.asarray(shared, np.int64).view(np.uint64))]
-                if not len(places):
-                    continue
-                edge = np.zeros(before + after, np.uint64)
-                padded = np.concatenate([edge[:before], found, edge[:after]])
-                one, two = (words.runs_at(padded, places, before + after, salt).view(np.int64) for salt in (0, 1))
-                out.append((i, _key(sequence), packed, places, seeds[places].view(np.int64), one, two))
-            yield pd.DataFrame(out, columns=["id", "key", "packed", "place", "anchor", "one", "two"])
-
-    kind = "id long, key int, packed binary, place array<int>, anchor array<long>, one array<long>, two array<long>"
-    return docs.mapInPandas(run, kind)
-
-
-def _own(marks, key: int) -> np.ndarray:
-    """Of the marks of all rows of an id those of the row with this key."""
-    return np.array([] if marks is None else [x["at"] for x in marks if x["key"] == key], np.int64)
+    def reader():
+        unpack = _unpacker()
+
+        def of(id_: int, key: int, packed: bytes, shared: np.ndarray) -> tuple | None:
+            found = words.hashes(unpack(packed))
+            seeds = words.runs(found, _SEED)
+            places = np.unique(winnowed(seeds, length))
+            places = places[np.isin(seeds[places], shared.view(np.uint64))]
+            if not len(places):
+                return None
+            edge = np.zeros(before + after, np.uint64)
+            padded = np.concatenate([edge[:before], found, edge[:after]])
+            one, two = (words.runs_at(padded, places, before + after, salt).view(np.int64) for salt in (0, 1))
+            return id_, key, packed, places, seeds[places].view(np.int64), one, two
+
+        return of
+
+    kind = "id long, key long, packed binary, place array<int>, anchor array<long>, one array<long>, two array<long>"
+    return by_row(docs.select("id", "key", "packed", "shared"), kind, reader, "packed")
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """The windows whose seed is at one of the places ``open``."""
+    """(id, key, start, one, two): the windows whose seed is at one of the places ``open``."""
+
+    def reader():
+        unpack = _unpacker()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            unpack = zstandard.ZstdDecompressor()
-            out = [(np.zeros(0, np.int64),) * 5]
-            for i, key, packed, marks in zip(batch["id"], batch["key"], batch["packed"], batch["open"]):
-                places = _own(marks, key)
-                found = words.hashes(unpack.decompress(packed))
-                starts = np.flatnonzero(np.isin(winnowed(words.runs(found, _SEED), length), places))
-                one, two = (words.runs_at(found, starts, length, salt).view(np.int64) for salt in (0, 1))
-                out.append((np.full(len(starts), i), np.full(len(starts), key), starts, one, two))
-            yield pd.DataFrame(dict(zip(("id", "key", "start", "one", "two"), map(np.concatenate, zip(*out)))))
+        def of(id_: int, key: int, packed: bytes, open_: np.ndarray) -> tuple:
+            found = words.hashes(unpack(packed))
+            starts = np.flatnonzero(np.isin(winnowed(words.runs(found, _SEED), length), open_))
+            one, two = (words.runs_at(found, starts, length, salt).view(np.int64) for salt in (0, 1))
+            return id_, key, starts, one, two
 
-    return docs.mapInPandas(run, "id long, key int, start int, one long, two long")
+        return of
+
+    found = by_row(docs.select("id", "key", "packed", "open"), "id long, key long, start array<int>, one array<long>, two array<long>", reader, "packed")
+    return found.select("id", "key", F.explode(F.arrays_zip("start", "one", "two")).alias("x")).select("id", "key", "x.*")
 
 
 def _removed(docs: DataFrame, length: int) -> DataFrame:
     """The repeats of each text, joined to spans of as many words as possible, and what is left."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            unpack = zstandard.ZstdDecompressor()
-            for i, key, packed, covered, starts in zip(*(batch[x] for x in ("id", "key", "packed", "covered", "starts"))):
-                data = unpack.decompress(packed)
-                found = data.decode().split(" ")
-                hit, covered = _own(starts, key), _own(covered, key)
-                if len(covered):
-                    seeds = words.runs(words.hashes(data), _SEED)
-                    hit = np.concatenate([hit, np.flatnonzero(np.isin(winnowed(seeds, length), covered))])
-                if not len(hit):
-                    continue
-                edges = np.zeros(len(found) + 1, np.int64)
-                np.add.at(edges, hit, 1)
-                np.add.at(edges, hit + length, -1)
-                gone = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
-                begin, end = np.flatnonzero(~gone[:-1] & gone[1:]), np.flatnonzero(gone[:-1] & ~gone[1:])
-                left = " ".join(x for x, y in zip(found, gone[1:]) if not y)
-                spans = [{"start": int(a), "end": int(b)} for a, b in zip(begin, end)]
-                out.append((i, key, int(gone.sum()), hashlib.sha256(left.encode()).hexdigest(), spans, left))
-            yield pd.DataFrame(out, columns=["id", "key", "n_removed", "kept_sha256", "spans", "kept"])
-
-    return docs.mapInPandas(run, "id long, key int, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string")
+    def reader():
+        unpack = _unpacker()
+
+        def of(id_: int, key: int, packed: bytes, covered: np.ndarray | None, starts: np.ndarray | None) -> tuple | None:
+            data = unpack(packed)
+            found = data.split(b" ")
+            hit = np.zeros(0, np.int64) if starts is None else starts.astype(np.int64)
+            if covered is not None and len(covered):
+                seeds = words.runs(words.hashes(data), _SEED)
+                hit = np.concatenate([hit, np.flatnonzero(np.isin(winnowed(seeds, length), covered))])
+            if not len(hit):
+                return None
+            edges = np.zeros(len(found) + 1, np.int64)
+            np.add.at(edges, hit, 1)
+            np.add.at(edges, hit + length, -1)
+            gone = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
+            begin, end = np.flatnonzero(~gone[:-1] & gone[1:]), np.flatnonzero(gone[:-1] & ~gone[1:])
+            left = b" ".join(compress(found, ~gone[1:-1]))
+            spans = [{"start": int(a), "end": int(b)} for a, b in zip(begin, end)]
+            return id_, key, int(gone.sum()), hashlib.sha256(left).hexdigest(), spans, left.decode()
+
+        return of
+
+    kind = "id long, key long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
+    return by_row(docs.select("id", "key", "packed", "covered", "starts"), kind, reader, "packed")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -170,50 +182,59 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null or empty text has no words and keeps none. A text shorter than ``length`` loses nothing. Rows that share an
     id are one document and never remove each other's words; a row without id loses nothing and removes nothing.
     """
+    if length < _SEED:
+        raise ValueError(f"windows have at least {_SEED} words")
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # One row per anchor, and one for a text without any; what repeats from row to row takes next to no room in Parquet.
-    scan = _scan(docs, length).select("id", "key", "sequence", "n_words", "sha256", F.posexplode_outer("anchors").alias("n", "anchor"))
+    scan = _scan(docs, length).select("id", "key", "sequence", "n_words", "size", "sha256", F.posexplode_outer("anchors").alias("n", "anchor"))
     scan = saved(scan.withColumn("lead", F.coalesce("n", F.lit(0)) == 0).drop("n"), "scanned")
     scanned = scan.where("lead").drop("lead", "anchor")
     known = scanned.where("id IS NOT NULL")
     firsts = known.where(F.col("n_words") >= length).groupBy("sequence").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
     firsts = saved(firsts.drop("last"), "firsts")
-    copies = saved(known.select("id", "sequence").join(firsts, "sequence").where("id > first").select("id", "sequence").distinct(), "copies")
+    copies = saved(known.select("id", "key", "sequence").join(firsts, "sequence").where("id > first").select("id", "key").distinct(), "copies")
 
-    anchors = scan.where("id IS NOT NULL AND anchor IS NOT NULL").select("id", "anchor")
+    anchors = scan.where("id IS NOT NULL AND anchor IS NOT NULL").select("id", "key", "anchor")
     common = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     common = saved(common, "common")  # read plainly, so that Spark can split an anchor that most documents have
-    shared = anchors.join(common.where("n > 1").select("anchor"), "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared"))
-    shared = shared.join(copies.groupBy("id").agg(F.collect_list("sequence").alias("copies")), "id", "left")
-    with filtered_joins(docs.sparkSession):
-        seeded = bucketed(_contexts(_small(docs).join(shared, "id"), length), "seeded", "id")
+    # Rows of one id are told apart by their texts from here on, so an id of very many rows is no key of its own.
+    shared = anchors.join(common.select("anchor"), "anchor").groupBy("id", "key").agg(F.collect_set("anchor").alias("shared"))
+    shared = shared.join(copies, ["id", "key"], "left_anti")
+    buckets = buckets_for(spark, scanned.agg(F.sum("size")).first()[0] or 0)
+    seeded = _contexts(_small(docs).join(shared, ["id", "key"]), length)
+    with bucketed(seeded, "seeded", ["id", "key"], buckets) as seeded:
+        changed = _changed(seeded, length)
+
+    gone = copies.withColumn("copy", F.lit(True))
+    result = scanned.select("id", "key", "n_words", "sha256").join(gone, ["id", "key"], "left")
+    result = result.join(changed.select("id", "key", "n_removed", "kept_sha256"), ["id", "key"], "left")
+    n_removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    kept = F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256"))
+    result = result.select("id", "n_words", n_removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
+    return result, changed.select("id", "spans", "kept")
 
+
+def _changed(seeded: DataFrame, length: int) -> DataFrame:
+    """(id, key, n_removed, kept_sha256, spans, kept) of the rows that lose words, from the places of shared anchors."""
     places = seeded.select("id", "key", F.explode(F.arrays_zip("place", "anchor", "one", "two")).alias("x")).select("id", "key", "x.*")
     around = saved(places.groupBy("anchor", "one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")), "around")
     several = around.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("first").alias("low"), F.max("last").alias("high"))
     several = several.where("low != high").select("anchor", (F.col("contexts") > 1).alias("several"))
     known_around = saved(around.join(several, "anchor").drop("last"), "several")
     met = places.join(known_around, ["anchor", "one", "two"]).where("id > first OR several")
-    of_doc = met.groupBy("id").agg(
-        F.collect_set(F.expr("CASE WHEN id > first THEN struct(key, place AS at) END")).alias("covered"),
-        F.collect_set(F.expr("CASE WHEN id = first THEN struct(key, place AS at) END")).alias("open"),
+    of_doc = met.groupBy("id", "key").agg(
+        F.collect_set(F.expr("CASE WHEN id > first THEN place END")).alias("covered"),
+        F.collect_set(F.expr("CASE WHEN id = first THEN place END")).alias("open"),
     )
     of_doc = saved(of_doc, "marks")
     texts = seeded.select("id", "key", "packed")
 
-    opened = of_doc.where("size(open) > 0").select("id", "open")
-    single = saved(_windows(texts.join(opened, "id"), length), "windows")
+    opened = of_doc.where("size(open) > 0").select("id", "key", "open")
+    single = saved(_windows(texts.join(opened, ["id", "key"]), length), "windows")
     earliest = single.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
     earliest = saved(earliest.drop("last"), "earliest")
     late = single.join(earliest, ["one", "two"]).where("id > first")
-    late = late.groupBy("id").agg(F.collect_set(F.struct("key", F.col("start").alias("at"))).alias("starts"))
-    marked = of_doc.select("id", "covered").join(late, "id", "left").where("size(covered) > 0 OR starts IS NOT NULL")
-    changed = saved(_removed(texts.join(marked, "id"), length).dropDuplicates(["id", "key"]), "changed")
-
-    gone = copies.withColumn("copy", F.lit(True))
-    result = scanned.select("id", "sequence", "key", "n_words", "sha256").join(gone, ["id", "sequence"], "left")
-    result = result.join(changed.select("id", "key", "n_removed", "kept_sha256"), ["id", "key"], "left")
-    n_removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    kept = F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256"))
-    result = result.select("id", "n_words", n_removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
-    return result, changed.select("id", "spans", "kept")
+    late = late.groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
+    marked = of_doc.select("id", "key", "covered").join(late, ["id", "key"], "left").where("size(covered) > 0 OR starts IS NOT NULL")
+    return saved(_removed(texts.join(marked, ["id", "key"]), length).dropDuplicates(["id", "key"]), "changed")

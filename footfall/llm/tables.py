@@ -23,14 +23,29 @@ def saved(rows: DataFrame, purpose: str, codec: str = "snappy") -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
-def bucketed(rows: DataFrame, purpose: str, column: str) -> DataFrame:
-    """As ``saved``, in buckets of ``column``: joins by it need not send these rows again."""
+_BUCKET_BYTES = 128 << 20
+
+
+@contextmanager
+def bucketed(rows: DataFrame, purpose: str, columns: list[str], buckets: int) -> Iterator[DataFrame]:
+    """As ``saved``, in buckets of ``columns``: joins by them need not send these rows again.
+
+    The catalog knows the table only inside the ``with`` block. Joins by which it is made drop rows early.
+    """
     spark = rows.sparkSession
     folder = fresh_folder(spark, purpose)
     table = "footfall_" + folder.rsplit("-", 1)[1]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, column).option("path", folder).saveAsTable(table)
-    return spark.table(table)
+    with filtered_joins(spark):
+        rows.write.bucketBy(buckets, *columns).option("path", folder).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """As many as a shuffle has partitions, and more where these would hold over 128 MB each of ``size`` bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // _BUCKET_BYTES))
 
 
 _PART = 1 << 20
@@ -62,8 +77,7 @@ def by_text(rows: DataFrame, kind: str, reader: Callable[[], Callable[[str | Non
         read = reader()
         for batch in batches:
             texts = batch.column("text")
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            for at, end in parts_of(sizes + 64):
+            for at, end in parts_of(_sizes(texts)):
                 found = zip(*[read(x.as_py()) for x in texts.slice(at, end - at)])
                 new = [pa.array(list(x), f.type) for x, f in zip(found, fields)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, end - at) for c in kept), *new], [*kept, *(f.name for f in fields)])
@@ -71,6 +85,53 @@ def by_text(rows: DataFrame, kind: str, reader: Callable[[], Callable[[str | Non
     return rows.mapInArrow(run, StructType([*rows.select(kept).schema.fields, *added.fields]))
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 64
+
+
+def by_row(rows: DataFrame, kind: str, reader: Callable[[], Callable[..., tuple | None]], sized: str) -> DataFrame:
+    """A row of the columns ``kind`` for each row for which ``reader()`` gives one, from all its columns in order.
+
+    As ``by_text``, but for rows that hold something else; ``sized`` is the column that makes them large.
+    """
+    fields = to_arrow_schema(StructType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader()
+        for batch in batches:
+            for at, end in parts_of(_sizes(batch.column(sized))):
+                given = zip(*(c.slice(at, end - at) for c in batch.columns))
+                found = [x for row in given if (x := read(*(_plain(v) for v in row))) is not None]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*found), fields)], schema=fields)
+
+    return rows.mapInArrow(run, kind)
+
+
+def _plain(value: pa.Scalar):
+    """Lists as arrays, which need no object per number."""
+    if not isinstance(value, pa.ListScalar):
+        return value.as_py()
+    return None if value.values is None else value.values.to_numpy(zero_copy_only=False)
+
+
+def told(kind: str, reader: Callable[[], Callable[[list[str | None]], list[tuple]]]) -> Callable[[Column], Column]:
+    """A function of a text column that gives a struct ``kind``; texts are read a MB at a time."""
+    struct = pa.struct(list(to_arrow_schema(StructType.fromDDL(kind))))
+
+    @F.arrow_udf(StructType.fromDDL(kind))
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = reader()
+        for texts in batches:
+            parts = []
+            for at, end in parts_of(_sizes(texts)):
+                columns = zip(*read(texts.slice(at, end - at).to_pylist()))
+                parts.append(pa.StructArray.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, struct)], fields=list(struct)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], struct)
+
+    return of
+
+
 @contextmanager
 def filtered_joins(spark: SparkSession):
     """Here Spark drops rows by a Bloom filter of the other side's keys before it sends them to a join.
@@ -98,15 +159,20 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_hash(*columns: str) -> Column:
+    """Tells rows apart in a sample: of rows equal in these columns one is as good as another."""
+    return F.xxhash64(*columns)
+
+
 def least_hashed(rows: DataFrame, group: str, each: int) -> DataFrame:
     """At most ``each`` rows of each value of ``group``: those least by a hash of their ``id``.
 
-    Only rows whose hash lies below four times the share that is wanted are ever sorted, so the work of the sorting task
-    is bounded by the sample, not by the rows. The product is one of doubles: of a group of over 2^23 rows a bigint would
-    not hold it.
+    Only rows whose hash lies below little more than the share that is wanted (by eight standard deviations) are ever
+    sorted, so the work of the sorting task is bounded by the sample, not by the rows. The product is one of doubles: of
+    a group of over 2^23 rows a bigint would not hold it.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    few = rows.withColumn("_place", place).join(F.broadcast(counts), group).where(F.col("_place").cast("double") * F.col("_n") < F.lit(4.0 * each * (1 << 40)))
+    few = rows.withColumn("_place", place).join(F.broadcast(counts), group).where(F.col("_place").cast("double") * F.col("_n") < F.lit((each + 8.0 * each**0.5 + 16) * (1 << 40)))
     order = Window.partitionBy(group).orderBy("_place", "id")
     return few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).drop("_place", "_n", "_rank")

@@ -5,26 +5,43 @@ A word is a run of bytes other than space and 0x09-0x0D. All of these are ASCII,
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_PIECE = 1 << 20
-_TURNS = 4096
+_PIECE = 1 << 16
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
-_PLACE = _powers(_ODD[0], _TURNS)
-_TURN = _powers(_ODD[1], _TURNS)
+@cache
+def _known_powers(k: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(_powers(x, 2 * _PIECE) for x in (int(_ODD[k]), pow(int(_ODD[k]), -1, 1 << 64)))
+
+
+def _both_powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    if n <= 2 * _PIECE:
+        return tuple(x[:n] for x in _known_powers(k))
+    return _powers(int(_ODD[k]), n), _powers(pow(int(_ODD[k]), -1, 1 << 64), n)
+
+
+def _of_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """For each range the sum of its values, each times the power of its place in the range: one sum over all is cut."""
+    up, down = _both_powers(k, len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up, out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,7 +66,7 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(data: bytes):
-    """The text cut between words into parts of about one MB, so that a long text needs no more memory than that."""
+    """The text cut between words into parts of about 64 KB, so that a long text needs no more memory than that."""
     at = 0
     while len(data) - at > _PIECE:
         cut = at + _PIECE
@@ -64,15 +81,7 @@ def _hashes(data: bytes) -> np.ndarray:
     starts, ends = spans(data)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    first, last = starts[0], ends[-1]
-    bytes_ = np.frombuffer(data, np.uint8)[first:last]
-    reach = np.diff(np.append(starts, last))
-    place = np.arange(last - first) - np.repeat(starts - first, reach)
-    value = _BYTE[bytes_] * _PLACE[place & (_TURNS - 1)]
-    if reach.max() > _TURNS:
-        value *= _TURN[(place >> 12) & (_TURNS - 1)]
-    value[_SEPARATES[bytes_]] = 0
-    return mixed(np.add.reduceat(value, starts - first) + (ends - starts).astype(np.uint64))
+    return mixed(_of_ranges(byte_hashes(data), starts, ends, 0) + (ends - starts).astype(np.uint64))
 
 
 def hashes(data: bytes) -> np.ndarray:
@@ -119,14 +128,12 @@ def prefixes(data: bytes, n: int) -> np.ndarray:
     bytes_ = np.frombuffer(data, np.uint8)
     out = np.full(len(starts), _ODD[5 + n], np.uint64)
     for j in range(n):
-        out += _BYTE[bytes_[starts + j]] * _PLACE[j]
+        out += _BYTE[bytes_[starts + j]] * _both_powers(0, n)[0][j]
     return mixed(out)
 
 
 def runs_at(words: np.ndarray, places: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """One hash for the run of n words at each place; for few places of many."""
+    """One hash for the run of n words at each place; another salt gives an independent hash."""
     if not len(places):
         return np.zeros(0, np.uint64)
-    rows = np.lib.stride_tricks.sliding_window_view(words, n)[places]
-    factors = _powers(_ODD[8 + salt], n + 1)[1:]
-    return mixed(mixed(rows * factors).sum(axis=1, dtype=np.uint64) + _ODD[4 + salt])
+    return mixed(_of_ranges(words, places, places + n, 63 - salt) + _ODD[4 + salt])
