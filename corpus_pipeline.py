@@ -42,10 +42,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by id and text; those that agree in both have lost their copies in the stage before.
     """
-    keyed = docs.withColumn("_row", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    gone = near_duplicates(keyed, width=5, percent=80, bands=64, row_col="_row").where("NOT kept")
-    gone = gone.select(F.col("id").alias("doc_id"), F.col("row").alias("_row")).distinct()
-    return keyed.join(gone, ["doc_id", "_row"], "left_anti").select(*docs.columns)
+    names = [f"c{n}" for n in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names))
+    keyed = docs.toDF(*names).withColumn("row", F.unhex(F.sha2(F.coalesce(F.col(place["text"]), F.lit("")).cast("binary"), 256)))
+    gone = near_duplicates(keyed, place["doc_id"], place["text"], width=5, percent=80, bands=64, row_col="row").where("NOT kept")
+    gone = gone.select(F.col("id").alias(place["doc_id"]), "row").distinct()
+    return keyed.join(gone, [place["doc_id"], "row"], "left_anti").select(*names).toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
