@@ -455,6 +455,7 @@ ALL: dict[str, str] = {
           count(*) AS messages
         FROM decoded GROUP BY 1""",
     "stream_ingest_rollup": rollup("landed", DECODED),
+    "stream_batches_rollup": rollup("landed", DECODED),
     "stream_ingest_events": f"""WITH {DECODED}
         SELECT event_id, event_name, channel, user_id, timestamp, metadata FROM landed""",
     "stream_dead_letters": f"""WITH {EV}

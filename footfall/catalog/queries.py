@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from footfall.catalog import inputs
 from footfall.functions import fixed as fx
 from footfall.functions.clock import key_text, rfc3339
+from footfall.functions.schema import MESSAGE
 from footfall.functions.sketches import distinct_count
 from footfall.operators import failures, latest, messages, requests, rollup, validate
 from footfall.operators.commands import to_rows
@@ -18,9 +19,10 @@ from footfall.plans import dashboard, metrics
 from footfall.session import fresh_folder
 from footfall.sources import raw_events, request_bodies, synthetic
 from footfall.sources.tables import Tables
+from footfall.sources.topic import stream_files
 from footfall.streaming import intake
 from footfall.streaming.landing import start_landing
-from footfall.streaming.retrying import start_retrying
+from footfall.streaming.retrying import retry_due
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -373,6 +375,16 @@ def stream_ingest_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(rollup.merge_hourly(_landed(spark, folder).hourly()))
 
 
+def stream_batches_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """The same messages out of twenty topic files, three to a micro-batch; each batch brings rows for every day."""
+    root = fresh_folder(spark, "batches")
+    sent = inputs.messages(spark, folder).select(*MESSAGE.fieldNames())
+    sent.repartition(20, "partition").write.parquet(f"{root}/topic")
+    tables = Tables(spark, f"{root}/tables")
+    start_landing(stream_files(spark, f"{root}/topic", files_per_trigger=3), tables, f"{root}/checkpoint").awaitTermination()
+    return _shown(rollup.merge_hourly(tables.hourly()))
+
+
 def stream_ingest_events(spark: SparkSession, folder: str) -> DataFrame:
     stored = _landed(spark, folder).events()
     return stored.select("event_id", "event_name", "channel", "user_id", "timestamp", "metadata")
@@ -391,7 +403,7 @@ def stream_retry_recovers(spark: SparkSession, folder: str) -> DataFrame:
     """Every first insert fails; the retry job stores the events later. The rollup ends up the same."""
     tables = _landed(spark, folder, store=_failing)
     root = fresh_folder(spark, "retry")
-    start_retrying(spark, tables, f"{root}/checkpoint", clock=_much_later).awaitTermination()
+    retry_due(spark, tables, f"{root}/checkpoint", clock=_much_later)
     return _shown(rollup.merge_hourly(tables.hourly()))
 
 
@@ -399,8 +411,9 @@ def failure_counts_stored(spark: SparkSession, folder: str) -> DataFrame:
     """The insert fails, and two more tries do: each message counts once over the stored tables."""
     tables = _landed(spark, folder, store=_failing)
     root = fresh_folder(spark, "retry")
-    for _ in range(2):
-        start_retrying(spark, tables, f"{root}/checkpoint", clock=_much_later, store=_failing).awaitTermination()
+    for later in range(2):
+        clock = lambda: _much_later() + timedelta(days=later)  # noqa: B023, E731
+        retry_due(spark, tables, f"{root}/checkpoint", clock=clock, store=_failing)
     return failures.stored_failure_counts(tables.stored("retry"), tables.stored("dead_letters"))
 
 
@@ -449,6 +462,7 @@ ALL: dict[str, Query] = {
     "dlq_envelope": dlq_envelope,
     "failure_counts": failure_counts,
     "stream_ingest_rollup": stream_ingest_rollup,
+    "stream_batches_rollup": stream_batches_rollup,
     "stream_ingest_events": stream_ingest_events,
     "stream_dead_letters": stream_dead_letters,
     "stream_retry_recovers": stream_retry_recovers,

@@ -54,6 +54,7 @@ RETRY = T.StructType(
         T.StructField("retry_count", T.LongType()),
         T.StructField("queued_at", T.TimestampType()),
         T.StructField("next_attempt_at", T.TimestampType()),
+        T.StructField("due", T.LongType()),
         T.StructField("batch_id", T.StringType()),
     ]
 )

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from footfall.functions.clock import as_timestamp, day_of, key_text
 from footfall.functions.fixed import GROUPINGS
 from footfall.functions.sketches import distinct_count, merged_state, total
-from footfall.operators.rollup import merge_hourly
 from footfall.operators.validate import check_request, valid, with_request_errors
+from footfall.plans import spans
 
 
 def in_range(event_name: str, start: int, end: int, channel: str = "") -> Column:
@@ -79,27 +79,46 @@ LATEST = 2**32 - 1
 ASK = ["event_name", "first_hour", "last_hour", "channel", "group_by"]
 
 
-def with_days(hourly: DataFrame) -> DataFrame:
-    """Merged rollup rows at two levels: ``span`` 'hour', and 'day' for whole days."""
-    hours = merge_hourly(hourly)
-    days = hours.groupBy("event_name", "channel", "event_date").agg(
-        total("event_count").alias("event_count"), merged_state("unique_users_state").alias("unique_users_state")
-    )
-    days = days.withColumns({"hour": F.col("event_date").cast("timestamp"), "span": F.lit("day")})
-    return hours.withColumn("span", F.lit("hour")).unionByName(days)
+# What a span is to a question: a part of its total, of a channel's group, of the group of a day at one of its ends; or a
+# group as it stands.
+TOTAL, OF_CHANNEL, OF_DAY, WHOLE = range(4)
+
+
+def _pieces(questions: DataFrame, days: int) -> DataFrame:
+    """(kind, level, start) for each span of the rollup that a question (ASK, first, after; in hours) meets."""
+    up, down = "(first + 23 - pmod(first - 1, 24))", "(after - pmod(after, 24))"
+
+    def of(kind: int, spans_: str) -> str:
+        return f"transform({spans_}, p -> named_struct('kind', {kind}, 'level', p.level, 'start', p.start))"
+
+    def each(level: int, low: str, high: str, step: int) -> str:
+        found = f"transform(sequence({low}, {high} - {step}L, {step}L), p -> named_struct('level', {level}, 'start', p))"
+        return f"if({low} < {high}, {found}, {spans.NONE})"
 
+    head = spans.cover("first", f"least({up}, after)", days, spans.DAY - 1)
+    tail = spans.cover(f"if({up} <= {down}, {down}, after)", "after", days, spans.DAY - 1)
+    groups = f"""CASE group_by WHEN 'channel' THEN {of(OF_CHANNEL, spans.cover("first", "after", days))}
+        WHEN 'hour' THEN {of(WHOLE, each(0, "first", "after", 1))}
+        WHEN 'day' THEN concat({of(OF_DAY, head)}, {of(OF_DAY, tail)}, {of(WHOLE, each(spans.DAY, up, down, 24))})
+        ELSE {of(TOTAL, spans.NONE)} END"""
+    every = f"inline(concat({of(TOTAL, spans.cover('first', 'after', days))}, {groups}))"
+    return questions.select(*ASK, F.expr("nullif(channel, '')").alias("met"), F.expr(every))
 
-def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
+
+def answer_requests(requests: DataFrame, hourly: DataFrame, days: int = 64, tree: DataFrame | None = None) -> DataFrame:
     """Answer a whole table of requests (request_id, event_name, from, to, channel, group_by) in one job.
 
     Requests with errors get no answer. Requests are cut to whole hours and made distinct first, so a question
-    asked a million times is worked out once. Each question then meets the rollup on (event_name, event_date,
-    span), one row per day it covers, which spreads a busy event name over its days. A day that lies wholly in
-    the range is met as one row instead of 24, unless hours were asked for. No side is broadcast by hint: Spark
-    sees the real sizes at run time and broadcasts the small side, or splits skewed keys of a sort-merge join.
-    Groups and total of a question come out of one pass: a question has at most one group per hour it covers, so
-    its finished groups (three values each) travel in a list. Days before the earliest and after the latest that any
-    request asks for are not read.
+    asked a million times is worked out once. Each question meets the rollup by spans (``plans.spans``): states merged
+    over 1, 2, 4, 8 hours, a day and its doublings up to ``days``, so that the total of a year takes some twenty states,
+    not some hundreds. Groups that are a span as it stands, hours and whole days, take its numbers and no state at all;
+    only channels and the days at both ends are merged. Where channels are not told apart, the state of all channels is
+    met. The join key (event_name, level, start) spreads a busy event name over its spans, and no side is broadcast by
+    hint: Spark sees the real sizes at run time.
+
+    A question has at most one group per hour it covers, so its finished groups (three values each) travel in a list.
+    Days before the earliest and after the latest that any request asks for are not read. ``tree`` may hold the spans of
+    the rollup if they are kept (``spans.write_tree``).
     """
     hour_seconds = F.unix_seconds("hour")
     asked = valid(with_request_errors(requests)).selectExpr(
@@ -116,44 +135,31 @@ def answer_requests(requests: DataFrame, hourly: DataFrame) -> DataFrame:
     ends = hourly.agg(F.min(hour_seconds).alias("low"), F.max(hour_seconds).alias("high"))
     first = F.greatest("first_hour", ends.select("low").scalar())
     last = F.least("last_hour", ends.select("high").scalar())
-    days = (
-        asked.select(*ASK)
-        .distinct()
-        .withColumns({"first": first, "last": last})
-        .where("first <= last")
-        .selectExpr(
-            "*",
-            "explode(sequence(to_date(timestamp_seconds(first)), to_date(timestamp_seconds(last)))) AS event_date",
-        )
-        .withColumn("midnight", F.unix_seconds(F.col("event_date").cast("timestamp")))
-        .withColumn(
-            "span",
-            F.expr(
-                """if(group_by <> 'hour' AND first_hour <= midnight AND last_hour >= midnight + 23 * 3600,
-                'day', 'hour')"""
-            ),
-        )
-        .withColumnRenamed("channel", "wanted")
-    )
-    hits = days.join(with_days(hourly), ["event_name", "event_date", "span"]).where(
-        ((F.col("span") == "day") | hour_seconds.between(F.col("first"), F.col("last")))
-        & F.col("wanted").isin("", F.col("channel"))
-    )
-    key = (
-        F.when(F.col("group_by") == "channel", F.col("channel"))
-        .when(F.col("group_by") == "hour", group_key("hour"))
-        .when(F.col("group_by") == "day", group_key("day"))
-        .otherwise(F.lit(""))
-    )
-    question = ["event_name", "first_hour", "last_hour", "wanted", "group_by"]
-    by_key = hits.groupBy(*question, key.alias("key")).agg(
-        total("event_count").alias("event_count"), merged_state("unique_users_state").alias("unique_users_state")
-    )
-    group = F.struct(
-        "key", F.col("event_count").alias("total_count"), distinct_count(F.col("unique_users_state")).alias("unique_users")
+    questions = asked.select(*ASK).distinct().withColumns({"first": first, "last": last}).where("first <= last")
+    questions = questions.selectExpr(*ASK, "first div 3600 AS first", "last div 3600 + 1 AS after")
+    # A question is a few bytes and takes the merging of many states: keep all tasks busy, however few bytes there are.
+    # Dealt by question, the states met in a broadcast join are merged where they are.
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    questions = questions.repartition(tasks, *ASK)
+    pieces = _pieces(questions, days)
+    states = spans.tree(hourly, days) if tree is None else tree
+    states = states.withColumnRenamed("channel", "of")
+
+    kind, start = F.col("kind"), F.timestamp_seconds(F.col("start") * 3600)
+    by_channel = (kind == OF_CHANNEL) & F.col("of").isNotNull() & (F.col("met").isNull() | (F.col("met") == F.col("of")))
+    one = (kind != OF_CHANNEL) & F.col("met").eqNullSafe(F.col("of"))
+    hits = pieces.where(kind != WHOLE).join(states, ["event_name", "level", "start"]).where(by_channel | one)
+    key = F.when(kind == OF_CHANNEL, F.col("of")).when(kind == OF_DAY, key_text(day_of(start)))
+    found = hits.groupBy(*ASK, key.alias("key")).agg(*counts())
+    plain = pieces.where(kind == WHOLE).join(states.drop("unique_users_state"), ["event_name", "level", "start"]).where(one)
+    found = found.unionByName(plain.select(*ASK, key_text(start).alias("key"), F.col("event_count").alias("total_count"), "unique_users"))
+    group = F.struct("key", "total_count", "unique_users")
+    answers = found.groupBy(*ASK).agg(
+        F.max(F.when(F.col("key").isNull(), F.col("total_count"))).alias("total_count"),
+        F.max(F.when(F.col("key").isNull(), F.col("unique_users"))).alias("unique_users"),
+        F.collect_list(F.when(F.col("key").isNotNull(), group)).alias("grouped"),
     )
-    answers = by_key.groupBy(*question).agg(*counts(), F.collect_list(group).alias("grouped"))
-    answered = asked.join(answers.withColumnRenamed("wanted", "channel"), ASK, "left")
+    answered = asked.join(answers, ASK, "left")
     total_row = """array(named_struct('scope', 'total', 'key', '', 'total_count', coalesce(total_count, 0L),
         'unique_users', coalesce(unique_users, 0L)))"""
     group_rows = """transform(grouped, g -> named_struct('scope', 'group', 'key', g.key, 'total_count', g.total_count,

@@ -12,6 +12,9 @@ from footfall.operators.rollup import merge_hourly
 
 SCHEMAS = {"events": EVENTS, "hourly": HOURLY, "retry": RETRY, "dead_letters": DEAD_LETTER}
 
+# The folders of each table.
+PARTS = {"events": ["event_date", "batch_id"], "hourly": ["event_date", "batch_id"], "retry": ["due", "batch_id"], "dead_letters": ["batch_id"]}
+
 # Rows of a day lie in this order within each file, so that a filter on the leading columns skips row groups.
 ORDER = {"events": ["event_name", "timestamp", "event_id"], "hourly": ["event_name", "channel", "hour"]}
 
@@ -20,7 +23,10 @@ BLOOMED = ["event_name", "channel", "user_id", "event_id"]
 
 
 class Tables:
-    """``events`` and ``hourly`` by (event_date, batch_id); ``retry`` and ``dead_letters`` by batch_id.
+    """``events`` and ``hourly`` by (event_date, batch_id), ``retry`` by (due, batch_id), ``dead_letters`` by batch_id.
+
+    ``due`` is the second from which a message may be tried again: a message waits in a folder that no one touches or
+    reads before, and that goes as a whole once it has been tried.
 
     Every write replaces the partitions of its own batch id, so a micro-batch that runs again leaves the tables as
     if it had run once. Batch ids of a stream hold its name and the id of its checkpoint, so streams never replace each other's batches.
@@ -52,6 +58,27 @@ class Tables:
     def hourly(self) -> DataFrame:
         return self.stored("hourly")
 
+    def due(self, second: int) -> list[str]:
+        """The folders of the retry table whose messages may be tried by then, each as due=.../batch_id=..."""
+        first = [x for x in self._names(self.path("retry")) if x.startswith("due=") and int(x[4:]) <= second]
+        return sorted(f"{x}/{y}" for x in first for y in self._names(f"{self.path('retry')}/{x}") if y.startswith("batch_id="))
+
+    def waiting(self, folders: list[str]) -> DataFrame:
+        """The messages in some folders of the retry table; no other is listed or read."""
+        if not folders:
+            return self.stored("retry").where(F.lit(False))
+        root = self.path("retry")
+        return self.spark.read.schema(SCHEMAS["retry"]).option("basePath", root).parquet(*(f"{root}/{x}" for x in folders))
+
+    def forget_tried(self, folders: list[str]) -> None:
+        """Take folders out of the retry table whose messages have gone elsewhere."""
+        for x in folders:
+            self._delete(f"{self.path('retry')}/{x}")
+            above = f"{self.path('retry')}/{x.split('/')[0]}"
+            path, files = self._files(above)
+            if files.exists(path) and not self._names(above):
+                files.delete(path, False)
+
     # Writing ----------------------------------------------------------------------------------------------
 
     def write_events(self, rows: DataFrame, batch_id: str) -> None:
@@ -61,6 +88,8 @@ class Tables:
         self._write_by_day("hourly", rows, batch_id, {})
 
     def write_retry(self, rows: DataFrame, batch_id: str) -> None:
+        """A batch has as many folders as it has different waits, of which there are seven."""
+        rows = rows.withColumn("due", F.unix_seconds("next_attempt_at"))
         self._write_batch("retry", rows, batch_id)
 
     def write_dead_letters(self, rows: DataFrame, batch_id: str) -> None:
@@ -73,11 +102,11 @@ class Tables:
         ordered = spread.withColumn("batch_id", F.lit(batch_id)).sortWithinPartitions(
             "event_date", "batch_id", *ORDER[table]
         )
-        self._overwrite(ordered, ["event_date", "batch_id"], options, table)
+        self._overwrite(ordered, PARTS[table], options, table)
 
     def _write_batch(self, table: str, rows: DataFrame, batch_id: str) -> None:
         columns = [c for c in SCHEMAS[table].fieldNames() if c != "batch_id"]
-        self._overwrite(rows.select(*columns).withColumn("batch_id", F.lit(batch_id)), ["batch_id"], {}, table)
+        self._overwrite(rows.select(*columns).withColumn("batch_id", F.lit(batch_id)), PARTS[table], {}, table)
 
     def _overwrite(self, rows: DataFrame, by: list[str], options: dict[str, str], table: str) -> None:
         (
@@ -92,9 +121,8 @@ class Tables:
     def drop_batch(self, batch_id: str) -> None:
         """Take back whatever a batch wrote to any table."""
         for table in SCHEMAS:
-            by_day = "event_date" in SCHEMAS[table].fieldNames()
-            where = f"event_date=*/batch_id={batch_id}" if by_day else f"batch_id={batch_id}"
-            self._delete(f"{self.path(table)}/{where}")
+            above = "".join(f"{x}=*/" for x in PARTS[table][:-1])
+            self._delete(f"{self.path(table)}/{above}batch_id={batch_id}")
 
     # Merging ----------------------------------------------------------------------------------------------
 
@@ -118,6 +146,10 @@ class Tables:
 
     # Folders ----------------------------------------------------------------------------------------------
 
+    def _names(self, folder: str) -> list[str]:
+        path, files = self._files(folder)
+        return [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+
     def _glob(self, pattern: str) -> list:
         path, files = self._files(pattern)
         return list(files.globStatus(path) or [])

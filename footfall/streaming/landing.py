@@ -47,14 +47,16 @@ def land(
     at: datetime,
     store: Insert = insert,
     tasks: int | None = None,
+    again: bool = True,
 ) -> None:
     """One micro-batch. Malformed messages become dead letters; if the rest cannot be stored, all of it goes to retry.
 
-    A batch that runs again first takes back what its earlier run left, in whichever table that was. If handing
+    A batch that may run ``again`` first takes back what its earlier run left, in whichever table that was. If handing
     over to retry fails as well, the error ends the query and the batch runs again from the checkpoint.
     """
     batch_id = batch_name(stream, number)
-    tables.drop_batch(batch_id)
+    if again:
+        tables.drop_batch(batch_id)
     decoded = decode(spread(batch, tasks) if tasks else batch).persist()
     try:
         tables.write_dead_letters(failures.dead_on_arrival(malformed(decoded), topic, at), batch_id)
@@ -95,9 +97,10 @@ def start_landing(
     known: list[str] = []
 
     def each(batch: DataFrame, number: int) -> None:
-        if not known:
+        first = not known  # only the first batch after a start can have run before: an error in any other ends the query
+        if first:
             known.append(f"{stream}-{checkpoint_id(batch.sparkSession, checkpoint)}")
-        land(batch, number, tables, known[0], topic, clock(), store, tasks)
+        land(batch, number, tables, known[0], topic, clock(), store, tasks, first)
 
     writer = messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

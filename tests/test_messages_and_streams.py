@@ -1,6 +1,8 @@
 """Message decoding, retry and dead letters, and the streaming jobs."""
 
 import tempfile
+import time
+from pathlib import Path
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -16,7 +18,7 @@ from footfall.plans.metrics import metric_total
 from footfall.sources.topic import publish_files, stream_files
 from footfall.sources.tables import Tables
 from footfall.streaming.landing import insert, land, start_landing
-from footfall.streaming.retrying import start_retrying
+from footfall.streaming.retrying import Plan, retry_due, start_retrying
 from tests.test_rollup_and_metrics import T0, events
 
 NOON = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
@@ -178,7 +180,7 @@ class Run:
         start_landing(stream, self.tables, f"{self.root}/{checkpoint}", clock=lambda: at, store=store).awaitTermination()
 
     def retry(self, at, store=insert):
-        start_retrying(self.spark, self.tables, f"{self.root}/retry", clock=lambda: at, store=store).awaitTermination()
+        return retry_due(self.spark, self.tables, f"{self.root}/retry", clock=lambda: at, store=store)
 
     def dead(self):
         return self.tables.stored("dead_letters")
@@ -262,6 +264,62 @@ def test_retries_run_out(spark):
     assert (run.tables.events().count(), run.dead().count()) == (0, 3)
 
 
+def files_in(folder):
+    return {str(x.relative_to(folder)): x.stat().st_mtime_ns for x in Path(folder).rglob("*.parquet")}
+
+
+def test_what_waits_is_neither_read_nor_rewritten(spark):
+    run = Run(spark)
+    run.send(events(spark, ROWS))
+    run.land(store=refuse)
+    run.tables.write_retry(failures.queued(messages(spark, '{"timestamp":5}', headers=head(retry_count="6")), NOON), "other-0")
+    before = files_in(run.tables.path("retry"))
+    assert [x for x in run.tables.due(int(NOON.timestamp()) + 2) if "other" in x] == []
+    assert run.retry(NOON + timedelta(seconds=1)) == 0
+    assert files_in(run.tables.path("retry")) == before
+    waiting = {k: v for k, v in before.items() if "batch_id=other-0" in k}
+    for x in waiting:  # it could not be read
+        Path(run.tables.path("retry"), x).chmod(0)
+    assert run.retry(NOON + timedelta(seconds=2)) == 1
+    assert files_in(run.tables.path("retry")) == waiting and waiting
+    assert run.tables.events().count() == 30
+
+
+def test_a_run_of_retries_that_ended_midway_is_done_again(spark):
+    run = Run(spark)
+    run.send(events(spark, ROWS))
+    run.land(store=refuse)
+
+    def breaks(tables, rows, batch_id):
+        tables.write_events(rows, batch_id)
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        run.retry(NOON + timedelta(seconds=2), store=breaks)
+    run.tables.write_retry(failures.queued(messages(spark, '{"timestamp":5}', headers=head(retry_count="1")), NOON), "other-0")
+    assert run.retry(NOON + timedelta(seconds=3)) == 2
+    assert run.tables.events().count() == 31 and run.tables.due(1 << 40) == []
+    assert metric_total(run.tables.hourly(), "v", T0, T0 + 86400).first() == (30, 5)
+
+    plans = Plan(spark, f"{run.root}/retry")
+    assert plans.last()["done"] and plans.last()["number"] == 1
+
+
+def test_retrying_goes_on(spark):
+    run = Run(spark)
+    run.send(events(spark, ROWS[:3]))
+    run.land(store=refuse)
+    query = start_retrying(spark, run.tables, f"{run.root}/retry", every="1 second", clock=lambda: NOON + timedelta(hours=1))
+    try:
+        for _ in range(60):
+            if run.tables.due(1 << 40) == []:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert run.tables.events().count() == 3
+
+
 def test_malformed_in_retry(spark):
     run = Run(spark)
     run.tables.create()
