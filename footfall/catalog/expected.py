@@ -375,6 +375,7 @@ ALL: dict[str, str] = {
     ),
     "latest_events": f"WITH {SENT_AGAIN} SELECT {VERSIONS} FROM newest",
     "stored_latest_events": f"WITH {SENT_AGAIN} SELECT {VERSIONS} FROM newest",
+    "maintained_latest_events": f"WITH {SENT_AGAIN} SELECT {VERSIONS} FROM newest",
     "unseen_events": f"""WITH {SENT_AGAIN} SELECT {VERSIONS} FROM newest
         WHERE event_id NOT IN (SELECT event_id FROM full_ev WHERE timestamp <= {ASK_TO})""",
     "metrics_total": f"WITH {EV} SELECT {COUNTS} FROM ev WHERE {RANGE}",

@@ -18,6 +18,7 @@ from footfall.operators.commands import to_rows
 from footfall.plans import dashboard, metrics
 from footfall.session import fresh_folder
 from footfall.sources import raw_events, request_bodies, synthetic
+from footfall.sources.maintained import LatestEvents
 from footfall.sources.tables import Tables
 from footfall.sources.topic import stream_files
 from footfall.streaming import intake
@@ -200,6 +201,19 @@ def stored_latest_events(spark: SparkSession, folder: str) -> DataFrame:
     return _versions(merged.events())
 
 
+def maintained_latest_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Three loads, each with rows for days that are merged already; the last is not merged when it is read."""
+    rows = inputs.sent_again(spark, folder)
+    loads = [rows.where("copy = 0 AND src % 2 = 0"), rows.where("copy = 1"), rows.where("copy = 0 AND src % 2 = 1")]
+    tables = Tables(spark, fresh_folder(spark, "events")).create()
+    latest_events = LatestEvents(spark, tables, fresh_folder(spark, "maintained")).create()
+    for n, load in enumerate(loads):
+        tables.write_events(load, f"load-{n}")
+        if n < 2:
+            latest_events.merge()
+    return _versions(latest_events.read())
+
+
 def unseen_events(spark: SparkSession, folder: str) -> DataFrame:
     """Strict intake of the resent set when the events up to the asked end are stored already."""
     stored = inputs.events(spark, folder).where(F.col("timestamp") <= inputs.ASK_TO)
@@ -441,6 +455,7 @@ ALL: dict[str, Query] = {
     "rollup_compacted": rollup_compacted,
     "latest_events": latest_events,
     "stored_latest_events": stored_latest_events,
+    "maintained_latest_events": maintained_latest_events,
     "unseen_events": unseen_events,
     "metrics_total": metrics_total,
     "metrics_total_channel": metrics_total_channel,
