@@ -50,27 +50,28 @@ def shares(sources: DataFrame, cap: int = 3) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("weight") * F.lit(price), limit.cast("double")))
 
 
-def chance(doc_id: Column, seed: int) -> Column:
-    """A number from 0 to 1 that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def chance(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the id, the whole text and the seed alone."""
+    parts = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    digest = F.md5(parts.cast("binary"))
     return F.conv(F.substring(digest, 1, _HEX), 16, 10).cast("double") / F.lit(float(16**_HEX))
 
 
-def with_copies(rows: DataFrame, targets: DataFrame, id_col: str, source_col: str, seed: int) -> DataFrame:
+def with_copies(rows: DataFrame, targets: DataFrame, draw: Column, source_col: str) -> DataFrame:
     """The rows with ``source_size``, ``target`` and ``copies``: floor(rate) and one more with the chance of the rest."""
     targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
     rows = rows.join(targets, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
-    more = chance(F.col(id_col), seed) < rate - F.floor(rate)
+    more = draw < rate - F.floor(rate)
     return rows.withColumn("copies", F.floor(rate) + F.when(more, 1).otherwise(0))
 
 
 def plan_mix(docs: DataFrame, weights: DataFrame, id_col: str, text_col: str, source_col: str, cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(sized rows, targets): (id, source, size) for each document, and the target of each source.
+    """(sized rows, targets): (id, source, size, draw) for each document, and the target of each source.
 
     ``weights`` is (source, weight); a source that it does not name weighs 0.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), chance(F.col(id_col), F.col(text_col), seed).alias("draw"))
     sized = saved(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     weights = weights.select(F.col("source").alias("_source"), "weight")
@@ -82,14 +83,14 @@ def mix_report(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text
     """(id, source, size, source_size, target, copies, taken) for each document: what the mix takes of it, in words.
 
     A source's rate is its target by its size. Each of its documents is taken floor(rate) times, and once more if a
-    number drawn from its id and the seed is below the fraction, so reruns agree and a source comes near its target;
+    number drawn from its id, its text and the seed is below the fraction, so reruns agree and a source comes near its target;
     at most ``cap`` times in all.
 
-    A null text has size 0. Null is a source like any other. Rows without id share one draw, and so do rows that repeat
-    an id. Where all sizes of a source are 0 nothing is taken; an empty table gives no rows.
+    A null text has size 0. Null is a source like any other. Rows without id, or with the same one, are
+    drawn by their texts; only rows equal in id and text share a draw. Where all sizes of a source are 0 nothing is taken; an empty table gives no rows.
     """
     sized, targets = plan_mix(docs, weights, id_col, text_col, source_col, cap, seed)
-    return with_copies(sized, targets, "id", "source", seed).withColumn("taken", F.col("size") * F.col("copies"))
+    return with_copies(sized, targets, F.col("draw"), "source").drop("draw").withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, seed: int = 20240229) -> DataFrame:
@@ -97,7 +98,8 @@ def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: s
     _, targets = plan_mix(docs, weights, id_col, text_col, source_col, cap, seed)
     names = [f"c{n}" for n in range(len(docs.columns))]
     place = dict(zip(docs.columns, names))
-    rows = with_copies(docs.toDF(*names), targets, place[id_col], place[source_col], seed)
+    draw = chance(F.col(place[id_col]), F.col(place[text_col]), seed)
+    rows = with_copies(docs.toDF(*names), targets, draw, place[source_col])
     rows = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(*names).toDF(*docs.columns)
 

@@ -77,7 +77,7 @@ def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op4_mix_sources"] = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
@@ -97,7 +97,7 @@ WITH sized AS (
 ), rated AS (
   SELECT doc_id, size, source_size, target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw
+         ('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target,

@@ -61,9 +61,9 @@ def copies(rows, cap=3, seed=20240229):
             break
         open_ -= full
     out = {}
-    for i, _, s in rows:
+    for i, text, s in rows:
         rate = min(weight[s] * price, float(cap * size[s])) / size[s] if size[s] else 0.0
-        draw = int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / 16**13
+        draw = int(hashlib.md5(f"{seed}:{i}:{text or ''}".encode()).hexdigest()[:13], 16) / 16**13
         out[i] = int(rate) + (draw < rate - int(rate))
     return out
 

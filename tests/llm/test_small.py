@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tokenizers import Tokenizer
 
-from footfall.llm import best_fit, chain, circulant, ecoc, exact, mixing, near_duplicates, packing, repeats, slack_packing, tables, tiles, tokens, words
+from footfall.llm import best_fit, byte_network, chain, circulant, ecoc, exact, mixing, near_duplicates, packing, repeats, slack_packing, tables, tiles, tokens, words
 from footfall.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, kept string, id long"
@@ -190,6 +190,95 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(sizes[s] - targets[s]) < 0.05 * targets[s] for s in sizes)
 
 
+def test_rows_without_or_with_one_id_are_drawn_apart(spark):
+    docs = spark.range(4500).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id END AS doc_id", "CONCAT('w', id, ' x y z') AS text", "CONCAT('s', id % 3) AS source")
+    found = mixing.mix_report(docs, mixing.turns(docs)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(found) == 3 and all(abs(r["taken"] - r["target"]) < 0.1 * r["target"] for r in found)
+
+
+def clashing(docs):
+    """Columns whose names operators might use themselves."""
+    names = ("_told", "_judged", "_row", "_n", "_place", "told", "judged", "graded", "row", "x", "c0", "draw", "copies")
+    return docs.withColumns({x: F.lit(f"own {x}") for x in names}), names
+
+
+def test_clashing_columns_keep_their_values(spark, docs):
+    own, names = clashing(docs.select("doc_id", "text", "lang", "source"))
+    network = byte_network.Network()
+    made = [
+        ecoc.identify(own, ecoc.train(docs)),
+        byte_network.graded(own, network),
+        chain.judged(own, chain.Chain(["toxic"], [chain.Linear(0).fit([np.zeros(1, np.uint32)] * 2, np.zeros((2, 0)), np.array([0, 1]), 1, 1)], 0.5)),
+        mixing.mix(own, mixing.turns(own)),
+        exact.without_duplicates(own),
+    ]
+    for rows in made:
+        assert all(r[x] == f"own {x}" for r in rows.select(*names).collect() for x in names)
+
+
+def test_a_sample_holds_rows_not_ids(spark):
+    """One id over and over, and none at all, bring no more rows to the driver than the sample has."""
+    rows = spark.range(20_000).selectExpr("5L AS doc_id", "CONCAT('some text ', id % 40) AS text", "'aa' AS lang")
+    rows = rows.unionByName(spark.range(300).selectExpr("CAST(NULL AS LONG) AS doc_id", "CONCAT('other words ', id) AS text", "'bb' AS lang"))
+    assert ecoc.train(rows, sample=100).languages == ["aa", "bb"]
+    assert ecoc.train(rows.where("doc_id IS NULL"), sample=100).languages == ["bb"]
+    labels = spark.createDataFrame([(5, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
+    assert byte_network.train(rows, labels, sample=100) == 1.0
+    model = chain.train(rows, labels, ["toxic"], sample=100)
+    assert chain.judged(rows.limit(3), model).count() == 3
+
+
+def test_network_scores_odd_texts_alike(spark, docs, none):
+    """A loop over chunks, filters and places gives the same scores, whatever else is in the batch; slopes are slopes."""
+    network = byte_network.Network()
+    p = {k: v.astype(np.float64) for k, v in network.parts.items()}
+
+    def slow(text):
+        layers = []
+        for chunk in byte_network.chunks(text):
+            seen = p["embedding"][chunk]
+            places = range(0, byte_network.CHUNK - byte_network.WIDTH + 1, byte_network.STRIDE)
+            high = np.max([seen[k : k + byte_network.WIDTH].reshape(-1) @ p["filter"] + p["filter_bias"] for k in places], axis=0)
+            layers.append(np.maximum(np.maximum(high, 0) @ p["dense"] + p["dense_bias"], 0))
+        both = np.concatenate([np.mean(layers, axis=0), np.max(layers, axis=0)])
+        return 1 / (1 + np.exp(-(both @ p["last"] + p["last_bias"])))
+
+    scores = {r["doc_id"]: r["score"] for r in byte_network.graded(docs, network).collect() if r["doc_id"]}
+    for i, text in TEXTS.items():
+        assert abs(scores[i] - slow(text).item()) < 1e-5, i
+    assert byte_network.graded(none, network).count() == 0
+    assert {r["score"] for r in byte_network.graded(docs, 0.5).collect()} == {0.5}
+
+
+def test_chain_probabilities_the_slow_way(spark, docs):
+    rows = [(i, prose(30, 500 + i) + (" vileword" if i % 4 == 0 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 4 == 0)) for i, _ in rows], "doc_id long, spam int, toxic int")
+    model = chain.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, ["spam", "toxic"])
+    texts = [*TEXTS.values()]
+    one_by_one = np.concatenate([model.chances([chain.features(t)]) for t in texts])
+    together = model.chances([chain.features(t) for t in texts])
+    assert np.abs(one_by_one - together).max() < 1e-9
+    told = {r["doc_id"]: (r["p_spam"], r["p_toxic"]) for r in chain.judged(docs, model).collect() if r["doc_id"]}
+    assert all(np.abs(np.array(told[i]) - one_by_one[n]).max() < 1e-9 for n, i in enumerate(TEXTS))
+
+
+def test_decoding_the_slow_way():
+    draw = np.random.default_rng(8)
+    code = ecoc.codebook(4)
+    model = ecoc.Model(list("abcd"), code, draw.normal(size=(6, code.shape[1])), draw.normal(size=code.shape[1]), draw.uniform(0.5, 1.5, code.shape))
+    x = draw.normal(size=(20, 6))
+    best, score = model.decide(x)
+    for row, b, s in zip(x, best, score):
+        losses = []
+        for c in range(4):
+            loss = 0.0
+            for bit in range(code.shape[1]):
+                margin = code[c, bit] * (sum(v * w for v, w in zip(row, model.weights[:, bit])) + model.bias[bit])
+                loss += model.trust[c, bit] * np.log1p(np.exp(-margin))
+            losses.append(loss)
+        assert b == int(np.argmin(losses)) and abs(s - np.exp(-min(losses)) / sum(np.exp(-v) for v in losses)) < 1e-6
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_plans_place_every_token_once(seed):
     draw = np.random.default_rng(seed)
