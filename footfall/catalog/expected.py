@@ -279,7 +279,9 @@ decoded AS (
     CASE WHEN odd = '' THEN event_id ELSE '' END AS event_id,
     CASE WHEN odd = '' THEN event_name ELSE '' END AS event_name,
     CASE odd WHEN '' THEN channel WHEN 'web' THEN 'web' WHEN 'any' THEN 'api' ELSE '' END AS channel,
+    CASE WHEN odd = '' THEN campaign_id ELSE '' END AS campaign_id,
     CASE WHEN odd = '' THEN user_id ELSE '' END AS user_id,
+    CASE WHEN odd = '' THEN tags ELSE '' END AS tags,
     CASE odd WHEN '' THEN timestamp WHEN 'any' THEN 8 ELSE 0 END AS timestamp,
     CASE WHEN odd = '' THEN metadata ELSE '{{}}' END AS metadata
   FROM sent
@@ -398,10 +400,10 @@ ALL: dict[str, str] = {
     "b02_unique_users": f"WITH {DAY_HOURS} SELECT count(DISTINCT user_id) AS unique_users FROM recent",
     "b03_purchases": f"WITH {DAY_HOURS} SELECT count(*) AS purchases FROM recent WHERE {SOLD}",
     "b04_active_campaigns": f"WITH {DAY_EVENTS} SELECT count(DISTINCT campaign_id) AS active_campaigns FROM recent",
-    "b05_total_revenue": f"WITH {DAY_EVENTS} SELECT round({MONEY}, 4) AS total_revenue FROM recent WHERE {SOLD}",
-    "b06_avg_order_value": f"""WITH {DAY_EVENTS} SELECT round(CASE WHEN count(*) > 0 THEN {MONEY} / count(*) ELSE 0.0 END, 4)
+    "b05_total_revenue": f"WITH {DAY_EVENTS} SELECT {MONEY} AS total_revenue FROM recent WHERE {SOLD}",
+    "b06_avg_order_value": f"""WITH {DAY_EVENTS} SELECT CASE WHEN count(*) > 0 THEN {MONEY} / count(*) ELSE 0.0 END
         AS avg_order_value FROM recent WHERE {SOLD}""",
-    "b07_revenue_over_time": f"""WITH {DAY_EVENTS} SELECT {clock(HOUR)} AS time, round({MONEY}, 4) AS revenue FROM recent
+    "b07_revenue_over_time": f"""WITH {DAY_EVENTS} SELECT {clock(HOUR)} AS time, {MONEY} AS revenue FROM recent
         WHERE {SOLD} GROUP BY 1""",
     "b08_events_over_time": f"WITH {DAY_HOURS} SELECT {clock(HOUR)} AS time, count(*) AS events FROM recent GROUP BY 1",
     "b09_unique_users_over_time": f"""WITH {DAY_HOURS} SELECT {clock(HOUR)} AS time,
@@ -421,8 +423,9 @@ ALL: dict[str, str] = {
         FROM full_ev""",
     "decode_split": f"""WITH {DECODED}
         SELECT src, problem, CASE WHEN problem = '' THEN event_name END AS event_name,
-          CASE WHEN problem = '' THEN channel END AS channel, CASE WHEN problem = '' THEN timestamp END AS timestamp,
-          CASE WHEN problem = '' THEN metadata END AS metadata
+          CASE WHEN problem = '' THEN channel END AS channel, CASE WHEN problem = '' THEN campaign_id END AS campaign_id,
+          CASE WHEN problem = '' THEN user_id END AS user_id, CASE WHEN problem = '' THEN timestamp END AS timestamp,
+          CASE WHEN problem = '' THEN tags END AS tags, CASE WHEN problem = '' THEN metadata END AS metadata
         FROM decoded""",
     "malformed_to_dead_letters": f"""WITH {DECODED}
         SELECT src, 'error_type=unmarshal_error; error_message=' || problem || '; ' || {ORIGIN}
@@ -458,9 +461,11 @@ ALL: dict[str, str] = {
     "stream_ingest_rollup": rollup("landed", DECODED),
     "stream_batches_rollup": rollup("landed", DECODED),
     "stream_ingest_events": f"""WITH {DECODED}
-        SELECT event_id, event_name, channel, user_id, timestamp, metadata FROM landed""",
-    "stream_dead_letters": f"""WITH {EV}
-        SELECT src, CAST(src % 20 AS INT) AS partition, {BAD_VALUE} AS value FROM ev WHERE {BAD_VALUE} IS NOT NULL""",
+        SELECT event_id, event_name, channel, campaign_id, user_id, timestamp, tags, metadata FROM landed""",
+    "stream_dead_letters": f"""WITH {DECODED}
+        SELECT src, CAST(src % 20 AS INT) AS partition, {BAD_VALUE} AS value,
+          'error_type=unmarshal_error; error_message=' || problem || '; ' || {ORIGIN} || '; failed_at={STAMP}' AS headers
+        FROM decoded WHERE problem <> ''""",
     "stream_retry_recovers": rollup("landed", DECODED),
     "failure_counts_stored": f"""WITH {DECODED}
         SELECT CASE WHEN problem <> '' THEN 'unmarshal_error' ELSE 'insert_failed' END AS error_type,

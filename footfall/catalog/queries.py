@@ -281,19 +281,14 @@ def _panel(panel: Callable[[DataFrame, Column], DataFrame], over_rollup: bool) -
     return query
 
 
-def _rounded(query: Query, column: str) -> Query:
-    """Sums of doubles depend on the order of rows in their last digits; only what is compared is rounded."""
-    return lambda spark, folder: query(spark, folder).withColumn(column, F.round(column, 4))
-
-
 PANELS: dict[str, Query] = {
     "b01_total_events": _panel(dashboard.total_events, True),
     "b02_unique_users": _panel(dashboard.unique_users, True),
     "b03_purchases": _panel(dashboard.purchases, True),
     "b04_active_campaigns": _panel(dashboard.active_campaigns, False),
-    "b05_total_revenue": _rounded(_panel(dashboard.total_revenue, False), "total_revenue"),
-    "b06_avg_order_value": _rounded(_panel(dashboard.avg_order_value, False), "avg_order_value"),
-    "b07_revenue_over_time": _rounded(_panel(dashboard.revenue_over_time, False), "revenue"),
+    "b05_total_revenue": _panel(dashboard.total_revenue, False),
+    "b06_avg_order_value": _panel(dashboard.avg_order_value, False),
+    "b07_revenue_over_time": _panel(dashboard.revenue_over_time, False),
     "b08_events_over_time": _panel(dashboard.events_over_time, True),
     "b09_unique_users_over_time": _panel(dashboard.unique_users_over_time, True),
     "b10_events_by_channel": _panel(dashboard.events_by_channel, True),
@@ -313,14 +308,10 @@ def publish_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def decode_split(spark: SparkSession, folder: str) -> DataFrame:
     decoded = messages.decode(inputs.messages(spark, folder))
-    return decoded.select(
-        "src",
-        F.coalesce("problem", F.lit("")).alias("problem"),
-        *[
-            F.when(F.col("problem").isNull(), F.col(f"event.{c}")).alias(c)
-            for c in ("event_name", "channel", "timestamp", "metadata")
-        ],
-    )
+    fields = {c: F.col(f"event.{c}") for c in ("event_name", "channel", "campaign_id", "user_id", "timestamp", "metadata")}
+    fields["tags"] = F.array_join("event.tags", ",")
+    good = [F.when(F.col("problem").isNull(), value).alias(c) for c, value in fields.items()]
+    return decoded.select("src", F.coalesce("problem", F.lit("")).alias("problem"), *good)
 
 
 def malformed_to_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
@@ -401,12 +392,14 @@ def stream_batches_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_ingest_events(spark: SparkSession, folder: str) -> DataFrame:
     stored = _landed(spark, folder).events()
-    return stored.select("event_id", "event_name", "channel", "user_id", "timestamp", "metadata")
+    tags = F.array_join("tags", ",").alias("tags")
+    return stored.select("event_id", "event_name", "channel", "campaign_id", "user_id", "timestamp", tags, "metadata")
 
 
 def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
-    dead = _landed(spark, folder).stored("dead_letters")
-    return dead.select(F.col("offset").alias("src"), "partition", F.col("value").cast("string").alias("value"))
+    dead = _landed(spark, folder, clock=lambda: datetime(2024, 1, 1, tzinfo=timezone.utc)).stored("dead_letters")
+    value, headers = F.col("value").cast("string").alias("value"), failures.headers_text(F.col("headers")).alias("headers")
+    return dead.select(F.col("offset").alias("src"), "partition", value, headers)
 
 
 def _failing(tables: Tables, rows: DataFrame, batch_id: str) -> None:

@@ -169,5 +169,15 @@ def number_at(text: Column, name: str) -> Column:
 
 
 def money_sum(amount: Column) -> Column:
-    """The sum of amounts, 0 of none."""
-    return F.coalesce(F.sum(amount), F.lit(0.0))
+    """The sum of amounts, 0 of none; the same in any order and however partial sums are merged.
+
+    Amounts below 10^17 are added as decimals, as they are written, to ten places: 38 digits hold 10^11 of the largest.
+    Larger doubles are whole numbers and added as such below 10^27. Only amounts beyond that, which no price is, add up
+    as doubles.
+    """
+    size = F.abs(amount)
+    written = F.sum(F.when(size < 1e17, amount).cast("decimal(38,10)"))
+    whole = F.sum(F.when((size >= 1e17) & (size < 1e27), amount).cast("decimal(38,0)"))
+    rest = F.sum(F.when(size >= 1e27, amount))
+    parts = [F.coalesce(x.cast("double"), F.lit(0.0)) for x in (written, whole, rest)]
+    return parts[0] + parts[1] + parts[2]

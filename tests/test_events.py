@@ -1,6 +1,8 @@
 """Ids, stored rows, validation rules and their boundaries."""
 
 import hashlib
+import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +190,21 @@ def test_money_adds_small_and_huge_amounts(spark):
         assert rows.agg(money_sum(F.col("x"))).first()[0] == pytest.approx(3 * amount, rel=1e-14)
 
 
+def test_money_adds_up_alike_in_any_order(spark):
+    draw = random.Random(3)
+    amounts = [1e12, 1e-7, 0.1, 19.99, -5.05, 123456789.01, 3e18, -1e17, 1e15 + 0.5] * 40
+    found = set()
+    for parts in (1, 3, 7):
+        draw.shuffle(amounts)
+        rows = spark.createDataFrame([(x,) for x in amounts], "x double").repartition(parts)
+        found.add(rows.agg(money_sum(F.col("x"))).first()[0])
+        few = rows.where("x < 1e17 AND x > -1e17")
+        exact = sum(Decimal(repr(x)) for x in amounts if abs(x) < 1e17)
+        assert few.agg(money_sum(F.col("x"))).first()[0] == float(exact)
+    assert len(found) == 1
+    assert spark.createDataFrame([(1e300,), (1e300,), (None,)], "x double").agg(money_sum(F.col("x"))).first()[0] == 2e300
+
+
 def test_latest_version_does_not_depend_on_the_order(spark):
     rows = [("e", "n", 1, "{}", c, [t], 5) for c, t in (("c1", "a"), ("c2", "a"), ("c2", "b"))]
     kind = "event_id string, event_name string, timestamp long, metadata string, campaign_id string, tags array<string>, created_at long"
