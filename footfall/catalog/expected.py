@@ -472,3 +472,29 @@ ALL: dict[str, str] = {
           count(*) AS messages
         FROM decoded GROUP BY 1""",
 }
+
+# Each panel once more, as rows of one table.
+_SHOWN = {
+    "b01_total_events": ("''", "''", "total_events"),
+    "b02_unique_users": ("''", "''", "unique_users"),
+    "b03_purchases": ("''", "''", "purchases"),
+    "b04_active_campaigns": ("''", "''", "active_campaigns"),
+    "b05_total_revenue": ("''", "''", "total_revenue"),
+    "b06_avg_order_value": ("''", "''", "avg_order_value"),
+    "b07_revenue_over_time": ("time", "''", "revenue"),
+    "b08_events_over_time": ("time", "''", "events"),
+    "b09_unique_users_over_time": ("time", "''", "unique_users"),
+    "b10_events_by_channel": ("channel", "''", "count"),
+    "b11_events_by_type": ("event_name", "''", "count"),
+    "b12_events_by_type_channel": ("event_name", "channel", "count"),
+    "b13_top_campaigns": ("campaign_id", "'event_count'", "event_count"),
+}
+
+
+def _shown(panel: str, key: str, second: str, value: str) -> str:
+    return f"SELECT '{panel}' AS panel, {key} AS key, {second} AS second_key, CAST({value} AS DOUBLE) AS value FROM ({ALL[panel]})"
+
+
+ALL["panels_refresh"] = " UNION ALL ".join(
+    [*(_shown(panel, *how) for panel, how in _SHOWN.items()), _shown("b13_top_campaigns", "campaign_id", "'unique_users'", "unique_users")]
+)

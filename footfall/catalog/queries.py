@@ -281,6 +281,14 @@ def _panel(panel: Callable[[DataFrame, Column], DataFrame], over_rollup: bool) -
     return query
 
 
+def panels_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """All panels in one job."""
+    given = inputs.table(spark, folder)
+    as_of = F.timestamp_seconds(raw_events.newest_second(given))
+    rows = to_rows(raw_events.as_commands(raw_events.raw_last_day(given)))
+    return dashboard.refresh(rollup.hourly_partials(rows), rows, as_of)
+
+
 PANELS: dict[str, Query] = {
     "b01_total_events": _panel(dashboard.total_events, True),
     "b02_unique_users": _panel(dashboard.unique_users, True),
@@ -460,6 +468,7 @@ ALL: dict[str, Query] = {
     "metrics_answer": metrics_answer,
     "metrics_requests_batch": metrics_requests_batch,
     **PANELS,
+    "panels_refresh": panels_refresh,
     "publish_messages": publish_messages,
     "decode_split": decode_split,
     "malformed_to_dead_letters": malformed_to_dead_letters,
