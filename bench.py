@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from footfall.catalog import inputs  # noqa: E402
 from footfall.catalog import queries as catalog  # noqa: E402
+from footfall.functions.schema import MESSAGE  # noqa: E402
 from footfall.operators.commands import to_events  # noqa: E402
 from footfall.operators.messages import to_messages  # noqa: E402
 from footfall.operators.rollup import hourly_partials  # noqa: E402
@@ -83,6 +84,7 @@ def stored_queries(tables: Tables, as_of: int) -> dict:
     }
     made = {f"stored_{n}": (lambda q=q: q(tables.hourly())) for n, q in over_rollup.items()}
     made.update({f"stored_{n}": (lambda q=q: q(tables.events())) for n, q in over_events.items()})
+    made["stored_panels_refresh"] = lambda: dashboard.refresh(tables.hourly(), tables.events(), as_of)
     return made
 
 
@@ -109,6 +111,29 @@ def ingest_rate(spark: SparkSession) -> dict:
     return {"events": LOAD, "sec": round(took, 3), "events_per_sec": round(LOAD / took)}
 
 
+BATCHES = 20
+
+
+def ingest_batches(spark: SparkSession) -> dict:
+    """Events per second over ``BATCHES`` micro-batches of the given events, ten times over, every batch with late days."""
+    root = fresh_folder(spark, "batches")
+    rows = inputs.events(spark, FOLDER).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    rows = rows.withColumn("user_id", F.concat("user_id", F.lit("-"), F.col("copy").cast("string"))).drop("copy")
+    sent = inputs.placed(to_messages(rows)).select(*MESSAGE.fieldNames())
+    sent.repartition(2 * BATCHES).write.parquet(f"{root}/topic")
+    tables = Tables(spark, f"{root}/tables")
+    events = rows.count()
+    started = time.perf_counter()
+    query = start_landing(stream_files(spark, f"{root}/topic", files_per_trigger=2), tables, f"{root}/checkpoint")
+    query.awaitTermination()
+    took = time.perf_counter() - started
+    stored = tables.hourly()
+    landed, batches = stored.agg(F.sum("event_count"), F.count_distinct("batch_id")).first()
+    assert (landed, batches) == (events, BATCHES), f"{landed} of {events} events landed in {batches} batches"
+    days = stored.groupBy("batch_id").agg(F.count_distinct("event_date").alias("n")).agg(F.min("n")).first()[0]
+    return {"events": events, "batches": batches, "days_per_batch": days, "sec": round(took, 3), "events_per_sec": round(events / took)}
+
+
 HEADLINE = [
     "canonical_events",
     "validate_errors",
@@ -147,6 +172,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "ingest": ingest,
+        "ingest_batches": ingest_batches(spark),
         "sf": FOLDER.rstrip("/").rsplit("sf", 1)[-1],
     }
     print(json.dumps(result))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,14 @@ def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def insert(tables: Tables, rows: DataFrame, batch_id: str) -> None:
-    """Store a batch of events and its partial rollup rows."""
-    tables.write_events(rows, batch_id)
-    tables.write_hourly(hourly_partials(rows), batch_id)
+    """Store a batch of events and its partial rollup rows, both at once: neither write alone keeps all cores busy.
+
+    Both have ended when this returns or fails.
+    """
+    with ThreadPoolExecutor(2) as pool:
+        writes = [pool.submit(tables.write_events, rows, batch_id), pool.submit(tables.write_hourly, hourly_partials(rows), batch_id)]
+    for write in writes:
+        write.result()
 
 
 def land(
