@@ -18,7 +18,9 @@ from footfall.operators.commands import to_rows
 from footfall.plans import dashboard, metrics
 from footfall.session import fresh_folder
 from footfall.sources import raw_events, request_bodies, synthetic
+from footfall.sources.campaigns import CampaignStates
 from footfall.sources.maintained import LatestEvents
+from footfall.sources.membership import StoredIds
 from footfall.sources.tables import Tables
 from footfall.sources.topic import stream_files
 from footfall.streaming import intake
@@ -220,6 +222,17 @@ def unseen_events(spark: SparkSession, folder: str) -> DataFrame:
     return _versions(latest.unseen(inputs.sent_again(spark, folder), stored))
 
 
+def unseen_by_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over stored events in two batches, whose filters say which days to read."""
+    stored = inputs.events(spark, folder).where(F.col("timestamp") <= inputs.ASK_TO)
+    tables = Tables(spark, fresh_folder(spark, "events")).create()
+    ids = StoredIds(spark, tables, fresh_folder(spark, "ids")).create()
+    for n in range(2):
+        tables.write_events(stored.where(F.col("src") % 2 == n), f"load-{n}")
+        ids.add(f"load-{n}")
+    return _versions(ids.unseen(inputs.sent_again(spark, folder)))
+
+
 # Metrics ---------------------------------------------------------------------------------------------------
 
 
@@ -289,6 +302,28 @@ def panels_refresh(spark: SparkSession, folder: str) -> DataFrame:
     return dashboard.refresh(rollup.hourly_partials(rows), rows, as_of)
 
 
+def _campaign_states(spark: SparkSession, folder: str) -> tuple[CampaignStates, Column]:
+    """The events stored in two batches, and their states."""
+    given = inputs.table(spark, folder)
+    rows = inputs.events(spark, folder)
+    tables = Tables(spark, fresh_folder(spark, "events")).create()
+    states = CampaignStates(spark, tables, fresh_folder(spark, "campaigns")).create()
+    for n in range(2):
+        tables.write_events(rows.where(F.col("src") % 2 == n), f"load-{n}")
+        states.add(f"load-{n}")
+    return states, F.timestamp_seconds(raw_events.newest_second(given))
+
+
+def b04_from_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    states, as_of = _campaign_states(spark, folder)
+    return states.active_campaigns(as_of)
+
+
+def b13_from_lists(spark: SparkSession, folder: str) -> DataFrame:
+    states, as_of = _campaign_states(spark, folder)
+    return states.top_campaigns(as_of)
+
+
 PANELS: dict[str, Query] = {
     "b01_total_events": _panel(dashboard.total_events, True),
     "b02_unique_users": _panel(dashboard.unique_users, True),
@@ -458,6 +493,7 @@ ALL: dict[str, Query] = {
     "stored_latest_events": stored_latest_events,
     "maintained_latest_events": maintained_latest_events,
     "unseen_events": unseen_events,
+    "unseen_by_filters": unseen_by_filters,
     "metrics_total": metrics_total,
     "metrics_total_channel": metrics_total_channel,
     "metrics_by_channel": metrics_by("channel"),
@@ -468,6 +504,8 @@ ALL: dict[str, Query] = {
     "metrics_answer": metrics_answer,
     "metrics_requests_batch": metrics_requests_batch,
     **PANELS,
+    "b04_from_bitmaps": b04_from_bitmaps,
+    "b13_from_lists": b13_from_lists,
     "panels_refresh": panels_refresh,
     "publish_messages": publish_messages,
     "decode_split": decode_split,
