@@ -495,6 +495,7 @@ def _shown(panel: str, key: str, second: str, value: str) -> str:
     return f"SELECT '{panel}' AS panel, {key} AS key, {second} AS second_key, CAST({value} AS DOUBLE) AS value FROM ({ALL[panel]})"
 
 
+ALL["stream_hours_rollup"] = ALL["hourly_rollup"]
 ALL["b04_from_bitmaps"] = ALL["b04_active_campaigns"]
 ALL["b13_from_lists"] = ALL["b13_top_campaigns"]
 ALL["unseen_by_filters"] = ALL["unseen_events"]
