@@ -496,6 +496,7 @@ def _shown(panel: str, key: str, second: str, value: str) -> str:
 
 
 ALL["stream_hours_rollup"] = ALL["hourly_rollup"]
+ALL["latest_events_by_curve"] = ALL["stored_latest_events"]
 ALL["b04_from_bitmaps"] = ALL["b04_active_campaigns"]
 ALL["b13_from_lists"] = ALL["b13_top_campaigns"]
 ALL["unseen_by_filters"] = ALL["unseen_events"]

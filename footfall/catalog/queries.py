@@ -19,6 +19,7 @@ from footfall.plans import dashboard, metrics
 from footfall.session import fresh_folder
 from footfall.sources import raw_events, request_bodies, synthetic
 from footfall.sources.campaigns import CampaignStates
+from footfall.sources.layout import merge_by_curve_into
 from footfall.sources.maintained import LatestEvents
 from footfall.sources.membership import StoredIds
 from footfall.sources.tables import Tables
@@ -204,6 +205,15 @@ def stored_latest_events(spark: SparkSession, folder: str) -> DataFrame:
     return _versions(merged.events())
 
 
+def latest_events_by_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, merged along the curve over name, user and time."""
+    tables = Tables(spark, fresh_folder(spark, "events")).create()
+    tables.write_events(inputs.sent_again(spark, folder), "load-1")
+    merged = Tables(spark, fresh_folder(spark, "merged"))
+    merge_by_curve_into(tables, merged, "merge-1")
+    return _versions(merged.events())
+
+
 def maintained_latest_events(spark: SparkSession, folder: str) -> DataFrame:
     """Three loads, each with rows for days that are merged already; the last is not merged when it is read."""
     rows = inputs.sent_again(spark, folder)
@@ -507,6 +517,7 @@ ALL: dict[str, Query] = {
     "rollup_compacted": rollup_compacted,
     "latest_events": latest_events,
     "stored_latest_events": stored_latest_events,
+    "latest_events_by_curve": latest_events_by_curve,
     "maintained_latest_events": maintained_latest_events,
     "unseen_events": unseen_events,
     "unseen_by_filters": unseen_by_filters,
