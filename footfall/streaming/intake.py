@@ -14,7 +14,7 @@ from footfall.operators.messages import to_messages
 from footfall.operators.requests import bulk_events, bulk_outcome, single_events, single_outcome
 from footfall.operators.validate import errors_text, invalid, valid, with_errors
 from footfall.sources.request_bodies import decode_bulk, decode_single
-from footfall.sources.topic import as_topic
+from footfall.sources.topic import as_topic, publish_kafka
 from footfall.streaming.landing import Clock, batch_name, checkpoint_id, first_line, utc_now
 
 Publish = Callable[[DataFrame, str], None]
@@ -42,6 +42,11 @@ def to_folder(folder: str, topic: str = "events") -> Publish:
     return publish
 
 
+def to_kafka(servers: str, topic: str = "events") -> Publish:
+    """Publishes to a broker's topic; a batch that runs again sends its messages again, with the same event ids."""
+    return lambda messages, batch_id: publish_kafka(messages, servers, topic)
+
+
 def refused(decoded: DataFrame, events: DataFrame) -> DataFrame:
     """What did not get in: whole requests with their reason, and single events with their errors."""
     requests = decoded.where("request_error IS NOT NULL").select(
@@ -58,8 +63,8 @@ def take_in(batch: DataFrame, number: int, root: str, publish: Publish, at: date
     """
     batch_id = batch_name(stream, number)
     decoded = kind.decode(batch).persist()
+    events = with_errors(kind.events(decoded, at), at).persist()  # judged once, for the topic and for what is refused
     try:
-        events = with_errors(kind.events(decoded, at), at)
         try:
             publish(to_messages(valid(events)), batch_id)
             published, said = True, None
@@ -73,6 +78,7 @@ def take_in(batch: DataFrame, number: int, root: str, publish: Publish, at: date
             out = out.unionByName(why)
         out.write.mode("overwrite").parquet(f"{root}/refused/batch_id={batch_id}")
     finally:
+        events.unpersist()
         decoded.unpersist()
 
 

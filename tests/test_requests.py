@@ -12,6 +12,7 @@ from footfall.operators.requests import accepted, bulk_events, bulk_outcome, sin
 from footfall.sources.request_bodies import decode_bulk, decode_single, read_bodies, stream_bodies
 from footfall.sources.topic import as_topic
 from footfall.operators.messages import decode, to_messages
+from footfall.streaming import intake as intake_job
 from footfall.streaming.intake import SINGLE, start_intake, to_folder
 
 NOW = 1_700_000_000
@@ -185,3 +186,10 @@ def test_single_event_stream_tells_when_publishing_fails(spark):
     assert sorted(a.status for a in spark.read.parquet(f"{root}/answers").collect()) == [400, 400, 500]
     whys = [r.reason for r in spark.read.parquet(f"{root}/refused").collect() if r.request_id is None]
     assert len(whys) == 1 and "topic is gone" in whys[0]
+
+
+def test_the_broker_publisher_fits_the_intake(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(intake_job, "publish_kafka", lambda messages, servers, topic: sent.append((messages, servers, topic)))
+    intake_job.to_kafka("here:9092", "topic")("messages", "batch-1")
+    assert sent == [("messages", "here:9092", "topic")]

@@ -56,6 +56,18 @@ def test_empty_user_counts_as_one(spark):
     assert counted(hourly_partials(events(spark, [("view", "web", "", 0), ("view", "web", "", 1)]))) == {("view", "web", T0, 2, 1)}
 
 
+def test_users_beyond_the_exact_range_are_estimated(spark):
+    def found(n):
+        shape = ["'view' AS event_name", "'web' AS channel", "timestamp_seconds(1704103200 + id % 3000) AS ts", f"concat('u', id % {n}) AS user_id"]
+        parts = spark.range(2 * n).repartition(7).selectExpr(*shape)
+        row = merge_hourly(hourly_partials(parts).unionByName(hourly_partials(parts.limit(100)))).select("event_count", distinct_count(F.col("unique_users_state"))).first()
+        return tuple(row)
+
+    assert found(60_000) == (120_100, 60_000)
+    events_, users = found(300_000)
+    assert events_ == 600_100 and users != 0 and abs(users - 300_000) < 0.02 * 300_000  # five times the standard error
+
+
 def test_resent_event_counts_again_its_user_does_not(spark):
     assert counted(hourly_partials(events(spark, THREE + THREE))) == {("view", "web", T0, 6, 2)}
     newest = latest_versions(events(spark, THREE + THREE))
