@@ -193,6 +193,25 @@ def refuse(tables, rows, batch_id):
 ROWS = [("v", "web", f"u{i % 5}", i * 600) for i in range(30)]
 
 
+def test_a_batch_is_held_in_more_partitions_the_more_it_is(spark):
+    """A task kept what it read, or a share by the number of cores, however much that was."""
+    run, parts = Run(spark), []
+    run.send_raw(*(f'{{"event_name":"v","user_id":"u{i}","timestamp":{T0 + i}}}' for i in range(200)))
+    count = lambda tables, rows, batch_id: parts.append(rows.rdd.getNumPartitions())
+    run.land(store=count)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.sha2((F.col("id") * 100 + k).cast("string"), 256)), "")
+    body = F.to_json(F.struct(F.lit("v").alias("event_name"), text.alias("user_id"), F.lit(T0).alias("timestamp"))).cast("binary")
+    large = spark.range(0, 60_000, 1, 8).select(F.lit(b"k").alias("key"), body.alias("value"), F.lit(None).cast(MESSAGE["headers"].dataType).alias("headers"), F.lit("events").alias("topic"), F.lit(1).alias("partition"), F.col("id").alias("offset"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        land(large, 0, run.tables, "main-two", "events", NOON, store=count)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert parts[0] == 1 and parts[1] > 2
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "67108864b"
+
+
 def test_landing(spark):
     run = Run(spark)
     run.send(events(spark, ROWS))
