@@ -116,24 +116,37 @@ class Aligner:
         self.a, self.b = a, b
         self._length_a, self._length_b = _lengths(a.pieces), _lengths(b.pieces)
 
+    def _groups(self, part: str, a: np.ndarray, b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        data = f" {part}".encode()
+        if b"".join(map(self.b.pieces.__getitem__, b)) != data:
+            return None
+        b = np.array(b, self.b.dtype)
+        ends = self._length_a[a].cumsum()
+        if ends[-1] != len(data):  # a byte-level vocabulary that has every byte restores the text
+            return None
+        return a, b, *common_ends(ends, self._length_b[b].cumsum())
+
     def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """(ids of A, ids of B, tokens of A in each group, of B); None without tokens or where bytes differ."""
         if not text:
             return None
         found = []
         for part in _segments(text):
-            data = f" {part}"
-            a, b = self.a.encode(data), self.b.encode(part)
-            data = data.encode()
-            if b"".join(map(self.b.pieces.__getitem__, b)) != data:
+            groups = self._groups(part, self.a.encode(f" {part}"), self.b.encode(part))
+            if groups is None:
                 return None
-            b = np.array(b, self.b.dtype)
-            ends = self._length_a[a].cumsum()
-            if ends[-1] != len(data):  # a byte-level vocabulary that has every byte restores the text
-                return None
-            found.append((a, b, *common_ends(ends, self._length_b[b].cumsum())))
+            found.append(groups)
         return found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found)))
 
+    def align_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
+        """``align`` of each text. Short ones are read by one vocabulary after the other: by turns, the tables of each
+        push those of the other out of the processor's caches."""
+        short = [x for x in texts if x and len(x) <= _LONG]
+        a = [self.a.encode(f" {x}") for x in short]
+        read = zip(short, a, [self.b.encode(x) for x in short])
+        for text in texts:
+            yield self._groups(*next(read)) if text and len(text) <= _LONG else self.align(text)
+
 
 def _packed(sizes: np.ndarray) -> bytes:
     return sizes.astype("<u2" if sizes.max() < 1 << 16 else "<u4").tobytes()
@@ -159,17 +172,16 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def reader():
         aligner = Aligner(encoder(path_a or default_path()), pieces(path_b or default_pieces()))
 
-        def of(text: str | None) -> tuple:
-            found = aligner.align(text)
+        def row(found: tuple | None) -> tuple:
             if found is None:
                 return 0, 0, 0, b"", b"", b"", b""
             a, b, x, y = found
             return len(a), len(b), len(x), a.tobytes(), b.tobytes(), _packed(x), _packed(y)
 
-        return of
+        return lambda texts: [row(x) for x in aligner.align_all(texts)]
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return by_text(rows, "n_a long, n_b long, n_groups long, a binary, b binary, a_sizes binary, b_sizes binary", reader)
+    return by_text(rows, "n_a long, n_b long, n_groups long, a binary, b binary, a_sizes binary, b_sizes binary", reader, together=True)
 
 
 class Aligned:

@@ -151,6 +151,20 @@ def test_long_texts_are_read_in_parts(monkeypatch):
         assert all((p == q).all() for p, q in zip(aligner.align(x), want))
 
 
+def test_texts_are_read_by_one_vocabulary_after_the_other(monkeypatch):
+    aligner = token_alignment.Aligner(tokens.encoder(tokens.default_path()), token_alignment.pieces(token_alignment.default_pieces()))
+    texts = ["One text, then another.", None, "", "a  b\tc", "word " * 30 + "end", "Straße 12 \u4e2d", "x"]
+    calls = []
+    monkeypatch.setattr(token_alignment, "_LONG", 60)
+    want = [aligner.align(x) for x in texts]
+    for name, each in (("a", aligner.a), ("b", aligner.b)):
+        monkeypatch.setattr(each, "encode", lambda x, name=name, of=each.encode: calls.append(name) or of(x))
+    found = list(aligner.align_all(texts))
+    assert "".join(calls).startswith("aaaabbbb") and len(found) == len(want)
+    for x, y in zip(found, want):
+        assert (x is None) == (y is None) and (x is None or all(np.array_equal(p, q) for p, q in zip(x, y)))
+
+
 def test_a_large_group_is_counted_by_its_ids(monkeypatch):
     a, b = np.array([5, 5, 6, 7], "<u2"), np.array([1, 2, 2], "<u2")
     x = token_alignment.Aligned(4, 3, 2, a.tobytes(), b.tobytes(), np.array([3, 1], "<u2").tobytes(), np.array([2, 1], "<u2").tobytes())
