@@ -12,11 +12,8 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from footfall.llm.tables import saved
 from footfall.llm.tokens import tokenized
@@ -121,7 +118,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, capacity: int, plan: Cal
     return parts.select("id", "start", "length", "ids", F.col("n").alias("doc_tokens"), "sequence_id", "offset", "size")
 
 
-@F.pandas_udf(BinaryType())
-def wide(ids: pd.Series, size: pd.Series) -> pd.Series:
-    """The ids as little-endian unsigned 32-bit numbers."""
-    return pd.Series([np.frombuffer(x, f"<u{n}").astype("<u4").tobytes() for x, n in zip(ids, size)])
+def wide(ids: str, size: str) -> Column:
+    """The ids as little-endian unsigned 32-bit numbers. In SQL: it follows a sort of whole documents, beside which Python
+    workers would need room for further batches."""
+    return F.expr(f"if({size} = 4, {ids}, unhex(regexp_replace(hex({ids}), '(.{{4}})', '$10000')))")

@@ -422,3 +422,11 @@ def test_toxicity_chain(spark, docs, none):
     assert len(model.models[1].weights) == len(model.models[0].weights) + 1
     empty = chain.train(none, labels.limit(0), ["spam", "toxic"])
     assert chain.judged(docs, empty).count() == docs.count() and chain.judged(none, model).count() == 0
+
+
+def test_ids_are_widened_without_python(spark):
+    ids = [[], [0], [1, 255, 256, 65535], list(range(4000, 4300))]
+    rows = [(n, np.array(x, f"<u{size}").tobytes(), size) for size in (2, 4) for n, x in enumerate(ids)]
+    found = spark.createDataFrame(rows, "n int, ids binary, size int").select("n", packing.wide("ids", "size").alias("wide"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all(bytes(r["wide"]) == np.array(ids[r["n"]], "<u4").tobytes() for r in found.collect())
