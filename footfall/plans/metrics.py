@@ -5,14 +5,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.clock import as_timestamp, day_of, key_text
-from footfall.functions.fixed import GROUPINGS, SKETCH_LOG_ENTRIES
+from footfall.functions.fixed import GROUPINGS
 from footfall.functions.sketches import distinct_count, merged_state, total
+from footfall.operators.rollup import merge_hourly
 from footfall.operators.validate import check_request, valid, with_request_errors
-from footfall.plans import spans
+from footfall.plans import first_seen, spans
 
 
 def in_range(event_name: str, start: int, end: int, channel: str = "") -> Column:
@@ -76,100 +77,18 @@ def metrics(
 #: The last second an event can have (2106-02-07).
 LATEST = 2**32 - 1
 
-ASK = ["event_name", "first_hour", "last_hour", "channel", "group_by"]
-
-
-# What a range of hours is to a question: its total, a channel's group, the group of a day at one of its ends.
-TOTAL, OF_CHANNEL, OF_DAY = range(3)
-
-_UP, _DOWN = "(first + 23 - pmod(first - 1, 24))", "(after - pmod(after, 24))"
-
-
-def _ranges(questions: DataFrame) -> DataFrame:
-    """(kind, low, high) for each range of hours whose users a question (ASK, first, after; in hours) asks for."""
-    ends = f"array(named_struct('low', first, 'high', least({_UP}, after)), named_struct('low', if({_UP} <= {_DOWN}, {_DOWN}, after), 'high', after))"
-    every = f"""inline(concat(array(named_struct('kind', {TOTAL}, 'low', first, 'high', after)), CASE group_by
-        WHEN 'channel' THEN array(named_struct('kind', {OF_CHANNEL}, 'low', first, 'high', after))
-        WHEN 'day' THEN transform(filter({ends}, e -> e.low < e.high), e -> named_struct('kind', {OF_DAY}, 'low', e.low, 'high', e.high))
-        ELSE array() END))"""
-    return questions.select(*ASK, F.expr("nullif(channel, '')").alias("met"), F.expr(every))
-
-
-def _whole_spans(questions: DataFrame) -> DataFrame:
-    """(level, start) for each hour or whole day that is a group of a question as it stands."""
-
-    def each(level: int, low: str, high: str, step: int) -> str:
-        found = f"transform(sequence({low}, {high} - {step}L, {step}L), p -> named_struct('level', {level}, 'start', p))"
-        return f"if({low} < {high}, {found}, {spans.NONE})"
-
-    every = f"""inline(CASE group_by WHEN 'hour' THEN {each(0, "first", "after", 1)}
-        WHEN 'day' THEN {each(spans.DAY, _UP, _DOWN, 24)} ELSE {spans.NONE} END)"""
-    return questions.select(*ASK, F.expr("nullif(channel, '')").alias("met"), F.expr(every))
-
-
-_DAY_KEYS = ["event_name", "of", "day"]
-_HOURS = "array<struct<start:bigint,n:bigint,state:binary>>"
-
-
-def _both(one: str, other: str) -> str:
-    return f"theta_union({one}, {other}, {SKETCH_LOG_ENTRIES})"
-
-
-def _range_counts(ranges: DataFrame, states: DataFrame, days: int) -> DataFrame:
-    """(total_count, unique_users) of each distinct range (event_name, of, low, high; in hours) that holds events.
-
-    No state is sent or kept for a range. The ranges that start on one day share what follows it: the hours from the next
-    day on are merged once, in order, up to each asked end (a window), over the few spans that cover the way from one end
-    to the next. What a range holds of its first day is the union of that day's last hours; both meet row by row, where
-    the counts are read off. So the states that travel grow with the days and the days asked from each of them, not with
-    the number of ranges. Ranges within a day are read from that day's hours.
-    """
-    bound = "((day + 1) * 24)"
-    ranges = ranges.withColumn("day", F.floor(F.col("low") / 24))
-    given = F.array_sort(F.collect_list(F.struct("start", F.col("event_count").alias("n"), F.col("unique_users_state").alias("state"))))
-    hours = states.where(F.col("level") == 0).groupBy("event_name", "of", F.floor(F.col("start") / 24).alias("day")).agg(given.alias("hours"))
-
-    within = ranges.where(f"high <= {bound}").groupBy(*_DAY_KEYS).agg(F.collect_list(F.struct("low", "high")).alias("asked"))
-    part = "filter(hours, h -> h.start >= r.low AND h.start < r.high)"
-    merged = f"aggregate({part}, CAST(NULL AS binary), (u, h) -> if(u IS NULL, h.state, {_both('u', 'h.state')}), u -> coalesce(theta_sketch_estimate(u), 0L))"
-    counted = f"inline(transform(asked, r -> named_struct('low', r.low, 'high', r.high, 'total_count', aggregate({part}, 0L, (n, h) -> n + h.n), 'unique_users', {merged})))"
-    short = within.join(hours, _DAY_KEYS).selectExpr("event_name", "of", counted)
-
-    ends = ranges.where(f"high > {bound}").groupBy(*_DAY_KEYS, "high").agg(F.collect_list("low").alias("lows"))
-    chains = ends.groupBy(*_DAY_KEYS).agg(F.array_sort(F.collect_list("high")).alias("highs"))
-    way = spans.cover(f"if(i = 0, {bound}, get(highs, i - 1))", "e", days)
-    steps = f"inline(flatten(transform(highs, (e, i) -> transform({way}, q -> named_struct('high', e, 'level', q.level, 'start', q.start)))))"
-    met = chains.selectExpr(*_DAY_KEYS, steps).join(states, ["event_name", "of", "level", "start"])
-    rows = met.selectExpr(*_DAY_KEYS, "high", "CAST(NULL AS array<bigint>) AS lows", "event_count AS n", "unique_users_state AS state")
-    rows = rows.unionByName(ends.selectExpr(*_DAY_KEYS, "high", "lows", "0L AS n", "CAST(NULL AS binary) AS state"))
-    # Little is sent and much is merged: keep all tasks busy, however few bytes there are.
-    rows = rows.repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_DAY_KEYS)
-    up_to = Window.partitionBy(*_DAY_KEYS).orderBy("high").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = rows.select(*_DAY_KEYS, "high", "lows", F.sum("n").over(up_to).alias("n"), merged_state("state").over(up_to).alias("state"))
-    last = "get(done, size(done) - 1)"
-    added = f"named_struct('start', h.start, 'n', h.n + coalesce({last}.n, 0L), 'state', if(size(done) = 0, h.state, {_both(f'{last}.state', 'h.state')}))"
-    heads = hours.selectExpr(*_DAY_KEYS, f"aggregate(reverse(hours), CAST(array() AS {_HOURS}), (done, h) -> concat(done, array({added}))) AS heads")
-    head = "get(heads, size(filter(heads, h -> h.start >= f)) - 1)"
-    users = f"coalesce(theta_sketch_estimate(if({head} IS NULL, state, {_both(f'{head}.state', 'state')})), 0L)"
-    counted = f"inline(transform(lows, f -> named_struct('low', f, 'high', high, 'total_count', n + coalesce({head}.n, 0L), 'unique_users', {users})))"
-    long = after.where("lows IS NOT NULL").join(heads, _DAY_KEYS, "left").selectExpr("event_name", "of", counted)
-    return short.unionByName(long).where("total_count > 0")
-
-
 def answer_requests(requests: DataFrame, hourly: DataFrame, days: int = 64, tree: DataFrame | None = None) -> DataFrame:
     """Answer a whole table of requests (request_id, event_name, from, to, channel, group_by) in one job.
 
-    Requests with errors get no answer. Requests are cut to whole hours and made distinct first, so a question
-    asked a million times is worked out once. Questions meet the rollup by spans (``plans.spans``): states merged
-    over 1, 2, 4, 8 hours, a day and its doublings up to ``days``. Groups that are a span as it stands, hours and whole
-    days, take its numbers and no state at all; totals, channels and the days at both ends are ranges of hours, made
-    distinct and counted together (``_range_counts``), so no state is merged or sent for one question. Where channels are
-    not told apart, the state of all channels is met. The join key (event_name, level, start) spreads a busy event name
-    over its spans, and no side is broadcast by hint: Spark sees the real sizes at run time.
+    Requests with errors get no answer. Requests are cut to whole hours that hold events and made distinct first, so a
+    question asked a million times is worked out once. Their users are counted by when they were last seen
+    (``plans.first_seen``): no states are merged for a question or a range, and what is counted grows with the rollup and
+    the days asked from each day, not with the questions. So a range is exact as far as the states of its single hours are.
 
     A question has at most one group per hour it covers, so its finished groups (three values each) travel in a list.
     Days before the earliest and after the latest that any request asks for are not read. ``tree`` may hold the spans of
-    the rollup if they are kept (``spans.write_tree``).
+    the rollup if they are kept (``spans.write_tree``); its hours are merged already. ``days``, the longest span, decides
+    nothing here since single hours settle all questions.
     """
     hour_seconds = F.unix_seconds("hour")
     asked = valid(with_request_errors(requests)).selectExpr(
@@ -183,42 +102,24 @@ def answer_requests(requests: DataFrame, hourly: DataFrame, days: int = 64, tree
     dates = [F.to_date(F.timestamp_seconds(F.least(F.greatest(x, F.lit(0)), F.lit(LATEST)))) for x in (F.min("first_hour"), F.max("last_hour"))]
     span = asked.agg(dates[0].alias("first"), dates[1].alias("last"))
     hourly = hourly.where(F.col("event_date").between(span.select("first").scalar(), span.select("last").scalar()))
-    ends = hourly.agg(F.min(hour_seconds).alias("low"), F.max(hour_seconds).alias("high"))
-    first = F.greatest("first_hour", ends.select("low").scalar())
-    last = F.least("last_hour", ends.select("high").scalar())
-    questions = asked.select(*ASK).distinct().withColumns({"first": first, "last": last}).where("first <= last")
-    questions = questions.selectExpr(*ASK, "first div 3600 AS first", "last div 3600 + 1 AS after")
-    states = spans.tree(hourly, days) if tree is None else tree
-    # One text for the channel, '' where all are together: a key that joins without null.
-    states = states.withColumn("of", F.coalesce(F.concat(F.lit("="), F.col("channel")), F.lit(""))).drop("channel")
-
-    met = F.coalesce(F.concat(F.lit("="), F.col("met")), F.lit(""))
-    ranges = _ranges(questions).withColumn("met", met)
-    kind, low = F.col("kind"), F.timestamp_seconds(F.col("low") * 3600)
-    channels = states.where("of != ''").select("event_name", "of").distinct()
-    by_channel = ranges.where(kind == OF_CHANNEL).join(channels, "event_name").where("met = '' OR met = of")
-    parts = ["event_name", "of", "low", "high"]
-    key = F.when(kind == OF_CHANNEL, F.expr("substring(of, 2)")).when(kind == OF_DAY, key_text(day_of(low)))
-    one = ranges.where(kind != OF_CHANNEL).withColumn("of", F.col("met"))
-    asked_for = one.unionByName(by_channel).select(*ASK, "of", "low", "high", key.alias("key"))
-    found = asked_for.join(_range_counts(asked_for.select(*parts).distinct(), states, days), parts)
-    found = found.select(*ASK, "key", "total_count", "unique_users")
-    plain = _whole_spans(questions).withColumn("of", met).join(states.drop("unique_users_state"), ["event_name", "of", "level", "start"])
-    start = F.timestamp_seconds(F.col("start") * 3600)
-    found = found.unionByName(plain.select(*ASK, key_text(start).alias("key"), F.col("event_count").alias("total_count"), "unique_users"))
-    group = F.struct("key", "total_count", "unique_users")
-    answers = found.groupBy(*ASK).agg(
-        F.max(F.when(F.col("key").isNull(), F.col("total_count"))).alias("total_count"),
-        F.max(F.when(F.col("key").isNull(), F.col("unique_users"))).alias("unique_users"),
-        F.collect_list(F.when(F.col("key").isNotNull(), group)).alias("grouped"),
+    names = hourly.groupBy("event_name").agg(F.min(hour_seconds).alias("low"), F.max(hour_seconds).alias("high"), F.sum("event_count").alias("n"), F.count("*").alias("rows"))
+    parts = F.ceil(F.col("n") / F.greatest(F.lit(first_seen.PART), first_seen.SHARE * F.col("rows")))
+    busy = F.collect_list(F.when(F.col("event_name").isNotNull() & (parts > 1), F.struct("event_name", parts)))
+    held = names.agg(F.struct(F.min("low").alias("low"), F.max("high").alias("high"), F.map_from_entries(busy).alias("parts"))).scalar()
+    asked = asked.withColumns({"first": F.greatest("first_hour", held["low"]), "last": F.least("last_hour", held["high"])})
+    asked = asked.selectExpr(
+        "request_id", "event_name", "channel", "if(first <= last, first div 3600, NULL) AS first", "if(first <= last, last div 3600 + 1, NULL) AS after", "group_by"
     )
-    answered = asked.join(answers, ASK, "left")
-    total_row = """array(named_struct('scope', 'total', 'key', '', 'total_count', coalesce(total_count, 0L),
-        'unique_users', coalesce(unique_users, 0L)))"""
-    group_rows = """transform(grouped, g -> named_struct('scope', 'group', 'key', g.key, 'total_count', g.total_count,
-        'unique_users', g.unique_users))"""
-    rows = f"inline(if(group_by = '' OR grouped IS NULL, {total_row}, concat({total_row}, {group_rows})))"
-    return answered.selectExpr("request_id", rows)
+    if tree is None:
+        hours = merge_hourly(hourly).withColumn("hour", spans.hour_number(F.col("hour")))
+    else:
+        hours = tree.where("level = 0 AND channel IS NOT NULL").withColumnRenamed("start", "hour")
+    split = F.coalesce(F.try_element_at(held["parts"], F.col("event_name")), F.lit(1))
+    found = first_seen.answers(asked.where("first IS NOT NULL").select(*first_seen.QUESTION), hours, split)
+    total = "named_struct('key', CAST(NULL AS string), 'total_count', coalesce(total_count, 0L), 'unique_users', coalesce(unique_users, 0L))"
+    rows = asked.join(found, first_seen.QUESTION, "left").selectExpr("request_id", f"inline(if(grouped IS NULL, array({total}), concat(array({total}), grouped)))")
+    scope = F.when(F.col("key").isNull(), F.lit("total")).otherwise(F.lit("group"))
+    return rows.select("request_id", scope.alias("scope"), F.coalesce("key", F.lit("")).alias("key"), "total_count", "unique_users")
 
 
 def shaped(answers: DataFrame) -> DataFrame:
