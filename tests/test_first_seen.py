@@ -12,7 +12,7 @@ from footfall.functions.fixed import SKETCH_LOG_ENTRIES
 from footfall.functions.sketch_bytes import ALL, hashes
 from footfall.operators.rollup import hourly_partials
 from footfall.plans import first_seen, spans
-from footfall.plans.metrics import answer_requests, metric_total
+from footfall.plans.metrics import answer_requests, metric_total, shaped
 from tests.test_rollup_and_metrics import T0, events
 
 SHAPE = "request_id bigint, event_name string, `from` bigint, `to` bigint, channel string, group_by string"
@@ -95,6 +95,16 @@ def test_ranges_of_more_users_than_a_state_holds_are_exact(spark):
     assert sorted(found[2]) == [("group", "api", 60000, 45000), ("group", "web", 60000, 45000), ("total", "", 120000, 90000)]
 
 
+def test_shaped_answers_have_them_too(spark):
+    hourly = crowds(spark, (0, 40000, 0), (30000, 70000, 3600), (50000, 90000, 86400))
+    asked = [(1, "p", T0 - 1800, T0 + 2 * 86400, "", "hour"), (2, "none", T0, T0 + 7200, "", "hour")]
+    answer = shaped(answer_requests(spark.createDataFrame(asked, SHAPE), hourly))
+    assert "theta_union(" not in answer._jdf.queryExecution().optimizedPlan().toString()
+    one, none = answer.orderBy("request_id").collect()
+    assert (one.total_count, one.unique_users) == (120000, 90000) and (none.total_count, none.unique_users, none.grouped_data) == (0, 0, [])
+    assert [tuple(g) for g in one.grouped_data] == [(text((T0 + s) // 3600 * 3600), 40000, 40000) for s in (0, 3600, 86400)]
+
+
 def test_hours_of_more_users_than_a_state_holds_are_estimated(spark):
     hourly = crowds(spark, (0, 300000, 0), (299000, 299500, 3600), (200000, 350000, 7200), (0, 50, 86400)).persist()
     asked = [(1, "p", T0 - 1800, T0 + 7200, "", "hour"), (2, "p", T0 + 3600, T0 + 5400, "", ""), (3, "p", T0 - 1800, T0 + 2 * 86400, "web", "day")]
